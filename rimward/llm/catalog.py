@@ -8,13 +8,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimward.llm import bpe, decontaminate, html_extract, line_dedup, token_counts
+from rimward.llm import bpe, decontaminate, html_extract, line_dedup, ngram_join, pii, quality_rules, token_counts, toxic_spans, vp_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int):
+    """The remainder of crc32 of the id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality_rules.train(docs, labels.where(_fold(5) != 0), "quality")
+    out = quality_rules.score(docs, model, threshold=0.3)
+    return out.select("doc_id", (F.coalesce(_fold(5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitise(_table(spark, sf_dir, "documents"), min_support=3, min_disclosure=0.6, min_bits=6.0)
+    return out.select(
+        "doc_id",
+        *[pii.n_of(kind, F.col("base_spans")).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.span_list(F.concat("base_spans", "term_spans")).alias("spans"),
+    )
+
+
+def op3_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    out = vp_search.nearest(rows, rows.where(F.col("vec_id") % 100 == 0), "vec_id", "embedding", k=10, factor=1.0)
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -39,6 +71,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxic_spans.train(docs, labels.where(_fold(4) != 2), "toxic")
+    out = toxic_spans.tag(docs, model, threshold=0.3)
+    return out.select("doc_id", (F.coalesce(_fold(4), F.lit(0)) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return out.select(
@@ -51,8 +90,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OPERATORS = (
+    op1_quality_rules, op2_pii, op3_vp_search, op4_ngram_join, op5_line_dedup, op6_html_extract, op7_byte_bpe, op8_token_counts, op9_toxic_spans, op10_decontaminate,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op6_html_extract, op7_byte_bpe, op8_token_counts, op10_decontaminate)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

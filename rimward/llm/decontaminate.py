@@ -78,6 +78,10 @@ def kept_grams(hashed: DataFrame, window: int, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode_outer("row").alias("row")).select(*keep, "row.*").where(F.col("gram").isNotNull())
 
 
+def _starts(length: int):
+    return lambda i: F.struct(i.alias("start"), _gram(F.col("words"), i, length).alias("window"))
+
+
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
     """(item_id, size, window): every window of each item; ``size`` is the number of its words."""
     n = F.size("words")
@@ -109,7 +113,7 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
         spread = hits.select("doc_id", "text_hash", "first", "around", F.explode(F.sequence(F.col("first"), F.least(F.col("pos"), last))).alias("start"))
         starts = spread.select("doc_id", "text_hash", "start", F.lit(window).alias("size"), _gram(F.col("around"), F.col("start") - F.col("first"), window).alias("window"))
     for length in (s for s in sizes if s < window):
-        every = F.transform(_positions(F.size("words") - (length - 1)), lambda i, k=length: F.struct(i.alias("start"), _gram(F.col("words"), i, k).alias("window")))
+        every = F.transform(_positions(F.size("words") - (length - 1)), _starts(length))
         short = hashed.select("doc_id", "text_hash", F.explode_outer(every).alias("row")).select("doc_id", "text_hash", "row.start", F.lit(length).alias("size"), "row.window")
         starts = short if starts is None else starts.unionByName(short)
     if starts is None:
