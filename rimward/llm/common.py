@@ -1,44 +1,12 @@
-"""What the corpus operators share: scratch tables in the shared folder and small helpers."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH_KEY = "spark.rimward.scratch"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it. Where it is unset, the warehouse serves on a cluster,
-    and a temporary folder in local mode, where driver and executors are one process.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = spark.conf.get(_SCRATCH_KEY, None)
-    if own is None:
-        if spark.sparkContext.master.startswith("local["):
-            own = tempfile.mkdtemp(prefix="rimward-scratch-")
-        else:
-            own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/rimward_scratch"
-        spark.conf.set(_SCRATCH_KEY, own)
-    return own
+from rimward.storage import stored as materialize
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    It cuts the lineage, so a lost executor never forces earlier stages to run again.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "materialize", "text_or_empty"]
 
 
 def text_or_empty(column: str = "text"):
@@ -51,7 +19,3 @@ def ascii_lower(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(
         F.translate(column, upper, upper.lower())
     )
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

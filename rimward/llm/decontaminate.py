@@ -24,6 +24,11 @@ GRAM = 5
 BROADCAST_ROWS = 500_000
 
 
+def text_hash() -> Column:
+    text = text_or_empty("text")
+    return F.xxhash64(text, F.char_length(text))
+
+
 def word_array(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATOR), "")
 
@@ -40,7 +45,7 @@ def _positions(count: Column) -> Column:
 def hashed_words(df: DataFrame, *keep: str) -> DataFrame:
     """``keep``, text_hash and ``words``, the array of 64-bit word hashes."""
     text = text_or_empty("text")
-    cut = df.select(*keep, F.xxhash64(text, F.char_length(text)).alias("text_hash"), word_array(text).alias("w"))
+    cut = df.select(*keep, text_hash().alias("text_hash"), word_array(text).alias("w"))
     return cut.select(*keep, "text_hash", F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
 
 
@@ -137,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     )
     found = found.withColumn("n_hit", covered)
     text = text_or_empty("text")
-    rows = docs.select("doc_id", F.xxhash64(text, F.char_length(text)).alias("text_hash"), F.size(word_array(text)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), F.size(word_array(text)).cast("long").alias("n_words"))
     joined = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")), "left")
     return joined.select(
         "r.doc_id", "r.text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -161,3 +161,10 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFram
     """(doc_id, score, predicted) per row of ``docs``."""
     out = statistics(docs, "doc_id").select("doc_id", model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep(docs: DataFrame, model: RuleModel, threshold: float, *columns: str) -> DataFrame:
+    """``columns`` of the rows whose score reaches ``threshold``."""
+    passed = F.when(model.score() >= threshold, F.array(F.lit(True)))
+    # explode_outer keeps Catalyst from pushing the whole score, with each statistic repeated in every rule, below the statistics
+    return statistics(docs, *columns).select(*columns, F.explode_outer(passed).alias("passed")).where("passed").select(*columns)
