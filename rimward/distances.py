@@ -121,7 +121,7 @@ def hull_facets(nodes: DataFrame) -> DataFrame:
             for f in hull_facets_3d(p):
                 normal = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
                 found.append([p[f[0]].tolist(), (normal / np.linalg.norm(normal)).tolist()])
-        return pd.DataFrame({"sample_id": rows["sample_id"].iloc[0], "facet": found})
+        return pd.DataFrame({"sample_id": rows["sample_id"].iloc[0], "facet": pd.Series(found, dtype=object)})
 
     return hull_corners(nodes).groupBy("sample_id").applyInPandas(build, "sample_id string, facet array<array<double>>")
 
