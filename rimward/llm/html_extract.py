@@ -128,7 +128,8 @@ def read_at(found: list[tuple[str, str, int]], paths: list[str]) -> str:
         if inside:
             return "\n".join(inside)
     own = best_container(found)
-    return "\n".join([t for p, t, _ in found if p == own[0] or p.startswith(own[0] + "/")]) if own else ""
+    # text outside any block element has no container
+    return "\n".join([t for p, t, _ in found if own is None or p == own[0] or p.startswith(own[0] + "/")])
 
 
 def host_of(url):
