@@ -1,13 +1,9 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries inside Spark tasks.
 
 Spark deals the documents out; each Arrow batch is cut into the pattern's pieces. The pieces that a worker
-hasn't met become token-position rows of one recursive query, which joins them with the merge table and
-contracts each piece's leftmost pair of minimum rank until none is left. Decoding joins ids with the
-vocabulary and aggregates the bytes in order.
-
-Texts are first cut before each space between two characters that aren't white space. A piece of the
-pattern always begins there: a piece holds a space only at its start or in a run of white space. So such
-units are encoded once per worker and remembered, up to ``UNIT_MEMO`` of them.
+hasn't met go to one recursive query: their token-position rows are joined with the merge table, and each piece's
+leftmost pair of minimum rank is contracted, until none is left. A worker remembers up to ``MEMO`` pieces. Decoding joins
+ids with the vocabulary and aggregates the bytes in order.
 
 Edge cases. A null or empty text gives an empty list of ids, a null list of ids no bytes. Null or repeated
 ids of documents are kept. An id that isn't in the vocabulary raises an error. Texts of any length are
@@ -18,7 +14,6 @@ An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -31,35 +26,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_MEMO, UNIT_MEMO = 800_000, 150_000
-#: Characters, ids and rounds of contraction that one DuckDB query takes at most (a longer text makes a larger one).
-TEXT_BLOCK, ID_BLOCK, ROUNDS = 2_000_000, 500_000, 64
-
-UNIT = re.compile(r"(?<=\S)(?= \S)")
-TWO_WHITE = re.compile(r"\s\s")
+MEMO = 500_000
+#: Characters of texts, bytes of pieces and ids that are worked on at once (a longer one alone), and rounds of contraction in one query.
+TEXT_BLOCK, PIECE_BLOCK, ID_BLOCK, ROUNDS = 2_000_000, 500_000, 500_000, 64
 
 _CONTRACT = f"""
-WITH RECURSIVE state(round, piece, pos, token) AS (
-    SELECT 0, piece, pos, token FROM pieces
+WITH RECURSIVE state(round, piece, ids) AS (
+    SELECT 0, piece, ids FROM pieces
     UNION ALL
-    SELECT round + 1, piece, pos, CASE WHEN pair = best THEN CAST(pair >> 32 AS INTEGER) ELSE token END
-    FROM (
-        SELECT *, lag(pair) OVER (PARTITION BY piece ORDER BY pos) AS previous, min(pair) OVER (PARTITION BY piece) AS best
+    SELECT round + 1, s.piece, list_concat(ids[1:p - 1], [token], ids[p + 2:])
+    FROM state s JOIN (
+        SELECT piece, CAST(min(pair) >> 32 AS INTEGER) AS token, CAST(min(pair) & 4294967295 AS INTEGER) AS p
         FROM (
-            SELECT s.round, s.piece, s.pos, s.token, (CAST(m.token AS BIGINT) << 32) + s.pos AS pair
-            FROM (SELECT *, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS following FROM state) s
-            LEFT JOIN merges m ON m.first = s.token AND m.second = s.following
+            SELECT t.piece, (CAST(m.token AS BIGINT) << 32) + t.pos AS pair
+            FROM (SELECT piece, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[2:], 1) AS pos FROM state) t
+            JOIN merges m ON m.first = t.a AND m.second = t.b
         )
-    )
-    WHERE best IS NOT NULL AND round < {ROUNDS} AND (previous IS NULL OR previous <> best)
+        GROUP BY piece
+    ) USING (piece)
+    WHERE round < {ROUNDS}
 )
-SELECT piece, list(token ORDER BY pos) AS ids, any_value(round) AS rounds
-FROM (SELECT * FROM state QUALIFY round = max(round) OVER (PARTITION BY piece))
-GROUP BY piece
+SELECT piece, arg_max(ids, round) AS ids, max(round) AS rounds FROM state GROUP BY piece
 """
 
 _DECODE = """
-SELECT doc, string_agg(v.bytes, '' ORDER BY i.pos) AS bytes
+SELECT doc, array_to_string(list(v.bytes ORDER BY i.pos), '') AS bytes
 FROM (SELECT doc, unnest(ids) AS token, generate_subscripts(ids, 1) AS pos FROM encoded) i
 JOIN vocabulary v USING (token)
 GROUP BY doc
@@ -67,14 +58,13 @@ GROUP BY doc
 
 
 class Codec:
-    """One worker's vocabulary, DuckDB connection and memory of encoded pieces and units."""
+    """One worker's vocabulary, DuckDB connection and memory of encoded pieces."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {"": b""}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "duckdb_spill"})
         splits = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         first, second, token = zip(*(s for s in splits if s[0] is not None and s[1] is not None), strict=True)
@@ -86,70 +76,52 @@ class Codec:
     def _contract(self, rows: list[np.ndarray]) -> list[bytes]:
         """The ids of each row of single-byte tokens, as int32 bytes. Very long rows take several queries."""
         done: list[bytes] = [b""] * len(rows)
-        left = dict(enumerate(rows))
+        names, left = np.arange(len(rows), dtype=np.int32), rows
         while left:
-            sizes = [len(x) for x in left.values()]
-            table = pa.table({"piece": np.repeat(np.array(list(left), np.int32), sizes), "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]), "token": np.concatenate(list(left.values()))})
-            self.db.register("pieces", table)
-            out = self.db.sql(_CONTRACT).to_arrow_table()
+            self.db.register("pieces", pa.table({"piece": names, "ids": _lists(left)}))
+            out = self.db.sql(_CONTRACT).to_arrow_table().combine_chunks()
             self.db.unregister("pieces")
-            left = {}
-            for piece, ids, rounds in zip(*(out.column(k).to_pylist() for k in ("piece", "ids", "rounds")), strict=True):
-                ids = np.array(ids, dtype=np.int32)
-                if rounds == ROUNDS:
-                    left[piece] = ids
-                done[piece] = ids.tobytes()
+            names, ids = out["piece"].to_numpy(), out["ids"].combine_chunks()
+            starts, raw = ids.offsets.to_numpy() * 4, ids.values.to_numpy().tobytes()
+            for name, a, b in zip(names.tolist(), starts.tolist(), starts[1:].tolist(), strict=False):
+                done[name] = raw[a:b]
+            names = names[out["rounds"].to_numpy() == ROUNDS]
+            left = [np.frombuffer(done[name], dtype=np.int32) for name in names]
         return done
 
-    def learn(self, units: set[str]) -> None:
-        """Encode units that aren't remembered yet."""
-        if len(self.units) + len(units) > UNIT_MEMO:
-            self.units = {"": b""}
-        if len(self.pieces) > PIECE_MEMO:
-            self.pieces = {}
-        cut = {u: self.pattern.findall(u) for u in units}
-        new = []
-        for piece in {p for ps in cut.values() for p in ps if p not in self.pieces}:
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces that aren't remembered yet."""
+        new, raws = [], []
+        for piece in pieces:
             raw = piece.encode("utf-8", "replace")
             if raw in self.ranks:
                 self.pieces[piece] = np.int32(self.ranks[raw]).tobytes()
             else:
-                new.append((piece, self.single[np.frombuffer(raw, np.uint8)]))
-        at = 0
-        while at < len(new):
-            end, size = at, 0
-            while end < len(new) and (end == at or size + len(new[end][1]) <= TEXT_BLOCK // 4):
-                size += len(new[end][1])
-                end += 1
-            for (piece, _), ids in zip(new[at:end], self._contract([r for _, r in new[at:end]]), strict=True):
-                self.pieces[piece] = ids
-            at = end
-        for unit, pieces in cut.items():
-            self.units[unit] = b"".join([self.pieces[p] for p in pieces])
+                new.append(piece)
+                raws.append(raw)
+        for at, end in _blocks([len(r) for r in raws], PIECE_BLOCK):
+            rows = [self.single[np.frombuffer(r, np.uint8)] for r in raws[at:end]]
+            self.pieces.update(zip(new[at:end], self._contract(rows), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [split_units(t) for t in texts]
-        here = {u for units in cut for u in units}
-        new = here.difference(self.units)
-        self.learn(here if len(self.units) + len(new) > UNIT_MEMO else new)
-        return [b"".join(map(self.units.__getitem__, units)) for units in cut]
+        cut = [self.pattern.findall(t) for t in texts]
+        if len(self.pieces) > MEMO:
+            self.pieces = {}
+        known = self.pieces
+        self.learn({p for pieces in cut for p in pieces if p not in known})
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        self.db.register("encoded", pa.table({"doc": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids}))
-        rows = self.db.execute(_DECODE).fetchall()
-        self.db.unregister("encoded")
+        self.db.register("encoded", pa.table({"doc": np.arange(len(ids), dtype=np.int32), "ids": ids}))
         out = [b""] * len(ids)
-        for doc, text in rows:
+        for doc, text in self.db.execute(_DECODE).fetchall():
             out[doc] = bytes.fromhex(text)
+        self.db.unregister("encoded")
         return out
 
 
-def split_units(text: str) -> list[str]:
-    """Cut before each space that stands between two characters that aren't white space."""
-    if TWO_WHITE.search(text) or text[:1] == " " or text[-1:] == " ":
-        return UNIT.split(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), pa.array(np.concatenate(rows)))
 
 
 @lru_cache(maxsize=2)
