@@ -138,10 +138,11 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, min
     n_entity = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_entity"))
     pairs = near.select("text_hash", "entity", F.explode(_terms(F.col("around"))).alias("term")).distinct()
     often = materialize(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support), "pii-pairs")
-    wanted = _few(often.select("term").distinct())
+    wanted = often.select("term").distinct()
     texts = docs.select(text_or_empty("text").alias("t"))
-    words = texts.select(F.explode(F.array_distinct(F.split("t", NOT_TERM))).alias("term")).join(wanted, "term", "left_semi")
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    words = texts.select(F.explode(F.array_distinct(F.split("t", NOT_TERM))).alias("term"))
+    # all words are counted before the join, so common ones shrink to a row per task; a semi join would be pushed below the count
+    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_few(wanted), "term")
     total = texts.count()
     scored = often.join(n_entity, "entity").join(n_term, "term")
     disclosure = F.col("n_both") / F.col("n_term")
@@ -170,7 +171,8 @@ def sanitise(docs: DataFrame, min_support: int = 3, min_disclosure: float = 0.6,
     Spans that overlap (a card inside a telephone number, say) are replaced together, by the first one's kind.
     """
     found = materialize(base_spans(docs), "pii-base").where(F.col("t").isNotNull())
-    marked = materialize(_with_terms(found, revealing_terms(docs, found, min_support, min_disclosure, min_bits)), "pii-marked")
+    revealing = materialize(revealing_terms(docs, found, min_support, min_disclosure, min_bits), "pii-revealing")
+    marked = materialize(_with_terms(found, revealing), "pii-marked")
     spans = F.array_sort(F.transform(F.concat("spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     marked = marked.withColumn("o", spans)
     pieces = F.transform(
