@@ -14,8 +14,10 @@ which parts with empty cell pairs are fewer than the n1 - k/2 parts that must ag
 has content, and its signature is shared.
 
 Sets that share a signature are first compared with one *hub* of its group, the set with most shared
-signatures. Then sets of a group that aren't yet in one component are compared, all of them. So no link
-between components is lost, though pairs within one are not enumerated.
+signatures. Then sets of a group that aren't yet in one component are compared, all of them: in groups of up
+to ``LIGHT`` sets pair by pair; larger groups are joined to clusters by their hubs and cut into blocks of bounded
+size, and a task finds which components two blocks link. So no link between components is lost, though pairs
+are not enumerated.
 
 Edge cases. Texts that are null, empty or white space have an empty set and no links. Texts of fewer than
 five words are one shingle, the whole sequence. Null ids take part but never name a component, unless all
@@ -46,6 +48,9 @@ BROADCAST_ROWS = 500_000
 #: Parts per (k + 1)/2, see above: a fifth of the parts at least must agree.
 SPARE = 1.25
 
+#: Sets in a group up to which pairs are made; shingles in a block of a cluster; columns of a matrix at once.
+LIGHT, BLOCK_SHINGLES, CHUNK_COLUMNS = 32, 400_000, 4_096
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,7 +124,7 @@ def possible_sets(signed: DataFrame) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             hashes, ids, bucket = hashes[order], ids[order], bucket[order]
             names, starts = np.unique(bucket, return_index=True)
-            ends = [*starts[1:], len(bucket)]
+            ends = [*starts[1:], len(bucket)][: len(starts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names), pa.array([hashes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())],
                 names=["bucket", "hashes", "ids"],
@@ -132,10 +137,20 @@ def possible_sets(signed: DataFrame) -> DataFrame:
         alone[1:] &= ~same
         alone[:-1] &= ~same
         sets, counts = np.unique(ids[alone], return_counts=True)
-        return pd.DataFrame({"set_id": sets, "n_foreign": counts})
+        part = (_mix(sets.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        names, starts = np.unique(part[order], return_index=True)
+        packed = [np.split(x[order], starts[1:]) if len(names) else [] for x in (sets, counts)]
+        return pd.DataFrame({"part": names, "sets": pd.Series([x.tobytes() for x in packed[0]], dtype=object), "counts": pd.Series([x.tobytes() for x in packed[1]], dtype=object)})
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        sets, at = np.unique(np.frombuffer(b"".join(rows["sets"]), np.int64), return_inverse=True)
+        return pd.DataFrame({"set_id": sets, "n_foreign": np.bincount(at, weights=np.frombuffer(b"".join(rows["counts"]), np.int64)).astype(np.int64)})
 
     dealt = signed.select("set_id", "sampled").mapInArrow(deal, "bucket long, hashes binary, ids binary")
-    counted = dealt.groupBy("bucket").applyInPandas(foreign, "set_id long, n_foreign long").groupBy("set_id").agg(F.sum("n_foreign").alias("n_foreign"))
+    # a bucket's counts travel packed, so that rows don't grow with sets times buckets
+    parts = dealt.groupBy("bucket").applyInPandas(foreign, "part long, sets binary, counts binary")
+    counted = parts.groupBy("part").applyInPandas(total, "set_id long, n_foreign long")
     sets = signed.where("n_shingles >= 4").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"))
     return sets.join(counted, "set_id", "left").where(5 * F.coalesce("n_foreign", F.lit(0)) <= F.col("n_shingles")).drop("n_foreign")
 
@@ -222,6 +237,43 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
+def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components within clusters: rows (set_id, cluster, component), cut into blocks that meet pair by pair."""
+    sized = members.join(sets, "set_id").withColumn("n", F.octet_length("hashes") / 8)
+    cut = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    rows = sized.join(cut, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "component", "hashes")
+
+    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        sizes = np.array([len(x) for x in sets])
+        names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        common = np.cumsum(times > 1) - 1
+        row, column = np.repeat(np.arange(len(sets)), sizes)[times[column] > 1], common[column[times[column] > 1]]
+        block, ids, component = (rows[c].to_numpy() for c in ("block", "set_id", "component"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        place = np.zeros(len(sets), dtype=np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        for at in range(0, int(common[-1]) + 1 if len(common) else 0, CHUNK_COLUMNS):
+            here = (column >= at) & (column < at + CHUNK_COLUMNS)
+            x, y = np.zeros((len(left), CHUNK_COLUMNS), np.float32), np.zeros((len(right), CHUNK_COLUMNS), np.float32)
+            for side, dense in ((i, x), (j, y)):
+                mine = here & (block[row] == side)
+                dense[place[row[mine]], column[mine] - at] = 1
+            both += x @ y.T
+        near = 180 * both >= 80 * (sizes[left][:, None] + sizes[right][None, :])
+        near &= component[left][:, None] != component[right][None, :]
+        p, q = np.nonzero(near)
+        _, first = np.unique(np.stack([component[left[p]], component[right[q]]], axis=1), axis=0, return_index=True)  # one link for two components
+        return pd.DataFrame({"a": ids[left[p[first]]], "b": ids[right[q[first]]]})
+
+    return rows.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
+
+
 def set_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between different sets that join the same sets as all links do."""
     rows = _signature_rows(sets)
@@ -230,16 +282,22 @@ def set_links(sets: DataFrame) -> DataFrame:
     rank = shared.groupBy("set_id").agg(F.sum("count").alias("rank"))
     hubs = shared.join(rank, "set_id").groupBy("signature").agg(F.max(F.struct("rank", "set_id"))["set_id"].alias("hub"))
     spokes = shared.join(hubs, "signature").where("set_id <> hub")
-    tested = materialize(spokes.select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct(), "spokes")
-    links = materialize(_linked(tested, sets), "spoke-links")
-    held = shared.select("signature", "set_id").join(connected_components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
-    held = held.withColumn("component", F.coalesce("component", "set_id"))
-    open_groups = held.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = materialize(held.join(open_groups.select("signature"), "signature", "left_semi"), "open-signatures")
+    ends = (F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
+    tested = materialize(spokes.groupBy(*ends).agg(F.max("count").alias("largest")), "spokes")
+    links = materialize(_linked(tested.select("a", "b"), sets), "spoke-links")
+    components = materialize(connected_components(links).withColumnRenamed("node", "set_id"), "components")
+    label = F.coalesce("component", "set_id")
+    held = shared.where(F.col("count") <= LIGHT).select("signature", "set_id").join(components, "set_id", "left").withColumn("component", label)
+    several = held.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rest = materialize(held.join(several.select("signature"), "signature", "left_semi"), "open-signatures")
     cross = rest.alias("p").join(rest.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")))
     pairs = cross.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
     more = materialize(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets), "cross-links")
-    return links.unionByName(more)
+    clusters = connected_components(tested.where(F.col("largest") > LIGHT)).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    members = clusters.join(components, "set_id", "left").withColumn("component", label)
+    divided = members.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    most = materialize(_blocks(members.join(divided.select("cluster"), "cluster", "left_semi"), sets), "block-links")
+    return links.unionByName(more).unionByName(most)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
