@@ -26,9 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 500_000
+from rimward.llm.common import slices
+
+MEMO = 350_000
 #: Characters of texts, bytes of pieces and ids that are worked on at once (a longer one alone), and rounds of contraction in one query.
-TEXT_BLOCK, PIECE_BLOCK, ID_BLOCK, ROUNDS = 2_000_000, 500_000, 500_000, 64
+TEXT_BLOCK, PIECE_BLOCK, ID_BLOCK, ROUNDS = 1_000_000, 500_000, 200_000, 64
 
 _CONTRACT = f"""
 WITH RECURSIVE state(round, piece, ids) AS (
@@ -147,7 +149,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at, end in _blocks([len(t) for t in texts], TEXT_BLOCK):
                 ids = codec.encode(texts[at:end])

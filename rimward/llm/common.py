@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rimward.storage import stored as materialize
 
-__all__ = ["ascii_lower", "materialize", "text_or_empty"]
+__all__ = ["ascii_lower", "materialize", "slices", "text_or_empty"]
 
 
 def text_or_empty(column: str = "text"):
@@ -19,3 +22,10 @@ def ascii_lower(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(
         F.translate(column, upper, upper.lower())
     )
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

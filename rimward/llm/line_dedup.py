@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.llm.common import materialize
+from rimward.llm.common import materialize, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -63,10 +63,11 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bytes, int] = {}
-            for text in batch.column(0).to_pylist():
-                for key in set(map(line_key, _text_bytes(text).split(b"\n"))):
-                    if key and _long_enough(key, min_chars):
-                        found[key] = found.get(key, 0) + 1
+            for part in slices(iter([batch])):
+                for text in part.column(0).to_pylist():
+                    for key in set(map(line_key, _text_bytes(text).split(b"\n"))):
+                        if key and _long_enough(key, min_chars):
+                            found[key] = found.get(key, 0) + 1
             pairs = _hashes(list(found))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(list(found.values()), pa.int64())],
@@ -251,7 +252,7 @@ class LineIndex:
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits, spared = self_probe(blobs.value), except_for.value
-            for batch in batches:
+            for batch in slices(batches):
                 split = [_text_bytes(t).split(b"\n") for t in batch.column(1).to_pylist()]
                 keys = [list(map(line_key, lines)) for lines in split]
                 seen = [k for k in {k for ks in keys for k in ks} if k and _long_enough(k, min_chars)]
@@ -279,7 +280,7 @@ class LineIndex:
         gone = lines.join(repeated, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 split = [_text_bytes(t).split(b"\n") for t in batch.column(1).to_pylist()]
                 keys = [list(map(line_key, lines)) for lines in split]
                 out = []
