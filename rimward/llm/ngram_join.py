@@ -42,14 +42,14 @@ from rimward.components import connected_components
 
 WORDS = 5
 #: The share of the hash range in which shingles are counted for reduction (1), and entries per bucket of it.
-SAMPLE, BUCKET_ENTRIES = 0.3, 1_000_000
+SAMPLE, BUCKET_ENTRIES = 0.3, 250_000
 #: Hashes of sets up to this many are broadcast to pick their texts; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Parts per (k + 1)/2, see above: a fifth of the parts at least must agree.
 SPARE = 1.25
 
 #: Sets in a group up to which pairs are made; shingles in a block of a cluster; columns of a matrix at once.
-LIGHT, BLOCK_SHINGLES, CHUNK_COLUMNS = 32, 400_000, 4_096
+LIGHT, BLOCK_SHINGLES, CHUNK_COLUMNS = 32, 200_000, 2_048
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +116,7 @@ def possible_sets(signed: DataFrame) -> DataFrame:
     buckets = max(1, -(-total // BUCKET_ENTRIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             parts = [np.frombuffer(b, dtype=np.uint64) for b in batch.column(1).to_pylist()]
             ids = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
             hashes, ids = _two_of_each(np.concatenate(parts) if parts else np.array([], np.uint64), ids)
