@@ -6,8 +6,9 @@ co-occur with it; over the whole corpus of distinct texts, with n texts, a term
 
     disclosure  P(e | t) = n(e, t) / n(t)        and        information  log2(n * n(e, t) / (n(e) * n(t))).
 
-A term whose disclosure and information about an entity both reach their thresholds, in at least
-``min_support`` texts, would reveal it. It's generalised to ``[TERM]`` in the documents that hold the entity; base values are
+A term whose disclosure reaches ``min_disclosure`` would reveal the entity, if it tells anything about it: its information
+is positive and at least ``min_bits``. By default that is all, so terms of entities in a single text count, whatever the
+number of texts; ``min_support`` may ask for more texts. An entity in all texts has no such terms. A revealing term is generalised to ``[TERM]`` in the documents that hold the entity; base values are
 replaced by their kind. Terms never displace base spans.
 
 Edge cases. A null or empty text has no spans. Null or repeated ids are kept, each row with its own result. Repeated
@@ -127,7 +128,7 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, min_disclosure: float = 0.6, min_bits: float = 6.0) -> DataFrame:
+def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = 1, min_disclosure: float = 0.6, min_bits: float = 0.0) -> DataFrame:
     """(entity, term, disclosure, bits) of the terms that reveal an entity; ``found`` are the rows of ``base_spans(docs)`` with spans."""
     each = found.dropDuplicates(["text_hash"]).select("text_hash", "t", F.explode("spans").alias("s"))
     before = F.expr(f"substring(t, cast(greatest(s.start - {CONTEXT}, 0) as int) + 1, cast(least(s.start, {CONTEXT}) as int))")
@@ -147,7 +148,8 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = 3, min
     scored = often.join(n_entity, "entity").join(n_term, "term")
     disclosure = F.col("n_both") / F.col("n_term")
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return scored.select("entity", "term", disclosure.alias("disclosure"), bits.alias("bits")).where((F.col("disclosure") >= min_disclosure) & (F.col("bits") >= min_bits))
+    tells = F.lit(float(total)) * F.col("n_both") > F.col("n_entity") * F.col("n_term")  # whole numbers, so exact
+    return scored.where(tells & (disclosure >= min_disclosure) & (bits >= min_bits)).select("entity", "term", disclosure.alias("disclosure"), bits.alias("bits"))
 
 
 def _with_terms(found: DataFrame, revealing: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def _with_terms(found: DataFrame, revealing: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "t", "spans", added.alias("term_spans"))
 
 
-def sanitise(docs: DataFrame, min_support: int = 3, min_disclosure: float = 0.6, min_bits: float = 6.0) -> DataFrame:
+def sanitise(docs: DataFrame, min_support: int = 1, min_disclosure: float = 0.6, min_bits: float = 0.0) -> DataFrame:
     """(doc_id, text, base_spans, term_spans) per row of ``docs``: the sanitised text and what was found in it.
 
     Spans that overlap (a card inside a telephone number, say) are replaced together, by the first one's kind.

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rimward.llm import bpe, decontaminate, html_extract, line_dedup, ngram_join, pii, quality_rules, token_counts, toxic_spans, vp_search
+from rimward.llm import bpe, catalog, decontaminate, html_extract, line_dedup, ngram_join, pii, quality_rules, token_counts, toxic_spans, vp_search
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -204,6 +204,19 @@ def test_revealing_terms_are_generalised_where_their_entity_is(spark):
     assert all(r["text"] == d and not r["term_spans"] for r, d in zip(rows[5:], docs[5:], strict=True))
 
 
+@pytest.mark.parametrize("others", [1, 40, 400])
+def test_query_generalises_terms_of_entities_in_one_text_or_in_many(spark, tmp_path, others):
+    once = [f"the Quibbler wrote from qui@b.example to you {i}" for i in range(1)]
+    half = [f"the Zorblax wrote from zor@blax.example to you {i}" for i in range(others)]
+    docs = [*once, *half, *[f"the letter to you {i}" for i in range(others)]]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in catalog.op2_pii(spark, str(tmp_path)).collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        terms = {docs[r["doc_id"]][int(a) : int(b)] for k, a, b in spans if k == "term"}
+        assert terms & {"Quibbler", "Zorblax"} == set(re.findall("Quibbler|Zorblax", docs[r["doc_id"]]))
+        assert not terms & {"the", "you"}
+
+
 def test_html_keeps_the_article(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>"
