@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 LEAF = 256
 #: Queries of one broadcast, rows of one shard's tree and of the sample that gives radii.
 QUERY_BLOCK, SHARD_ROWS, SEED_ROWS = 4096, 65_536, 4096
-#: Distances are compared with this relative slack, as they're computed by another formula than the final ones.
-SLACK = 1e-9
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -52,9 +50,21 @@ def exact_distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+def _slack(width: int) -> float:
+    """Above the relative rounding error of sums of ``width`` squares or products, in any order."""
+    return 4.0 * (width + 4) * np.finfo(np.float64).eps
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by a^2 + b^2 - 2ab, and what each may be off by: near zero that's far more than relative rounding."""
+    sizes = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    return sizes - 2.0 * (a @ b.T), _slack(a.shape[1]) * sizes
+
+
+def _gaps(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Distances to a point, by differences, so within ``_slack`` of themselves."""
+    apart = rows - point
+    return np.sqrt(np.einsum("ij,ij->i", apart, apart))
 
 
 @dataclass
@@ -71,7 +81,7 @@ def build_tree(vectors: np.ndarray, rows: np.ndarray | None = None, seed: int =
     if len(rows) <= LEAF:
         return Node(rows=rows)
     point = vectors[rows[np.random.default_rng(seed + len(rows)).integers(len(rows))]]
-    gaps = _distances(point[None, :], vectors[rows])[0]
+    gaps = _gaps(vectors[rows], point)
     order = np.argsort(gaps, kind="stable")
     half = len(rows) // 2
     gaps, rows = gaps[order], rows[order]
@@ -88,7 +98,7 @@ class Search:
         self.ids, self.vectors, self.query_ids, self.queries, self.k, self.factor = ids, vectors, query_ids, queries, k, factor
         self.best = np.full((len(queries), k), np.inf)
         self.found = np.full((len(queries), k), -1)
-        self.radius = radius.copy()
+        self.radius, self.slack = radius.copy(), _slack(queries.shape[1])
 
     def run(self, node: Node, active: np.ndarray) -> None:
         if not len(active):
@@ -96,19 +106,19 @@ class Search:
         if node.rows is not None:
             self._leaf(node.rows, active)
             return
-        gaps = _distances(self.queries[active], node.point[None, :])[:, 0]
+        gaps = _gaps(self.queries[active], node.point)
         low, inner, outer, high = node.bounds
         to_near = np.maximum(np.maximum(gaps - inner, low - gaps), 0.0)
         to_far = np.maximum(np.maximum(outer - gaps, gaps - high), 0.0)
         first = to_near <= to_far
         for pick, gap, child in ((first, to_near, node.near), (~first, to_far, node.far), (~first, to_near, node.near), (first, to_far, node.far)):
-            reach = self.factor * self.radius[active] * (1 + SLACK) + SLACK
+            reach = self.factor * self.radius[active] * (1 + self.slack) + self.slack * (gaps + high)
             self.run(child, active[pick & (gap <= reach)])
 
     def _leaf(self, rows: np.ndarray, active: np.ndarray) -> None:
-        gaps = _distances(self.queries[active], self.vectors[rows])
-        gaps[self.query_ids[active][:, None] == self.ids[rows][None, :]] = np.inf
-        some = (gaps <= (self.radius[active] * (1 + SLACK) + SLACK)[:, None]) & np.isfinite(gaps)
+        squares, off = _squares(self.queries[active], self.vectors[rows])
+        squares[self.query_ids[active][:, None] == self.ids[rows][None, :]] = np.inf
+        some = (squares <= (self.radius[active] ** 2 * (1 + self.slack))[:, None] + off) & np.isfinite(squares)
         hit = some.any(axis=1)
         if not hit.any():
             return
@@ -141,10 +151,11 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
         if not len(part):
             continue
         ids, vectors = part["id"].to_numpy(), np.stack(part["vector"].to_list())
-        gaps = _distances(vectors, seed_rows)
-        gaps[ids[:, None] == seed_ids[None, :]] = np.inf
-        radius = np.partition(gaps, k - 1, axis=1)[:, k - 1] if gaps.shape[1] >= k else np.full(len(ids), np.inf)
-        sent = spark.sparkContext.broadcast((ids, vectors, radius * (1 + SLACK) + SLACK))
+        squares, off = _squares(vectors, seed_rows)
+        most = np.maximum(squares, 0.0) + off
+        most[ids[:, None] == seed_ids[None, :]] = np.inf
+        radius = np.sqrt(np.partition(most, k - 1, axis=1)[:, k - 1]) if most.shape[1] >= k else np.full(len(ids), np.inf)
+        sent = spark.sparkContext.broadcast((ids, vectors, radius))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             query_ids, query_rows, limits = sent.value

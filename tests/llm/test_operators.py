@@ -288,3 +288,39 @@ def test_forward_backward_equals_enumeration():
             marginal += w * np.array(y)
         assert np.allclose(both[at : at + n] / (1 + both[at : at + n]), marginal / total if n else [])
         at += n
+
+
+def neighbours(df, **kw):
+    got = collections.defaultdict(list)
+    for r in vp_search.nearest(df, df.where("vec_id % 100 = 0"), "vec_id", "embedding", **kw).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    return got
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 40])
+@pytest.mark.parametrize("norm", [1.0, 10.0])
+def test_search_finds_equal_vectors_in_other_leaves(batch, norm):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 64)).astype(np.float32)
+    v = (norm * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    at = rng.permutation(4000)[:3000].reshape(3, 1000)
+    v[at] = v[at[:, :1]]  # 3 vectors, each 1,000 times, so in several leaves
+    pick = np.arange(batch) % 3
+    ids, asked = np.arange(4000), v[at[pick, 0]]
+    run = vp_search.Search(ids, v, np.full(batch, -1), asked, np.full(batch, np.inf), 10, 1.0)
+    run.run(vp_search.build_tree(v), np.arange(batch))
+    for found, best, group in zip(run.found, run.best, at[pick], strict=True):
+        assert list(found) == sorted(group)[:10] and not best.any()
+
+
+def test_nearest_finds_equal_vectors_in_all_shards(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(3000, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    for g in range(0, 3000, 100):
+        v[g : g + 48] = v[g]  # a query and 47 copies, 12 or so in each shard
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours(df)
+    for q in range(0, 3000, 100):
+        gaps = vp_search.exact_distances(np.broadcast_to(v[q], v.shape), v)
+        assert [i for i, _ in got[q]] == [i for i in np.lexsort((np.arange(3000), gaps)) if i != q][:10]
