@@ -11,7 +11,8 @@ that its k nearest can't exceed, so shards prune from the start and return littl
 
 Edge cases. Vectors that are null, zero, or hold null or non-finite components, or with another length
 than most of the sample, take no part; neither do rows with a null id. A query's own id isn't its candidate, so repeated
-rows of one id never find each other. Ties go to the smaller id. Fewer than k candidates give all of them. An
+rows of one id never find each other. Candidates and queries are rows: a repeated row is as many candidates, and may take
+as many ranks; the pairs of all query rows of one id are ranked together, a pair as often as its query row is repeated. Ties go to the smaller id. Fewer than k candidates give all of them. An
 empty table gives no rows. Other columns are ignored.
 """
 
@@ -144,21 +145,22 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
     base, asked = base.where(F.size("vector") == width), asked.where(F.size("vector") == width)
     seeds = seeds[seeds["vector"].map(len) == width]
     seed_ids, seed_rows = seeds["id"].to_numpy(), np.stack(seeds["vector"].to_list())
+    asked = asked.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for block in range(blocks):  # of bounded size each: the driver never holds more than one
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).dropDuplicates(["id"]).toPandas()
+        part = asked.where(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)) == block).toPandas()
         if not len(part):
             continue
-        ids, vectors = part["id"].to_numpy(), np.stack(part["vector"].to_list())
+        ids, vectors, times = part["id"].to_numpy(), np.stack(part["vector"].to_list()), part["times"].to_numpy()
         squares, off = _squares(vectors, seed_rows)
         most = np.maximum(squares, 0.0) + off
         most[ids[:, None] == seed_ids[None, :]] = np.inf
         radius = np.sqrt(np.partition(most, k - 1, axis=1)[:, k - 1]) if most.shape[1] >= k else np.full(len(ids), np.inf)
-        sent = spark.sparkContext.broadcast((ids, vectors, radius))
+        sent = spark.sparkContext.broadcast((ids, vectors, radius, times))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, query_rows, limits = sent.value
+            query_ids, query_rows, limits, times = sent.value
             held: list[pa.RecordBatch] = []
 
             def shard() -> pa.RecordBatch:
@@ -167,6 +169,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
                 run = Search(row_ids, row_vectors, query_ids, query_rows, limits, k, factor)
                 run.run(build_tree(row_vectors), np.arange(len(query_ids)))
                 q, r = np.nonzero(np.isfinite(run.best))
+                q, r = np.repeat(q, times[q]), np.repeat(r, times[q])
                 return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(row_ids[run.found[q, r]]), pa.array(run.best[q, r])], names=["query_id", "id", "score"])
 
             for batch in batches:
@@ -182,5 +185,5 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")

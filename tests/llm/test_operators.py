@@ -324,3 +324,15 @@ def test_nearest_finds_equal_vectors_in_all_shards(spark):
     for q in range(0, 3000, 100):
         gaps = vp_search.exact_distances(np.broadcast_to(v[q], v.shape), v)
         assert [i for i, _ in got[q]] == [i for i in np.lexsort((np.arange(3000), gaps)) if i != q][:10]
+
+
+def test_nearest_takes_repeated_rows_as_rows(spark):
+    rng = np.random.default_rng(8)
+    v = [(i, [float(c) for c in x]) for i, x in enumerate(rng.normal(size=(301, 4)))]
+    near = (7, [c + 1e-3 for c in v[0][1]])  # the nearest to row 0, and repeated
+    rows = [*v[:7], *[near] * 12, *v[8:], v[200], v[200], (300, [0.5, 0.5, 0.5, 0.5])]
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    for q in (0, 100, 200, 300):
+        want = sorted((float(vp_search.exact_distances(np.array([a]), np.array([b]))[0]), j) for i, a in rows if i == q for j, b in rows if j != q)[:10]
+        assert got[q] == [(j, s) for s, j in want]
+    assert {i for i, _ in got[0]} == {7}
