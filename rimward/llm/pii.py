@@ -97,15 +97,19 @@ def _marked(order: int, kind: str) -> Column:
     return F.transform(valid, lambda s: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, t) per row; rows with one hash have one text."""
+    text = text_or_empty("text")
+    return docs.select("doc_id", F.xxhash64(text, F.char_length(text)).alias("text_hash"), text.alias("t"))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, t, spans) of the rows that may hold personal data; spans: array<struct<order, kind, start, end, value>>, by kind and start.
 
     ``t`` is null where nothing was found. Such rows are left to be filtered after the result is written: Catalyst
     would inline all of this into a filter here.
     """
-    text = text_or_empty("text")
-    rows = docs.select("doc_id", F.xxhash64(text, F.char_length(text)).alias("text_hash"), text.alias("t"))
-    rows = rows.where(F.col("t").contains("@") | F.col("t").rlike(r"[0-9][0-9\x20.()-]"))
+    rows = _hashed(docs).where(F.col("t").contains("@") | F.col("t").rlike(r"[0-9][0-9\x20.()-]"))
     hint = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+")}
     for kind, pattern in KINDS.items():
         rows = _located(rows, kind, F.lit(pattern), hint.get(kind, F.lit(True)))
@@ -140,11 +144,11 @@ def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = 1, min
     pairs = near.select("text_hash", "entity", F.explode(_terms(F.col("around"))).alias("term")).distinct()
     often = materialize(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support), "pii-pairs")
     wanted = often.select("term").distinct()
-    texts = docs.select(text_or_empty("text").alias("t"))
-    words = texts.select(F.explode(F.array_distinct(F.split("t", NOT_TERM))).alias("term"))
+    texts = _hashed(docs)
+    words = texts.dropDuplicates(["text_hash"]).select(F.explode(F.array_distinct(F.split("t", NOT_TERM))).alias("term"))
     # all words are counted before the join, so common ones shrink to a row per task; a semi join would be pushed below the count
     n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_few(wanted), "term")
-    total = texts.count()
+    total = texts.select("text_hash").distinct().count()
     scored = often.join(n_entity, "entity").join(n_term, "term")
     disclosure = F.col("n_both") / F.col("n_term")
     bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
@@ -185,8 +189,7 @@ def sanitise(docs: DataFrame, min_support: int = 1, min_disclosure: float = 0.6,
     )
     clean = marked.withColumn("clean", F.concat(F.array_join(pieces, ""), F.substring(F.col("t"), (_reach(F.size("o")) + 1).cast("int"), F.char_length("t"))))
     clean = clean.select("doc_id", "text_hash", "clean", "spans", "term_spans").dropDuplicates(["doc_id", "text_hash"])
-    text = text_or_empty("text")
-    rows = docs.select("doc_id", text.alias("t"), F.xxhash64(text, F.char_length(text)).alias("text_hash"))
+    rows = _hashed(docs)
     joined = rows.alias("r").join(clean.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.text_hash") == F.col("c.text_hash")), "left")
     none = F.array().cast(clean.schema["spans"].dataType)
     return joined.select(

@@ -217,6 +217,12 @@ def test_query_generalises_terms_of_entities_in_one_text_or_in_many(spark, tmp_p
         assert not terms & {"the", "you"}
 
 
+def test_copies_of_a_text_count_once_as_evidence(spark):
+    docs = [f"Zorblax wrote from zor@blax.example on day {i}" for i in range(5)] + [f"someone wrote from here on day {i}" for i in range(10)]
+    rows = pii.sanitise(frame(spark, docs + [docs[0]] * 1000)).where("contains(text, 'EMAIL')").collect()
+    assert len(rows) == 1005 and all("Zorblax" not in r["text"] and r["text"].startswith("[TERM] wrote from [EMAIL]") for r in rows)
+
+
 def test_html_keeps_the_article(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>"
