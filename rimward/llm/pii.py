@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations alone.
 
 Base detection finds e-mail addresses, IPv4 addresses, payment cards and telephone numbers. Each distinct
-value found is a *protected entity*. Terms (words) that stand within ``CONTEXT`` characters of an entity
-co-occur with it; over the whole corpus of distinct texts, with n texts, a term t and an entity e have
+value found is a *protected entity*. All terms (words) of a text co-occur with all its entities, however far apart they
+stand; over the whole corpus of distinct texts, with n texts, a term t and an entity e have
 
     disclosure  P(e | t) = n(e, t) / n(t)        and        information  log2(n * n(e, t) / (n(e) * n(t))).
 
@@ -18,7 +18,7 @@ searched whole; the patterns below take linear time and no deep recursion on any
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimward.llm.common import materialize, text_or_empty
@@ -33,7 +33,7 @@ KINDS = {
 }
 TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 NOT_TERM = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
-CONTEXT, MIN_TERM = 48, 3
+MIN_TERM = 3
 #: Terms, or rows of documents with terms, up to this many are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _BLOCK = 64
@@ -132,43 +132,54 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, min_support: int = 1, min_disclosure: float = 0.6, min_bits: float = 0.0) -> DataFrame:
-    """(entity, term, disclosure, bits) of the terms that reveal an entity; ``found`` are the rows of ``base_spans(docs)`` with spans."""
-    each = found.dropDuplicates(["text_hash"]).select("text_hash", "t", F.explode("spans").alias("s"))
-    before = F.expr(f"substring(t, cast(greatest(s.start - {CONTEXT}, 0) as int) + 1, cast(least(s.start, {CONTEXT}) as int))")
-    after = F.expr(f"substring(t, cast(s.end as int) + 1, {CONTEXT})")
-    # words cut by the edge of the context or the span are left out
-    around = F.concat(F.regexp_replace(before, f"^{TERM}|{TERM}$", ""), F.lit(" "), F.regexp_replace(after, f"^{TERM}|{TERM}$", ""))
-    near = each.select("text_hash", _entity(F.col("s")).alias("entity"), around.alias("around"))
-    n_entity = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("n_entity"))
-    pairs = near.select("text_hash", "entity", F.explode(_terms(F.col("around"))).alias("term")).distinct()
-    often = materialize(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support), "pii-pairs")
-    wanted = often.select("term").distinct()
+def _held(once: DataFrame) -> DataFrame:
+    """(text_hash, entity, n_entity) of the distinct texts ``once``; entities that are in the same texts all go by the least of them.
+
+    Two sums by xor over independent hashes of the texts, and their number, tell sets of texts apart.
+    """
+    each = materialize(once.select("text_hash", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")), "pii-entities")
+    sets = each.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("text_hash")).alias("a"), F.bit_xor(F.xxhash64("text_hash", F.lit(1))).alias("b")
+    )
+    names = sets.groupBy("n_entity", "a", "b").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
+    return each.join(names, "entity").select("text_hash", "entity", "n_entity")
+
+
+def revealing_terms(docs: DataFrame, once: DataFrame, min_support: int = 1, min_disclosure: float = 0.6, min_bits: float = 0.0) -> DataFrame:
+    """(text_hash, term) of the terms that reveal an entity of their text; ``once`` are the distinct texts of ``base_spans(docs)`` with spans."""
+    held = materialize(_held(once), "pii-held")
+    words = materialize(once.select("text_hash", F.explode(_terms(F.col("t"))).alias("term")), "pii-words")
+    most = held.agg(F.max("n_entity")).first()[0] or 0
     texts = _hashed(docs)
-    words = texts.dropDuplicates(["text_hash"]).select(F.explode(F.array_distinct(F.split("t", NOT_TERM))).alias("term"))
+    every = texts.dropDuplicates(["text_hash"]).select(F.explode(F.array_distinct(F.split("t", NOT_TERM))).alias("term"))
     # all words are counted before the join, so common ones shrink to a row per task; a semi join would be pushed below the count
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_few(wanted), "term")
+    counted = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(_few(words.select("term").distinct()), "term")
+    # n_both is at most n_entity, so no term is lost here, nor in the pairs below
+    n_term = materialize(counted.where(F.lit(most) / F.col("n_term") >= min_disclosure), "pii-terms")
     total = texts.select("text_hash").distinct().count()
-    scored = often.join(n_entity, "entity").join(n_term, "term")
-    disclosure = F.col("n_both") / F.col("n_term")
-    bits = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    tells = F.lit(float(total)) * F.col("n_both") > F.col("n_entity") * F.col("n_term")  # whole numbers, so exact
-    return scored.where(tells & (disclosure >= min_disclosure) & (bits >= min_bits)).select("entity", "term", disclosure.alias("disclosure"), bits.alias("bits"))
-
-
-def _with_terms(found: DataFrame, revealing: DataFrame) -> DataFrame:
-    """``found`` with the spans of revealing terms added, in the documents that hold their entity."""
-    entities = F.array_distinct(F.transform("spans", _entity))
-    held = found.select("doc_id", "text_hash", "t", F.explode(entities).alias("entity")).join(_few(revealing.select("entity", "term")), "entity")
-    terms = held.where(F.expr("contains(t, term)")).groupBy("text_hash").agg(F.collect_set("term").alias("terms"))  # bounded by the text's own words
+    pairs = words.join(_few(n_term), "term").join(held, "text_hash").where(F.col("n_entity") / F.col("n_term") >= min_disclosure)
+    pairs = materialize(pairs.select("text_hash", "entity", "term", "n_entity", "n_term"), "pii-pairs")
+    scored = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    ratio = F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))
+    enough = (F.col("n_both") >= min_support) & (F.col("n_both") / F.col("n_term") >= min_disclosure) & (ratio > 1) & (F.log2(ratio) >= min_bits)
+    revealing = materialize(scored.where(enough).select("entity", "term"), "pii-revealing")
+    return pairs.join(_few(revealing), ["entity", "term"]).select("text_hash", "term").distinct()
+
+
+def _with_terms(found: DataFrame, once: DataFrame, revealing: DataFrame) -> DataFrame:
+    """``found`` with the spans of the revealing terms of its texts added."""
+    rows = once.join(revealing.select("text_hash").distinct(), "text_hash", "left_semi")
+    parts = F.arrays_zip(F.split("t", TERM).alias("gap"), F.regexp_extract_all("t", F.lit(TERM), F.lit(0)).alias("term"))
+    each = rows.select("text_hash", F.posexplode(parts).alias("i", "p")).select("text_hash", "i", F.col("p.gap").alias("gap"), F.col("p.term").alias("term")).where("term IS NOT NULL")
+    # a running sum over one text's own words; there are too many for _located
+    end = F.sum(F.char_length("gap") + F.char_length("term")).over(Window.partitionBy("text_hash").orderBy("i"))
+    each = each.select("text_hash", "term", end.cast("long").alias("end"))
+    each = each.select("text_hash", "term", F.struct((F.col("end") - F.char_length("term")).alias("start"), "end", F.col("term").alias("value")).alias("s"))
+    terms = each.join(revealing, ["text_hash", "term"]).groupBy("text_hash").agg(F.sort_array(F.collect_list("s")).alias("term"))  # bounded by the text's own words
     rows = found.join(terms, "text_hash", "left")
-    pattern = F.concat(
-        F.lit(r"(?<![0-9A-Za-z\x{80}-\x{10FFFF}])(?:"), F.array_join(F.sort_array("terms", asc=False), "|"), F.lit(r")(?![0-9A-Za-z\x{80}-\x{10FFFF}])")
-    )
-    rows = _located(rows.withColumn("pattern", F.coalesce(pattern, F.lit("(?!)"))), "term", F.col("pattern"), F.col("terms").isNotNull())
     clear = F.filter("term", lambda s: ~F.exists("spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     added = F.transform(clear, lambda s: F.struct(F.lit(len(KINDS)).alias("order"), F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return rows.select("doc_id", "text_hash", "t", "spans", added.alias("term_spans"))
+    return rows.select("doc_id", "text_hash", "t", "spans", F.coalesce(added, F.filter("spans", lambda s: F.lit(False))).alias("term_spans"))
 
 
 def sanitise(docs: DataFrame, min_support: int = 1, min_disclosure: float = 0.6, min_bits: float = 0.0) -> DataFrame:
@@ -177,10 +188,13 @@ def sanitise(docs: DataFrame, min_support: int = 1, min_disclosure: float = 0.6,
     Spans that overlap (a card inside a telephone number, say) are replaced together, by the first one's kind.
     """
     found = materialize(base_spans(docs), "pii-base").where(F.col("t").isNotNull())
-    revealing = materialize(revealing_terms(docs, found, min_support, min_disclosure, min_bits), "pii-revealing")
-    marked = materialize(_with_terms(found, revealing), "pii-marked")
+    once = materialize(found.dropDuplicates(["text_hash"]).select("text_hash", "t", "spans"), "pii-once")
+    revealing = materialize(revealing_terms(docs, once, min_support, min_disclosure, min_bits), "pii-text-terms")
+    marked = materialize(_with_terms(found, once, revealing), "pii-marked")
     spans = F.array_sort(F.transform(F.concat("spans", "term_spans"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    marked = marked.withColumn("o", spans)
+    marked = marked.withColumn("o", spans).withColumn("ends", F.transform("o", lambda s: s["end"]))
+    tops = F.transform(F.sequence(F.lit(0), F.floor(F.size("o") / _BLOCK).cast("int")), lambda b: F.array_max(F.slice("ends", b * _BLOCK + 1, F.lit(_BLOCK))))
+    marked = marked.withColumn("tops", tops)
     pieces = F.transform(
         "o",
         lambda s, i: F.when(
@@ -198,8 +212,10 @@ def sanitise(docs: DataFrame, min_support: int = 1, min_disclosure: float = 0.6,
 
 
 def _reach(i: Column) -> Column:
-    """The furthest end of the spans of ``o`` before the i-th."""
-    return F.coalesce(F.when(i > 0, F.array_max(F.transform(F.slice("o", F.lit(1), i), lambda s: s["end"]))), F.lit(0).cast("long"))
+    """The furthest end of the spans of ``o`` before the i-th: ``tops`` has that of each whole block of ``ends``."""
+    block = F.floor(i / _BLOCK).cast("int")
+    whole, rest = F.array_max(F.slice("tops", F.lit(1), block)), F.array_max(F.slice("ends", block * _BLOCK + 1, i % _BLOCK))
+    return F.coalesce(F.greatest(whole, rest), F.lit(0).cast("long"))
 
 
 def span_list(spans: Column) -> Column:

@@ -223,6 +223,16 @@ def test_copies_of_a_text_count_once_as_evidence(spark):
     assert len(rows) == 1005 and all("Zorblax" not in r["text"] and r["text"].startswith("[TERM] wrote from [EMAIL]") for r in rows)
 
 
+def test_terms_far_from_their_entity_are_found(spark):
+    gap = " and so on" * 30
+    docs = [f"Zorblax wrote.{gap} Reply to zor@blax.example{gap}, says{gap if i % 2 else ''} Vantrell" for i in range(4)] + [f"a reply, says someone{gap} who wrote {i}" for i in range(8)]
+    docs += [" ".join(f"a{i}@b.example word{i}x" for i in range(400)), "word7x"]
+    rows = pii.sanitise(frame(spark, docs)).orderBy("doc_id").collect()
+    for r, d in zip(rows[:4], docs[:4], strict=True):
+        assert r["text"] == d.replace("Zorblax", "[TERM]").replace("Vantrell", "[TERM]").replace("Reply", "[TERM]").replace("zor@blax.example", "[EMAIL]")
+    assert rows[12]["text"] == " ".join("[EMAIL] " + ("word7x" if i == 7 else "[TERM]") for i in range(400)) and not rows[13]["term_spans"]
+
+
 def test_html_keeps_the_article(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>"
