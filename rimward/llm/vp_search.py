@@ -10,7 +10,7 @@ Before the search, each query's k-th distance to a bounded sample of the candida
 that its k nearest can't exceed, so shards prune from the start and return little.
 
 Edge cases. Vectors that are null, zero, or hold null or non-finite components, or with another length
-than most of the sample, take no part; neither do rows with a null id. A query's own id isn't its candidate, so repeated
+than the most frequent one of all usable rows (the smaller one of a tie), take no part; neither do rows with a null id. A query's own id isn't its candidate, so repeated
 rows of one id never find each other. Candidates and queries are rows: a repeated row is as many candidates, and may take
 as many ranks; the pairs of all query rows of one id are ranked together, a pair as often as its query row is repeated. Ties go to the smaller id. Fewer than k candidates give all of them. An
 empty table gives no rows. Other columns are ignored.
@@ -137,13 +137,13 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
     """(query_id, rank, id, score): the k rows of ``df`` nearest to each row of ``queries``, both with the same columns."""
     spark = df.sparkSession
     base, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col)
-    seeds = base.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).toPandas()
     out_schema = "query_id long, id long, score double"
-    if not len(seeds):
+    lengths = base.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    width = int(seeds["vector"].map(len).mode().iloc[0])
+    width = lengths["width"]
     base, asked = base.where(F.size("vector") == width), asked.where(F.size("vector") == width)
-    seeds = seeds[seeds["vector"].map(len) == width]
+    seeds = base.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).toPandas()
     seed_ids, seed_rows = seeds["id"].to_numpy(), np.stack(seeds["vector"].to_list())
     asked = asked.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

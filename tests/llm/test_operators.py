@@ -352,3 +352,12 @@ def test_nearest_takes_repeated_rows_as_rows(spark):
         want = sorted((float(vp_search.exact_distances(np.array([a]), np.array([b]))[0]), j) for i, a in rows if i == q for j, b in rows if j != q)[:10]
         assert got[q] == [(j, s) for s, j in want]
     assert {i for i, _ in got[0]} == {7}
+
+
+def test_nearest_takes_the_most_frequent_length_of_all_rows(spark, monkeypatch):
+    rows = [(i, [1.0, float(i)] if i % 5 < 3 else [1.0, 2.0, float(i)]) for i in range(100)]
+    monkeypatch.setattr(vp_search, "SEED_ROWS", 1)
+    for turn in range(5):  # whatever row the sample holds
+        df = spark.createDataFrame([(1 + (i + turn) * 10**turn, x) for i, x in rows], "vec_id long, embedding array<double>")
+        got = vp_search.nearest(df, df, "vec_id", "embedding", k=3)
+        assert got.select("query_id").distinct().count() == 60
