@@ -42,12 +42,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Documents without words are kept."""
+    """One document of each group of near-duplicates: the one with the smallest id, nulls last, and of those the least text hash.
+    Documents without words are kept; rows with equal id and text are one.
+    """
     ship_package(spark)
     groups = ngram_join.jaccard_components(docs)
-    alone = groups.where("n_shingles = 0 OR component_id = doc_id OR component_id IS NULL")
-    kept = alone.select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    own = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")))
+    kept = groups.groupBy("component", own.alias("own")).agg(first.alias("first")).select("first.kept_id", "first.kept_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
+    rows = docs.select(*COLUMNS).join(kept, same, "left_semi")
     return rows.dropDuplicates(["doc_id", "text"])
 
 

@@ -301,13 +301,13 @@ def set_links(sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) per row of ``docs``; component_id is the smallest id reachable by links."""
+    """(doc_id, text_hash, n_shingles, set_id, component, component_id) per row of ``docs``; component tells components apart, component_id is the smallest id reachable by links."""
     signed = materialize(signed_documents(docs), "signed")
     possible = materialize(possible_sets(signed), "possible")
     sets = materialize(_full_sets(docs, possible), "sets")
     components = connected_components(set_links(sets)).withColumnRenamed("node", "set_id")
-    rows = signed.select("doc_id", "n_shingles", "set_id").join(components, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(components, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     lowest = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return rows.join(lowest, "component", "left").select(
-        "doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", "n_shingles", "set_id", "component", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -39,6 +39,17 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [2, 5, 7, 8]
 
 
+def test_near_duplicates_with_null_or_repeated_ids_leave_one_of_each_group(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "pqrs"]
+    rows = [(None, base[0]), (None, base[0] + " more"), (3, base[1]), (5, base[1] + " more"), (5, base[2]), (None, base[3]), (9, base[3] + " more"), (None, "alone"), (None, None), (11, "")]
+    got = cp.dedup_documents(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema), DATA).collect()
+    found = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+    assert len([t for _, t in found if t and t.startswith("p0 ")]) == 1
+    rest = [x for x in found if not (x[1] and x[1].startswith("p0 "))]
+    assert rest == sorted([(3, base[1]), (5, base[2]), (9, base[3] + " more"), (None, "alone"), (None, None), (11, "")], key=str)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
