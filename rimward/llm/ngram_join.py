@@ -9,15 +9,18 @@ three cells are equal: each pair of cells of each part is a signature, and simil
 
 Two safe reductions come first. (1) In a similar pair at most a fifth of a set's shingles are foreign to its
 partner. A hash range with ``SAMPLE`` of all shingles is counted; sets with more than a fifth of their shingles
-proven foreign to every other set take no part. (2) A signature over empty cells is left out by sets in
+proven foreign to every other set take no part. All shingles of the sets that are left are counted once more, among
+those sets alone. (2) A signature over empty cells is left out by sets in
 which parts with empty cell pairs are fewer than the n1 - k/2 parts that must agree: one of those
 has content, and its signature is shared.
 
-Sets that share a signature are first compared with one *hub* of its group, the set with most shared
-signatures. Then sets of a group that aren't yet in one component are compared, all of them: in groups of up
-to ``LIGHT`` sets pair by pair; larger groups are joined to clusters by their hubs and cut into blocks of bounded
-size, and a task finds which components two blocks link. So no link between components is lost, though pairs
-are not enumerated.
+Sets that share a signature form a group, and what is sought is links that join components. In each of ``HUB_ROUNDS``
+rounds a set is compared with one *hub*, the set with most shared signatures of the largest group whose hub isn't
+in its component yet. Groups that then lie in one component are done. In the others a set's candidates are the
+members of other components. Sets with up to ``SPARSE`` candidates are compared with each of them, so pairs grow with the sets.
+What is left are pairs of sets that both have more: the groups join those to clusters, which are cut into
+blocks of bounded size, and a task finds which components two blocks link. So no link between components is
+lost, though pairs are not enumerated.
 
 Edge cases. Texts that are null, empty or white space have an empty set and no links. Texts of fewer than
 five words are one shingle, the whole sequence. Null ids take part but never name a component, unless all
@@ -48,8 +51,8 @@ BROADCAST_ROWS = 500_000
 #: Parts per (k + 1)/2, see above: a fifth of the parts at least must agree.
 SPARE = 1.25
 
-#: Sets in a group up to which pairs are made; shingles in a block of a cluster; columns of a matrix at once.
-LIGHT, BLOCK_SHINGLES, CHUNK_COLUMNS = 32, 200_000, 2_048
+#: Rounds of hubs; candidates of a set up to which pairs are made; shingles and sets in a block of a cluster; columns of a matrix at once.
+HUB_ROUNDS, SPARSE, BLOCK_SHINGLES, BLOCK_SETS, CHUNK_COLUMNS = 2, 16, 400_000, 2_048, 2_048
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -110,9 +113,9 @@ def _two_of_each(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes[keep], ids[keep]
 
 
-def possible_sets(signed: DataFrame) -> DataFrame:
-    """(set_id, n_shingles, text_hash) of the sets that may have a partner; text_hash is that of one of their texts."""
-    total = signed.agg(F.coalesce(F.sum(F.octet_length("sampled")), F.lit(0))).first()[0] // 8
+def foreign_counts(frame: DataFrame) -> DataFrame:
+    """(set_id, n_foreign) of (set_id, hashes): how many of a set's hashes no other set has. Sets without any may be missing."""
+    total = frame.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 8
     buckets = max(1, -(-total // BUCKET_ENTRIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +146,28 @@ def possible_sets(signed: DataFrame) -> DataFrame:
         packed = [np.split(x[order], starts[1:]) if len(names) else [] for x in (sets, counts)]
         return pd.DataFrame({"part": names, "sets": pd.Series([x.tobytes() for x in packed[0]], dtype=object), "counts": pd.Series([x.tobytes() for x in packed[1]], dtype=object)})
 
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
+    def total_of(rows: pd.DataFrame) -> pd.DataFrame:
         sets, at = np.unique(np.frombuffer(b"".join(rows["sets"]), np.int64), return_inverse=True)
         return pd.DataFrame({"set_id": sets, "n_foreign": np.bincount(at, weights=np.frombuffer(b"".join(rows["counts"]), np.int64)).astype(np.int64)})
 
-    dealt = signed.select("set_id", "sampled").mapInArrow(deal, "bucket long, hashes binary, ids binary")
+    dealt = frame.select("set_id", "hashes").mapInArrow(deal, "bucket long, hashes binary, ids binary")
     # a bucket's counts travel packed, so that rows don't grow with sets times buckets
     parts = dealt.groupBy("bucket").applyInPandas(foreign, "part long, sets binary, counts binary")
-    counted = parts.groupBy("part").applyInPandas(total, "set_id long, n_foreign long")
-    sets = signed.where("n_shingles >= 4").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"))
+    return parts.groupBy("part").applyInPandas(total_of, "set_id long, n_foreign long")
+
+
+def _partnered(sets: DataFrame, counted: DataFrame) -> DataFrame:
+    """The rows of ``sets`` with at most a fifth of ``n_shingles`` foreign to all others."""
     return sets.join(counted, "set_id", "left").where(5 * F.coalesce("n_foreign", F.lit(0)) <= F.col("n_shingles")).drop("n_foreign")
 
 
+def possible_sets(signed: DataFrame) -> DataFrame:
+    """(set_id, n_shingles, text_hash) of the sets that may have a partner; text_hash is that of one of their texts."""
+    counted = foreign_counts(signed.select("set_id", F.col("sampled").alias("hashes")))
+    sets = signed.where("n_shingles >= 4").groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.min("text_hash").alias("text_hash"))
+    return _partnered(sets, counted)
+
+
 def _full_sets(docs: DataFrame, possible: DataFrame) -> DataFrame:
     """(set_id, hashes) of the possible sets, from their texts."""
     wanted = possible.select("text_hash").distinct()
@@ -226,29 +239,34 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                ok.append(180 * len(np.intersect1d(x, y, assume_unique=True)) >= 80 * (len(x) + len(y)))
+                near = 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y))
+                ok.append(near and 180 * len(np.intersect1d(x, y, assume_unique=True)) >= 80 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    size = F.octet_length
     left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    sized = pairs.join(sets.select(F.col("set_id").alias("a"), size("hashes").alias("na")), "a").join(sets.select(F.col("set_id").alias("b"), size("hashes").alias("nb")), "b")
-    near = sized.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
-    return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
 def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components within clusters: rows (set_id, cluster, component), cut into blocks that meet pair by pair."""
-    sized = members.join(sets, "set_id").withColumn("n", F.octet_length("hashes") / 8)
-    cut = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    rows = sized.join(cut, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    """Links between components within clusters: rows (set_id, cluster, component), cut into blocks that meet pair by pair.
+
+    Only sets of one instance meet, as for signatures, so that rows of very different sizes stay apart.
+    """
+    edges = F.array(*[F.lit(int(e)) for e in band_edges()])
+    sized = members.join(sets, "set_id").withColumn("n", (F.octet_length("hashes") / 8).cast("long"))
+    band = F.size(F.filter(edges, lambda e: e <= F.col("n"))) - 1
+    sized = sized.withColumn("instance", F.explode(F.array(band, band - 1)))
+    most = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS))
+    cut = sized.groupBy("cluster", "instance").agg(most.cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = sized.join(cut.select("cluster", "instance", "blocks"), ["cluster", "instance"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "component", "hashes")
+    rows = rows.select("cluster", "instance", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "component", "hashes")
 
-    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, _, i, j = key
         sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        sizes = np.array([len(x) for x in sets])
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
         names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         common = np.cumsum(times > 1) - 1
         row, column = np.repeat(np.arange(len(sets)), sizes)[times[column] > 1], common[column[times[column] > 1]]
@@ -257,47 +275,96 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
         place = np.zeros(len(sets), dtype=np.int64)
         place[left] = np.arange(len(left))
         place[right] = np.arange(len(right))
-        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        both = np.zeros((len(left), len(right)), dtype=np.int64)
         for at in range(0, int(common[-1]) + 1 if len(common) else 0, CHUNK_COLUMNS):
             here = (column >= at) & (column < at + CHUNK_COLUMNS)
             x, y = np.zeros((len(left), CHUNK_COLUMNS), np.float32), np.zeros((len(right), CHUNK_COLUMNS), np.float32)
             for side, dense in ((i, x), (j, y)):
                 mine = here & (block[row] == side)
                 dense[place[row[mine]], column[mine] - at] = 1
-            both += x @ y.T
+            both += (x @ y.T).astype(np.int64)  # at most CHUNK_COLUMNS each, so exact
         near = 180 * both >= 80 * (sizes[left][:, None] + sizes[right][None, :])
         near &= component[left][:, None] != component[right][None, :]
         p, q = np.nonzero(near)
         _, first = np.unique(np.stack([component[left[p]], component[right[q]]], axis=1), axis=0, return_index=True)  # one link for two components
         return pd.DataFrame({"a": ids[left[p[first]]], "b": ids[right[q[first]]]})
 
-    return rows.groupBy("cluster", "i", "j").applyInPandas(meet, "a long, b long")
+    return rows.groupBy("cluster", "instance", "i", "j").applyInPandas(meet, "a long, b long")
+
+
+_ENDS = (F.least, "a"), (F.greatest, "b")
+
+
+def _pair(one: str, other: str) -> list:
+    return [of(one, other).alias(name) for of, name in _ENDS]
+
+
+def _open_groups(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """``rows`` (signature, set_id, size, rank) with each set's component, of the groups that lie in several."""
+    held = rows.join(components, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    several = held.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return held.join(several.select("signature"), "signature", "left_semi")
+
+
+def hub_pairs(rows: DataFrame, tested: DataFrame | None = None) -> DataFrame:
+    """One pair (a, b) at most for each set: with the hub of the largest of its groups whose hub is of another component, but for pairs in ``tested``."""
+    hubs = rows.groupBy("signature").agg(F.max(F.struct("rank", F.col("set_id").alias("hub"), F.col("component").alias("of"))).alias("h"))
+    spokes = rows.join(hubs, "signature").where("component <> h.of").select("set_id", "size", F.col("h.hub").alias("hub"))
+    spokes = spokes.groupBy("set_id", "hub").agg(F.max("size").alias("size"))
+    if tested is not None:
+        spokes = spokes.select("*", *_pair("set_id", "hub")).join(tested, ["a", "b"], "left_anti")
+    chosen = spokes.groupBy("set_id").agg(F.max(F.struct("size", "hub"))["hub"].alias("hub"))
+    return chosen.select(*_pair("set_id", "hub")).distinct()
+
+
+def sparse_pairs(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of sets of different components in one group of which one set has up to ``limit`` candidates, and the rows of the sets with more.
+
+    In a group of more than 2 * ``limit`` sets only a member of its largest component can have so few, and then the
+    other components have ``limit`` members at most. So no more pairs than ``limit`` times the sets are made.
+    """
+    own = rows.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("own"))
+    whole = own.groupBy("signature").agg(F.sum("own").alias("all"), F.max(F.struct("own", "component"))["component"].alias("major"))
+    rows = rows.select("signature", "set_id", "component").join(own, ["signature", "component"]).join(whole, "signature")
+    rows = rows.join(rows.groupBy("set_id").agg((F.sum(F.col("all") - F.col("own")) > limit).alias("dense")), "set_id")
+    rows = materialize(rows, "open-groups")
+    p, q = rows.alias("p"), rows.alias("q")
+    same = F.col("p.signature") == F.col("q.signature")
+    few = ~(F.col("p.dense") & F.col("q.dense"))
+    small = p.where(F.col("all") <= 2 * limit).join(q.where(F.col("all") <= 2 * limit), same & (F.col("p.component") < F.col("q.component")) & few)
+    large = p.where((F.col("all") > 2 * limit) & ~F.col("dense") & (F.col("component") == F.col("major"))).join(q.where("component <> major"), same)
+    pairs = [x.select(*_pair("p.set_id", "q.set_id")) for x in (small, large)]
+    return pairs[0].unionByName(pairs[1]).distinct(), rows.where("dense").select("signature", "set_id", "component")
+
+
+def dense_clusters(rows: DataFrame) -> DataFrame:
+    """(set_id, cluster, component) of the rows (signature, set_id, component), for clusters of several components; sets of one group are in one cluster."""
+    least = rows.groupBy("signature").agg(F.min("set_id").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    stars = rows.join(least.select("signature", "first"), "signature").select(F.col("first").alias("a"), F.col("set_id").alias("b")).where("a <> b").distinct()
+    clusters = connected_components(stars).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    return clusters.join(rows.select("set_id", "component").distinct(), "set_id")
 
 
 def set_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between different sets that join the same sets as all links do."""
     rows = _signature_rows(sets)
-    counts = rows.groupBy("signature").count().where("count > 1")
-    shared = materialize(rows.join(counts, "signature"), "signatures")
-    rank = shared.groupBy("set_id").agg(F.sum("count").alias("rank"))
-    hubs = shared.join(rank, "set_id").groupBy("signature").agg(F.max(F.struct("rank", "set_id"))["set_id"].alias("hub"))
-    spokes = shared.join(hubs, "signature").where("set_id <> hub")
-    ends = (F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b"))
-    tested = materialize(spokes.groupBy(*ends).agg(F.max("count").alias("largest")), "spokes")
-    links = materialize(_linked(tested.select("a", "b"), sets), "spoke-links")
-    components = materialize(connected_components(links).withColumnRenamed("node", "set_id"), "components")
-    label = F.coalesce("component", "set_id")
-    held = shared.where(F.col("count") <= LIGHT).select("signature", "set_id").join(components, "set_id", "left").withColumn("component", label)
-    several = held.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rest = materialize(held.join(several.select("signature"), "signature", "left_semi"), "open-signatures")
-    cross = rest.alias("p").join(rest.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")))
-    pairs = cross.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
-    more = materialize(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets), "cross-links")
-    clusters = connected_components(tested.where(F.col("largest") > LIGHT)).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
-    members = clusters.join(components, "set_id", "left").withColumn("component", label)
-    divided = members.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    most = materialize(_blocks(members.join(divided.select("cluster"), "cluster", "left_semi"), sets), "block-links")
-    return links.unionByName(more).unionByName(most)
+    sizes = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(rows.join(sizes, "signature"), "signatures")
+    rank = shared.groupBy("set_id").agg(F.sum("size").alias("rank"))
+    rows = shared.join(rank, "set_id").withColumn("component", F.col("set_id"))
+    tested = links = None
+    for _ in range(HUB_ROUNDS):
+        pairs = materialize(hub_pairs(rows, tested), "hub-pairs")
+        found = materialize(_linked(pairs, sets), "hub-links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        components = connected_components(links).withColumnRenamed("node", "set_id")
+        rows = materialize(_open_groups(rows.drop("component"), components), "open-signatures")
+        if rows.isEmpty():
+            return links
+    pairs, dense = sparse_pairs(rows, SPARSE)
+    links = links.unionByName(materialize(_linked(pairs.join(tested, ["a", "b"], "left_anti"), sets), "sparse-links"))
+    return links.unionByName(materialize(_blocks(dense_clusters(dense), sets), "block-links"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -305,9 +372,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = materialize(signed_documents(docs), "signed")
     possible = materialize(possible_sets(signed), "possible")
     sets = materialize(_full_sets(docs, possible), "sets")
+    sets = materialize(_partnered(sets.withColumn("n_shingles", F.octet_length("hashes") / 8), foreign_counts(sets)).select("set_id", "hashes"), "partnered-sets")
     components = connected_components(set_links(sets)).withColumnRenamed("node", "set_id")
-    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(components, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    lowest = rows.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return rows.join(lowest, "component", "left").select(
-        "doc_id", "text_hash", "n_shingles", "set_id", "component", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
+    # the least id of a set, then of a component; the joins below read written tables, so that a hot set or component can be split
+    least = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    labels = materialize(least.join(components, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "set-labels")
+    lowest = materialize(labels.groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
+    labels = materialize(labels.join(lowest, "component").select("set_id", "component", "lowest"), "labels")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "set_id").join(labels, "set_id", "left")
+    return rows.select(
+        "doc_id", "text_hash", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("component"),
+        F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"),
     )

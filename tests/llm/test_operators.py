@@ -125,10 +125,11 @@ def components(texts):
     return [(len(s), x) for s, x in zip(sets, label, strict=True)]
 
 
-@pytest.mark.parametrize("light", [32, 1])
-def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch, light):
-    monkeypatch.setattr(ngram_join, "LIGHT", light)
+@pytest.mark.parametrize("sparse", [16, 0])
+def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch, sparse):
+    monkeypatch.setattr(ngram_join, "SPARSE", sparse)
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0 if sparse else 500_000)
     rng = random.Random(9)
     group = []
     base = words(rng, 100).split()
@@ -142,6 +143,45 @@ def test_jaccard_components_equal_brute_force(spark, texts, monkeypatch, light):
     assert [(r["n_shingles"], r["component_id"]) for r in rows] == components(many)
 
 
+def test_pairs_grow_with_the_sets_of_a_cluster_of_near_copies(spark, monkeypatch):
+    rng = random.Random(10)
+    base = words(rng, 70).split()
+    many = []
+    for i in range(2400):  # most are linked to few others, directly or by way of others
+        copy = list(base)
+        for at in rng.sample(range(70), 1 + i % 6):
+            copy[at] = f"edit{rng.randrange(9)}"
+        many.append(" ".join(copy))
+    made, meant = [], ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, sets: made.append(pairs.count()) or meant(pairs, sets))
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 500)
+    rows = ngram_join.jaccard_components(frame(spark, many)).orderBy("doc_id").collect()
+    assert len(made) == ngram_join.HUB_ROUNDS + 1 and max(made[:-1]) <= 2400 and made[-1] <= ngram_join.SPARSE * 2400
+    column: dict = {}
+    matrix = np.zeros((2400, 60_000), dtype=np.float32)
+    for i, t in enumerate(many):
+        w = t.split()
+        for j in range(len(w) - 4):
+            matrix[i, column.setdefault(tuple(w[j : j + 5]), len(column))] = 1
+    both, size = matrix @ matrix.T, matrix.sum(1)
+    near = 180 * both >= 80 * (size[:, None] + size[None, :])
+    label, before = np.arange(2400), None
+    while before is None or (label != before).any():
+        before, label = label, np.where(near, label[None, :], 2400).min(1)
+    assert 10 < len(set(label)) < 2300
+    assert [r["component_id"] for r in rows] == label.tolist()
+
+
+def test_groups_of_many_sets_and_a_few_others_make_few_pairs(spark):
+    rows = [(s, i, 0 if i < 90 else i) for s in (1, 2) for i in range(93)] + [(3, 200 + i, 200 + i) for i in range(50)] + [(4, 1, 0), (4, 300, 300)]
+    pairs, dense = ngram_join.sparse_pairs(spark.createDataFrame(rows, "signature long, set_id long, component long"), 7)
+    want = {(i, j) for i in range(90) for j in (90, 91, 92)} | {(1, 300)}
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert got == want
+    # the others of group 1 have candidates beyond the limit, and are compared with each other in blocks
+    assert {r["set_id"] for r in dense.collect()} == {90, 91, 92} | set(range(200, 250))
+
+
 def test_jaccard_components_with_null_ids_and_empty_table(spark):
     rows = ngram_join.jaccard_components(frame(spark, ["a b c d e f", "a b c d e f", None], [None, 3, None])).collect()
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in rows if r["n_shingles"]) == [(False, 3), (True, 3)]
