@@ -1,13 +1,18 @@
 """Main text of web pages by paths on which the pages of a host agree.
 
 Each page is cut into blocks with their *generalised* path: tag names with class names, digits and ids left
-out. Every container scores the prose below it, less what stands in links; the page votes for the best one.
+out. Every container scores the prose in its whole subtree, less what stands in links. From the root, a page walks
+down while all prose lies in one child, so that the container it votes for has the headline, the lead and the closing
+beside the largest child; an ``article`` with most of the prose is taken as it is.
 Spark sums the votes per host, and the paths with at least ``share`` of a host's pages win. Each page is
-then read again at the first winning path that it has, or else at its own best container. Parts that are
-never article (menus, footers, adverts, forms, comments and so on, by tag, role or class) are left out.
+then read again at the first winning path with at least half the prose of its own container, or else at that.
+
+Parts that are never article (menus, footers, adverts, forms, comments and so on) are left out by tag, role, or by a class name or id
+that names such a part as a whole: each of its words is in ``MARKS`` or ``NEUTRAL``, one in ``MARKS`` at least. If nothing else
+is left of a page, what names alone had left out is read.
 
 Edge cases. A null or empty html gives an empty text. Pages without a usable url share the host ''. Broken,
-unclosed or cut-off markup is read as far as it goes. Ties between paths go to the larger score, then the
+unclosed or cut-off markup is read as far as it goes; time grows with the page, however deep it is nested. Ties between paths go to the larger score, then the
 smaller path. Null ids and repeated rows are kept. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -15,7 +20,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,6 +43,15 @@ MARKS = frozenset(
     "disclaimer footer gdpr masthead menu menus modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted "
     "related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons card column container content desktop fixed form global group head icons inner item items left link links list "
+    "main mobile outer page panel post posts right row section site slot sticky text thread title top unit wrap wrapper zone".split()
+)
+#: Elements that hold prose themselves, and lists of them; the others are containers.
+PROSE = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre".split())
+LISTS = frozenset("dl ol ul".split())
+#: Characters from which a paragraph, or text in a container itself, counts as prose when containers are compared. No text is dropped for its length.
+LONG, LONG_BARE = 60, 150
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -47,19 +63,79 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised path step of an element, and whether it's never part of an article."""
+def _names_other_part(name: str) -> bool:
+    """Whether a class name or id says that its element is no article: by all its words, not by any."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in NEUTRAL for w in words)
+
+
+def _step(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The generalised path step of an element, whether it's never part of an article, and whether only its names say so."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
-    classes = sorted({re.sub(r"\d+", "", c.lower()) for c in found.get("class", "").split()} - {""})
-    words = {w for c in [*classes, found.get("id", "").lower()] for w in re.split(r"[^a-z]+", c)}
+    classes = sorted({re.sub(r"\d+", "", c.lower()).replace("/", "|") for c in found.get("class", "").split()} - {""})
     off = tag in NEVER or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    return ".".join([tag, *classes]), off or (bool(words & MARKS) and tag not in ("html", "body", "main", "article"))
+    named = tag not in ("html", "body", "main", "article") and any(_names_other_part(c) for c in [*classes, found.get("id", "").lower()])
+    return ".".join([tag, *classes]), off, named or (tag == "article" and any(c.rstrip("s") == "comment" for c in classes))
+
+
+@dataclass
+class Page:
+    """The blocks of a page in order, (path, text, characters in links), and its paths; path 0 is the page, a path comes after its parent."""
+
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+    named: list[tuple[int, str, int]] = field(default_factory=list)  # left out for a name alone
+    parents: list[int] = field(default_factory=lambda: [0])
+    steps: list[str] = field(default_factory=lambda: [""])
+    known: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def child(self, parent: int, step: str) -> int:
+        found = self.known.get((parent, step))
+        if found is None:
+            found = self.known[parent, step] = len(self.steps)
+            self.parents.append(parent)
+            self.steps.append(step)
+        return found
+
+    def tag(self, path: int) -> str:
+        return self.steps[path].partition(".")[0]
 
+    def name(self, path: int) -> str:
+        out = []
+        while path:
+            out.append(self.steps[path])
+            path = self.parents[path]
+        return "/".join(reversed(out))
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters of it in links) of each block of text that may be article, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, left out
+    def find(self, name: str) -> int | None:
+        path: int | None = 0
+        for step in filter(None, name.split("/")):
+            path = self.known.get((path, step))
+            if path is None:
+                return None
+        return path
+
+    def inside(self, path: int) -> list[bool]:
+        """For every path, whether it's ``path`` or below it."""
+        out = [path == 0]
+        for i in range(1, len(self.parents)):
+            out.append(i == path or out[self.parents[i]])
+        return out
+
+
+@dataclass(frozen=True)
+class _Open:
+    tag: str
+    path: int
+    off: bool
+    named: bool
+    block: int  # where the nearest block element is in the stack, itself included; -1 for none
+
+
+def parse(page: str) -> Page:
+    """The blocks of text that may be article. Each element is opened and closed once, so time grows with the page."""
+    out = Page()
+    stack: list[_Open] = []
+    counts: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
 
@@ -68,68 +144,127 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append(("/".join(s for t, s, _ in stack if t in BLOCK), joined, linked))
+                top = stack[-1] if stack else None
+                (out.named if top and top.named else out.blocks).append((top.path if top else 0, joined, linked))
         text.clear()
         linked = 0
 
+    def close() -> None:
+        counts[stack.pop().tag] -= 1
+
     for m in TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
-                if not (stack and stack[-1][2]):
-                    text.append(m[0])
-                    if any(t == "a" for t, _, _ in stack):
-                        linked += len(m[0])
+            if (m[0][0] != "<" or m[0] == "<") and not (stack and stack[-1].off):
+                text.append(m[0])
+                if counts["a"]:
+                    linked += len(m[0])
             continue
         tag = tag.lower()
         if m[2]:
             if tag in BLOCK:
                 flush()
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            if counts[tag]:
+                while stack[-1].tag != tag:
+                    close()
+                close()
             continue
         if tag in BLOCK:
             flush()
-            while stack and tag in ENDS.get(next((t for t, _, _ in reversed(stack) if t in BLOCK), ""), ()):
-                while stack and stack[-1][0] not in BLOCK:
-                    stack.pop()
-                if not stack or tag not in ENDS.get(stack[-1][0], ()):
-                    break
-                stack.pop()
+            while stack and (at := stack[-1].block) >= 0 and tag in ENDS.get(stack[at].tag, ()):
+                while len(stack) > at:
+                    close()
         elif tag == "br":
             text.append(" ")
         if tag in VOID:
             continue
-        step, off = _step(tag, m[4])
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        stack.append((tag, step, off or (tag == "header" and not inside) or bool(stack and stack[-1][2])))
+        step, off, named = _step(tag, m[4])
+        above = stack[-1] if stack else _Open("", 0, False, False, -1)
+        off = off or above.off or (tag == "header" and not counts["article"] and not counts["main"])
+        if named and tag not in BLOCK:  # inside a block
+            off = True
+        path = out.child(above.path, step) if tag in BLOCK else above.path
+        stack.append(_Open(tag, path, off, named or above.named, len(stack) if tag in BLOCK else above.block))
+        counts[tag] += 1
     flush()
+    if not out.blocks:
+        out.blocks = out.named
     return out
 
 
-def best_container(found: list[tuple[str, str, int]]) -> tuple[str, float] | None:
-    """The container path with the most prose: each block counts fully for its parent and less for each step up."""
-    scores: dict[str, float] = {}
-    for path, text, linked in found:
-        worth = max(0, len(text) - 2 * linked) * (1.0 if re.search(r"(^|/)(p|h[1-6]|pre|li|blockquote|td|dd)(\.[^/]*)?$", path) else 0.6)
-        up = path.rpartition("/")[0] or path
-        weight = 1.0
-        while up and weight > 0.2:
-            favour = 1.5 if re.search(r"(^|/)(article|main)(\.[^/]*)?$", up) else 1.0
-            scores[up] = scores.get(up, 0.0) + worth * weight * favour
-            up, weight = up.rpartition("/")[0], weight * 0.7
-    return min(scores.items(), key=lambda s: (-s[1], s[0])) if scores else None
+def _prose(page: Page, path: int, text: str, linked: int) -> tuple[int, bool]:
+    """How much prose a block is, and whether it alone shows that its container is article."""
+    worth, tag = max(0, len(text) - 2 * linked), page.tag(path)
+    if tag in PROSE:
+        return worth, worth > 0 and (len(text) >= LONG or tag == "h1")
+    return int(0.6 * worth), worth >= LONG_BARE
+
 
+def best_container(page: Page) -> tuple[int, int] | None:
+    """(path, prose): the smallest container with all of a page's prose, as far as its marks tell."""
+    if not page.blocks:
+        return None
+    n = len(page.steps)
+    holder = list(range(n))  # the container of a path
+    for i in range(1, n):
+        if page.tag(i) in PROSE or page.tag(i) in LISTS:
+            holder[i] = holder[page.parents[i]]
+    total, strong, own, heads, own_heads = ([0] * n for _ in range(5))
+    for path, text, linked in page.blocks:
+        at, (worth, shows) = holder[path], _prose(page, path, text, linked)
+        head = page.tag(path) == "h1"
+        total[at] += worth
+        strong[at] += worth if shows and not head else 0
+        own[at] += worth if shows else 0
+        heads[at] += head
+        own_heads[at] += head
+    children: dict[int, list[int]] = {}
+    for i in range(n - 1, 0, -1):
+        if holder[i] == i:
+            up = holder[page.parents[i]]
+            total[up] += total[i]
+            strong[up] += strong[i]
+            heads[up] += heads[i]
+            children.setdefault(up, []).append(i)
+    start, most = 0, 0
+    for tag in ("article", "main"):
+        pick = max((i for i in range(n) if page.tag(i) == tag), key=lambda i: (total[i], -i), default=None)
+        if pick is not None and 2 * total[pick] >= max(1, total[0]):
+            start = pick
+            up = holder[page.parents[pick]]
+            if tag == "article" and not heads[pick] and own_heads[up] and page.tag(up) not in ("", "html", "body"):
+                start = up
+            if tag == "article":
+                return start, total[start]
+            break
+    while not own[start]:
+        below = [i for i in children.get(start, ()) if strong[i]]
+        if not below:
+            below = [i for i in children.get(start, ()) if total[i] and total[i] >= 0.9 * total[start]]
+        most = max(below, key=lambda i: (strong[i], total[i], -i), default=0)
+        if not most or len(below) > 1 or (heads[start] > heads[most] == 0):
+            break
+        start = most
+    return start, total[start]
 
-def read_at(found: list[tuple[str, str, int]], paths: list[str]) -> str:
-    for path in paths:
-        inside = [t for p, t, _ in found if p == path or p.startswith(path + "/")]
-        if inside:
-            return "\n".join(inside)
-    own = best_container(found)
-    # text outside any block element has no container
-    return "\n".join([t for p, t, _ in found if own is None or p == own[0] or p.startswith(own[0] + "/")])
+
+def read_at(page: Page, names: list[str]) -> str:
+    """The text at the first of the containers ``names`` that has half the prose of the page's own container at least, or at that one."""
+    own = best_container(page)
+    if own is None:
+        return ""
+    for name in names:
+        path = page.find(name)
+        if path is None or path == own[0]:
+            if path is not None:
+                break
+            continue
+        inside = page.inside(path)
+        prose = sum(_prose(page, p, t, k)[0] for p, t, k in page.blocks if inside[p])
+        if prose and 2 * prose >= own[1]:
+            return "\n".join([t for p, t, _ in page.blocks if inside[p]])
+    inside = page.inside(own[0])
+    return "\n".join([t for p, t, _ in page.blocks if inside[p]])
 
 
 def host_of(url):
@@ -145,14 +280,15 @@ def winning_paths(pages: DataFrame, share: float = 0.1) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cast: dict[tuple[str, str], list[float]] = {}
+            cast: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if best := best_container(blocks(page or "")):
-                    tally = cast.setdefault((host, best[0]), [0, 0.0])
+                parsed = parse(page or "")
+                if best := best_container(parsed):
+                    tally = cast.setdefault((host, parsed.name(best[0])), [0, 0])
                     tally[0] += 1
                     tally[1] += best[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in cast], pa.string()), pa.array([p for _, p in cast], pa.string()), pa.array([n for n, _ in cast.values()], pa.int64()), pa.array([round(s) for _, s in cast.values()], pa.int64())],
+                [pa.array([h for h, _ in cast], pa.string()), pa.array([p for _, p in cast], pa.string()), pa.array([n for n, _ in cast.values()], pa.int64()), pa.array([s for _, s in cast.values()], pa.int64())],
                 names=["host", "path", "votes", "score"],
             )
 
@@ -173,7 +309,7 @@ def extract(pages: DataFrame, share: float = 0.1) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [read_at(blocks(page or ""), paths or []) for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [read_at(parse(page or ""), paths or []) for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")

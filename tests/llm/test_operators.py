@@ -285,6 +285,42 @@ def test_html_keeps_the_article(spark):
     assert got[3] == got[4] == "" and got[5] == "plain text"
 
 
+SENTENCE = "Prose that is long enough to be told from a label, as it has a verb and a full stop."
+PAGES = {
+    "headline and lead beside the text": ("<body><div class=top>Site</div><div class=post><h1>Head</h1><p>lead</p><div class=text><p>{0}<p>{0}</div><p>closing</p></div><div class=low>(c) 2020</div>", "Head\nlead\n{0}\n{0}\nclosing"),
+    "names with one odd word": ('<article><p class="related-work">{0}<p id="notice-period">kept<p class="share-price">kept too</article>', "{0}\nkept\nkept too"),
+    "names of other parts": ('<div id=c><p>{0}<div class="cookie-banner">no</div><div id="related-posts"><p>{0}</div><p class=advert>no<p>a <span class=promo>no</span> b</div>', "{0}\na b"),
+    "comments longer than the article": ("<body><div class=entry><p>{0}</div><div class=comments><article class=comment><p>{0}<p>{0}<p>{0}</article></div>", "{0}"),
+    "only a name against it": ("<body><div class=widget><p>{0}</div><footer>(c)</footer>", "{0}"),
+    "sections": ("<main><div class=a><p>{0}</div><div class=b><p>{0}</div></main><div class=sidebar><p>{0}</div>", "{0}\n{0}"),
+    "lists and tables": ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table><pre>p  q</pre></article>", "one\ntwo\nx\ny\np q"),
+    "unclosed": ("<p>{0}<p><b>{0}<i>x", "{0}\n{0}x"),
+    "references": ("<article><p>&lt;b&gt; &amp;amp; &#233;&nbsp;x</article>", "<b> &amp; é x"),
+}
+
+
+def test_html_keeps_whole_articles_of_many_forms(spark):
+    rows = [(i, f"https://h{i}.example/{j}", form.format(SENTENCE), "x") for i, (form, _) in enumerate(PAGES.values()) for j in range(2)]
+    rows += [(99, "https://deep.example", "<div>" * 20_000 + "x" + "<b>" * 20_000 + "<p>y" * 20_000 + "</i>" * 20_000, "x"), (None, "https://h0.example/0", rows[0][2], None), rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = collections.defaultdict(set)
+    for r in html_extract.extract(pages).collect():
+        got[r["page_id"]].add(r["text"])
+        assert r["n_chars"] == len(r["text"])
+    for i, (name, (_, want)) in enumerate(PAGES.items()):
+        assert got[i] == {want.format(SENTENCE)}, name
+    assert got[99] == {"\n".join(["x"] + ["y"] * 20_000)} and got[None] == got[0]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_html_reads_pages_at_the_path_of_their_host(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    page = "<body><div class=c><h1>H</h1><p>{0}</div><div class=other>{1}</div>"
+    rows = [(i, "https://h.example/x", page.format(SENTENCE, "" if i else f"<p>{SENTENCE}")) for i in range(20)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"H\n{SENTENCE}"}  # also the page that would take its own body
+
+
 @pytest.mark.parametrize("rows", [30, 3000])
 def test_nearest_is_exact_at_factor_one(spark, rows):
     rng = np.random.default_rng(4)
