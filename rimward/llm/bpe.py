@@ -5,9 +5,13 @@ hasn't met go to one recursive query: their token-position rows are joined with
 leftmost pair of minimum rank is contracted, until none is left. A worker remembers up to ``MEMO`` pieces. Decoding joins
 ids with the vocabulary and aggregates the bytes in order.
 
+In pieces from ``LONG`` bytes all pairs of the minimum rank are contracted in a round, from the left, where they don't
+overlap, up to the first whose new token makes a pair of a lower rank with a neighbour: that pair would come before the
+others. So the ids are those of single contractions. A query takes no more memory than DuckDB's limit, and nothing is spilled.
+
 Edge cases. A null or empty text gives an empty list of ids, a null list of ids no bytes. Null or repeated
 ids of documents are kept. An id that isn't in the vocabulary raises an error. Texts of any length are
-encoded whole; a single piece (a run of letters, say) takes time that grows with the square of its length.
+encoded whole; a single piece (a run of letters, say) takes as many rounds as different tokens form in it.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -31,6 +35,8 @@ from rimward.llm.common import slices
 MEMO = 350_000
 #: Characters of texts, bytes of pieces and ids that are worked on at once (a longer one alone), and rounds of contraction in one query.
 TEXT_BLOCK, PIECE_BLOCK, ID_BLOCK, ROUNDS = 1_000_000, 500_000, 200_000, 64
+#: Bytes from which a piece is long, and bytes of long pieces at once (a longer one alone) and rounds of their queries.
+LONG, LONG_BLOCK, LONG_ROUNDS = 64, 50_000, 16
 
 _CONTRACT = f"""
 WITH RECURSIVE state(round, piece, ids) AS (
@@ -51,6 +57,40 @@ WITH RECURSIVE state(round, piece, ids) AS (
 SELECT piece, arg_max(ids, round) AS ids, max(round) AS rounds FROM state GROUP BY piece
 """
 
+# hits: the pairs of least rank; firsts: every second of a run of them; after: the ranks that a contracted pair would have with its neighbours
+_CONTRACT_ALL = f"""
+WITH RECURSIVE state(round, piece, ids) AS (
+    SELECT 0, piece, ids FROM pieces
+    UNION ALL (
+        WITH tokens AS (SELECT round, piece, unnest(ids) AS a, unnest(list_append(ids[2:], NULL)) AS b, generate_subscripts(ids, 1) AS pos FROM state WHERE round < {LONG_ROUNDS}),
+        pairs AS (SELECT t.piece, t.pos, m.token FROM tokens t JOIN merges m ON m.first = t.a AND m.second = t.b),
+        least AS (SELECT piece, min(token) AS token FROM pairs GROUP BY piece),
+        hits AS (SELECT piece, pos, token, pos - row_number() OVER (PARTITION BY piece ORDER BY pos) AS run FROM pairs SEMI JOIN least USING (piece, token)),
+        firsts AS (SELECT piece, pos, token FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY pos) AS place FROM hits) WHERE place % 2 = 1),
+        around AS (
+            SELECT f.piece, f.pos, f.token, CASE WHEN g.pos IS NULL THEN l.a ELSE f.token END AS before, r.a AS after
+            FROM firsts f LEFT JOIN tokens l ON l.piece = f.piece AND l.pos = f.pos - 1
+            LEFT JOIN tokens r ON r.piece = f.piece AND r.pos = f.pos + 2 LEFT JOIN firsts g ON g.piece = f.piece AND g.pos = f.pos - 2
+        ),
+        stops AS (
+            SELECT piece, min(pos) AS stop FROM around JOIN merges m ON (m.first = around.before AND m.second = around.token) WHERE m.token < around.token GROUP BY piece
+            UNION ALL
+            SELECT piece, min(pos) AS stop FROM around JOIN merges m ON (m.first = around.token AND m.second = around.after) WHERE m.token < around.token GROUP BY piece
+        ),
+        taken AS (
+            SELECT f.piece, f.pos, f.token FROM firsts f LEFT JOIN (SELECT piece, min(stop) AS stop FROM stops GROUP BY piece) s ON s.piece = f.piece
+            WHERE f.pos <= coalesce(s.stop, f.pos)
+        )
+        SELECT t.round + 1, t.piece, list(coalesce(f.token, t.a) ORDER BY t.pos)
+        FROM (SELECT * FROM tokens SEMI JOIN least USING (piece)) t
+        LEFT JOIN taken f ON f.piece = t.piece AND f.pos = t.pos
+        ANTI JOIN taken g ON g.piece = t.piece AND g.pos + 1 = t.pos
+        GROUP BY t.round, t.piece
+    )
+)
+SELECT piece, arg_max(ids, round) AS ids, max(round) AS rounds FROM state GROUP BY piece
+"""
+
 _DECODE = """
 SELECT doc, array_to_string(list(v.bytes ORDER BY i.pos), '') AS bytes
 FROM (SELECT doc, unnest(ids) AS token, generate_subscripts(ids, 1) AS pos FROM encoded) i
@@ -67,7 +107,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pieces: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "duckdb_spill"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         splits = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         first, second, token = zip(*(s for s in splits if s[0] is not None and s[1] is not None), strict=True)
         merges = pa.table({"first": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32()), "token": pa.array(token, pa.int32())})  # noqa: F841
@@ -75,35 +115,35 @@ class Codec:
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary")
 
-    def _contract(self, rows: list[np.ndarray]) -> list[bytes]:
-        """The ids of each row of single-byte tokens, as int32 bytes. Very long rows take several queries."""
+    def _contract(self, rows: list[np.ndarray], query: str = _CONTRACT, most: int = ROUNDS) -> list[bytes]:
+        """The ids of each row of single-byte tokens, as int32 bytes. Rows of more than ``most`` rounds take several queries."""
         done: list[bytes] = [b""] * len(rows)
         names, left = np.arange(len(rows), dtype=np.int32), rows
         while left:
             self.db.register("pieces", pa.table({"piece": names, "ids": _lists(left)}))
-            out = self.db.sql(_CONTRACT).to_arrow_table().combine_chunks()
+            out = self.db.sql(query).to_arrow_table().combine_chunks()
             self.db.unregister("pieces")
             names, ids = out["piece"].to_numpy(), out["ids"].combine_chunks()
             starts, raw = ids.offsets.to_numpy() * 4, ids.values.to_numpy().tobytes()
             for name, a, b in zip(names.tolist(), starts.tolist(), starts[1:].tolist(), strict=False):
                 done[name] = raw[a:b]
-            names = names[out["rounds"].to_numpy() == ROUNDS]
+            names = names[out["rounds"].to_numpy() == most]
             left = [np.frombuffer(done[name], dtype=np.int32) for name in names]
         return done
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't remembered yet."""
-        new, raws = [], []
+        short, long = [], []
         for piece in pieces:
             raw = piece.encode("utf-8", "replace")
             if raw in self.ranks:
                 self.pieces[piece] = np.int32(self.ranks[raw]).tobytes()
             else:
-                new.append(piece)
-                raws.append(raw)
-        for at, end in _blocks([len(r) for r in raws], PIECE_BLOCK):
-            rows = [self.single[np.frombuffer(r, np.uint8)] for r in raws[at:end]]
-            self.pieces.update(zip(new[at:end], self._contract(rows), strict=True))
+                (long if len(raw) >= LONG else short).append((piece, raw))
+        for new, size, query, most in ((short, PIECE_BLOCK, _CONTRACT, ROUNDS), (long, LONG_BLOCK, _CONTRACT_ALL, LONG_ROUNDS)):
+            for at, end in _blocks([len(raw) for _, raw in new], size):
+                rows = [self.single[np.frombuffer(raw, np.uint8)] for _, raw in new[at:end]]
+                self.pieces.update(zip([piece for piece, _ in new[at:end]], self._contract(rows, query, most), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
@@ -142,20 +182,23 @@ def _blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def _encoded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for at, end in _blocks([len(t) for t in texts], TEXT_BLOCK):
+            ids = codec.encode(texts[at:end])
+            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>). The driver reads the rank file, of fixed size, and broadcasts it."""
     ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at, end in _blocks([len(t) for t in texts], TEXT_BLOCK):
-                ids = codec.encode(texts[at:end])
-                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+        yield from _encoded(_codec(ranks.value, pattern), batches)
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -168,13 +211,30 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
         for batch in batches:
-            ids = batch.column(1)
-            known = pa.compute.is_in(ids.flatten(), pa.array(codec.ranks.values(), pa.int32()))
-            if not pa.compute.all(known, min_count=0).as_py():
-                raise ValueError("an id isn't in the vocabulary")
-            sizes = [n or 0 for n in pa.compute.list_value_length(ids).to_pylist()]
-            for at, end in _blocks(sizes, ID_BLOCK):
-                part = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(part.column(1)), pa.binary())], names=["doc_id", "ids", "bytes"])
+            yield from _decoded(codec, batch)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
+
+
+def _decoded(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ids = batch.column(1)
+    known = pa.compute.is_in(ids.flatten(), pa.array(codec.ranks.values(), pa.int32()))
+    if not pa.compute.all(known, min_count=0).as_py():
+        raise ValueError("an id isn't in the vocabulary")
+    sizes = [n or 0 for n in pa.compute.list_value_length(ids).to_pylist()]
+    for at, end in _blocks(sizes, ID_BLOCK):
+        part = batch.slice(at, end - at)
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codec.decode(part.column(1)), pa.binary())], names=["doc_id", "ids", "bytes"])
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """``decode(encode(docs))``, by one Python worker with one vocabulary a task instead of two."""
+    ranks = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks.value, pattern)
+        for batch in _encoded(codec, batches):
+            yield from _decoded(codec, batch)
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")

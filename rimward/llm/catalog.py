@@ -59,7 +59,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    out = bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, pattern)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

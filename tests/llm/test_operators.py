@@ -86,6 +86,17 @@ def test_bpe_equals_the_library_and_round_trips(spark, texts):
     assert [bytes(r["bytes"]) for r in rows] == [(t or "").encode() for t in more]
 
 
+def test_bpe_of_long_pieces_equals_the_library(spark):
+    rng = random.Random(11)
+    many = ["a" * 100_000, "abcdefghij" * 10_000, "x" * 100_007, *["".join(rng.choice(letters) for _ in range(3_000)) for letters in ("acgt", "thean", "ing", "abcdefghijklmnopqrstuvwxyz", "=-", "\u0928\u092e\u0938", " \n", "19")]]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = bpe.round_trip(frame(spark, [*many, None, ""]), RANKS, PATTERN).orderBy("doc_id").collect()
+    assert [list(r["ids"]) for r in rows] == [library.encode_ordinary(t) for t in many] + [[], []]
+    assert [bytes(r["bytes"]) for r in rows] == [t.encode() for t in many] + [b"", b""]
+    assert bpe.round_trip(frame(spark, []), RANKS, PATTERN).count() == 0
+
+
 def test_bpe_rejects_unknown_ids(spark):
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [60000])], "doc_id long, ids array<int>"), RANKS, PATTERN).collect()
