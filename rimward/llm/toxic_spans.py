@@ -6,8 +6,10 @@ The field has two states; its emissions are linear in the lexicon weights of a t
 fitted by gradient ascent with exact forward-backward expectations. A document's score is a logistic
 function of the marginals' sum, maximum and density; spans are runs of tokens that are more likely toxic than not.
 
-Bounds of the fit: ``MAX_TRAIN`` labelled rows (smallest hash of the id), ``LEXICON`` words, and ``FIELD_DOCS``
-of those rows, of ``FIELD_CHARS`` characters at most, for the field's weights. All documents are scored, whole.
+Words are runs of letters, marks, digits and underscores, lower-cased, in the lexicon and in the field alike.
+
+Bounds of the fit: ``MAX_TRAIN`` labelled rows (smallest hash of the id), ``LEXICON`` words, and, for the field's weights,
+``FIELD_WINDOWS`` of the windows of ``FIELD_TOKENS`` words that the rows' whole texts are cut into (smallest hash). All documents are scored, whole.
 
 Edge cases. Null and empty texts have no tokens and get a score. Null labels take no part. Without labels of
 both kinds the score is the share of ones (0.5 without labels). Null ids and repeated rows are kept. An empty
@@ -17,18 +19,21 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TRAIN, LEXICON, FIELD_DOCS, FIELD_CHARS = 20_000, 5_000, 2_000, 20_000
+from rimward.llm.common import materialize, slices
+
+MAX_TRAIN, LEXICON, FIELD_WINDOWS, FIELD_TOKENS = 20_000, 5_000, 2_000, 1_000
 MIN_DOCS, MIN_Z = 5, 4.0
-WORD = re.compile(r"\w+")
+LETTERS = r"\p{L}\p{M}\p{N}_"
+WORD = regex.compile(f"[{LETTERS}]+")
 ROUNDS, RATE = 150, 0.1
 
 
@@ -160,7 +165,7 @@ def _lexicon(rows: DataFrame) -> tuple[dict[str, float], int, int]:
     once = rows.dropDuplicates(["text"])
     sides = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sides.get(1, 0), sides.get(0, 0)
-    words = once.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+"))).alias("word")).where("word <> ''")
+    words = once.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), f"[^{LETTERS}]+"))).alias("word")).where("word <> ''")
     counts = words.groupBy("word").agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0")).where(F.col("k1") >= MIN_DOCS)
     odds = F.log((F.col("k1") + 0.5) / (n1 + 1.0)) - F.log((F.col("k0") + 0.5) / (n0 + 1.0))
     z = odds / F.sqrt(1.0 / (F.col("k1") + 0.5) + 1.0 / (F.col("k0") + 0.5))
@@ -178,19 +183,42 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _field(rows: DataFrame, lexicon: dict[str, float]) -> Field:
+    """Fitted on a bounded number of windows of the rows (doc_id, text, toxic): their words' weights, and the words of the lexicon in toxic texts as labels."""
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ToxicModel(sent.value, Field((-5.0, 1.0, 0.0, 0.0), (0.0, 0.0), 0.0), (0.0, 0.0, 0.0, 0.0))
+        for batch in slices(batches):
+            keys, starts, toxic, weights = [], [], [], []
+            for key, text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                values, _ = model.lexical([text])
+                for at in range(0, len(values), FIELD_TOKENS):
+                    keys.append(key)
+                    starts.append(at)
+                    toxic.append(kind)
+                    weights.append(values[at : at + FIELD_TOKENS].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(toxic, pa.int32()), pa.array(weights, pa.binary())], names=["key", "start", "toxic", "weights"])
+
+    windows = rows.select(F.xxhash64("doc_id").alias("key"), "text", "toxic").mapInArrow(cut, "key long, start long, toxic int, weights binary")
+    few = windows.orderBy(F.xxhash64("key", "start"), "key", "start", "toxic", "weights").limit(FIELD_WINDOWS).select("toxic", "weights").toPandas()
+    each = [np.frombuffer(w, np.float32).astype(float) for w in few["weights"]]
+    lay = Ragged(np.array([len(w) for w in each], dtype=np.int64))
+    values = np.concatenate(each) if each else np.zeros(0)
+    return fit_field(values, (values > 0) & (few["toxic"].to_numpy()[lay.doc] == 1), lay)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_TRAIN) -> ToxicModel:
     """Fit on labelled documents (doc_id, text) and labels (doc_id, ``label_col``), ``max_rows`` at most."""
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = materialize(rows, "toxic-rows")  # read by each of the steps below
     lexicon, n1, n0 = _lexicon(rows)
     if not n1 or not n0:
         share = min(max(n1 / (n1 + n0) if n1 + n0 else 0.5, 1e-6), 1 - 1e-6)
         return ToxicModel({}, Field((-5.0, 1.0, 0.0, 0.0), (0.0, 0.0), 0.0), (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    small = rows.where(F.char_length("text") <= FIELD_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIELD_DOCS).select("text", "toxic").toPandas()
-    model = ToxicModel(lexicon, Field((-5.0, 1.0, 0.0, 0.0), (0.0, 0.0), 0.0), (0.0, 0.0, 0.0, 0.0))
-    values, lay = model.lexical(small["text"].to_list())
-    field = fit_field(values, (values > 0) & (small["toxic"].to_numpy()[lay.doc] == 1), lay)
+    field = _field(rows, lexicon)
     model = ToxicModel(lexicon, field, (0.0, 0.0, 0.0, 0.0))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 

@@ -372,6 +372,22 @@ def test_toxic_spans_are_found(spark):
     assert any("Scum" in docs[300][s["start"] : s["end"]] for s in rows[300]["spans"]) and not rows[301]["spans"]
 
 
+def test_toxic_words_with_combining_marks_are_one_word(spark):
+    rng = random.Random(12)
+    vile = "\u0939\u093f\u0928\u094d\u0926\u0940"  # six code points, three of them marks
+    docs = [words(rng, 40) if i % 4 else f"{words(rng, 20)} {vile} {words(rng, 20)}" for i in range(200)]
+    long = words(rng, 30_000) + f" {vile}"
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(200, 1)], "doc_id long, toxic int")
+    model = toxic_spans.train(frame(spark, [*docs, long]), labels)  # windows of a long text take part too
+    assert vile in model.lexicon
+    rows = toxic_spans.tag(frame(spark, [*docs, long, docs[0]], [*range(201), 0]), model).orderBy("doc_id").collect()
+    assert rows[0] == rows[1]
+    for r, d in zip(rows[1:], [*docs, long], strict=True):
+        assert [d[s["start"] : s["end"]] for s in r["spans"]] == [vile] * (vile in d)
+    assert toxic_spans.tag(frame(spark, []), model).count() == 0
+    assert toxic_spans.train(frame(spark, []), labels).lexicon == {}
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     lengths = np.array([3, 0, 5, 1])
