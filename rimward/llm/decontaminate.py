@@ -4,7 +4,8 @@ Words are hashed to 64 bits. Of every ``WINNOW`` neighbouring ``GRAM``-grams of
 (with all its ties). ``WINNOW + GRAM - 1`` is the window length, so any window that a document and an item
 share has a kept gram in common. Kept grams of documents and items are joined, and each hit is extended to
 the windows around it, which must equal an item's window in whole. Items shorter than a window are a window
-of their own length, for which every gram is kept.
+of their own length. They are found in one pass over the words: a bitmap of fixed size tells which neighbouring word pairs (or words, for
+items of one word) can begin such an item, and only from those on windows are made and joined.
 
 Edge cases. A null or empty text has no words, and an item without words no window. Null or repeated ids of
 documents are kept, each row with its own result. Null item ids count as no item. Items with the same text
@@ -20,6 +21,8 @@ from rimward.llm.common import ascii_lower, text_or_empty
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
+#: Bits of the bitmap of the first words of short items. With more items it tells less, and nothing is lost.
+BITS = 1 << 18
 #: Hashes of the benchmark up to this many rows are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -83,8 +86,43 @@ def kept_grams(hashed: DataFrame, window: int, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode_outer("row").alias("row")).select(*keep, "row.*").where(F.col("gram").isNotNull())
 
 
-def _starts(length: int):
-    return lambda i: F.struct(i.alias("start"), _gram(F.col("words"), i, length).alias("window"))
+def _bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(BITS))
+
+
+def _bitmap(keys: DataFrame) -> Column:
+    """A constant array of longs with the bit of every ``key`` set; BITS / 64 rows at most come to the driver."""
+    at = _bit(F.col("key"))
+    longs = keys.groupBy(F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {BITS}L), 64) as int))")).alias("bits")).collect()
+    held = {r["i"]: r["bits"] for r in longs}
+    return F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(BITS // 64))), ",").cast("array<bigint>")
+
+
+def _has_bit(bitmap: Column, key: Column) -> Column:
+    return F.getbit(F.get(bitmap, F.floor(_bit(key) / 64).cast("int")), F.pmod(_bit(key), F.lit(64)).cast("int")) == 1
+
+
+def _short_starts(hashed: DataFrame, items: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """(``keep``, start, size, window) of the windows of ``sizes`` words in documents that begin like an item of fewer words than a window."""
+    n, most = F.size("words"), max(sizes)
+    short = items.where(n.between(1, most))
+    if 1 in sizes:
+        words = _bitmap(short.where(n == 1).select(F.col("words")[0].alias("key")))
+    if most > 1:
+        pairs = _bitmap(short.where(n > 1).select(_gram(F.col("words"), F.lit(0), 2).alias("key")))
+
+    def begins(i: Column) -> Column:
+        found = F.lit(False)
+        if 1 in sizes:
+            found = found | _has_bit(words, F.get(F.col("words"), i))
+        if most > 1:
+            found = found | ((i + 1 < n) & _has_bit(pairs, _gram(F.col("words"), i, 2)))
+        return found
+
+    row = F.transform(F.filter(_positions(n), begins), lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(most)).alias("next")))
+    rows = hashed.select(*keep, F.explode_outer(row).alias("row")).select(*keep, "row.*").where(F.col("start").isNotNull())
+    windows = F.array(*[F.when(F.size("next") >= s, F.struct(F.lit(s).alias("size"), _gram(F.col("next"), F.lit(0), s).alias("window"))) for s in sizes])
+    return rows.select(*keep, "start", F.explode(windows).alias("w")).where(F.col("w").isNotNull()).select(*keep, "start", "w.size", "w.window")
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -117,10 +155,9 @@ def window_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Data
         last = F.col("first") + F.size("around") - window
         spread = hits.select("doc_id", "text_hash", "first", "around", F.explode(F.sequence(F.col("first"), F.least(F.col("pos"), last))).alias("start"))
         starts = spread.select("doc_id", "text_hash", "start", F.lit(window).alias("size"), _gram(F.col("around"), F.col("start") - F.col("first"), window).alias("window"))
-    for length in (s for s in sizes if s < window):
-        every = F.transform(_positions(F.size("words") - (length - 1)), _starts(length))
-        short = hashed.select("doc_id", "text_hash", F.explode_outer(every).alias("row")).select("doc_id", "text_hash", "row.start", F.lit(length).alias("size"), "row.window")
-        starts = short if starts is None else starts.unionByName(short)
+    if short := [s for s in sizes if s < window]:
+        begun = _short_starts(hashed, items, short, "doc_id", "text_hash")
+        starts = begun if starts is None else starts.unionByName(begun)
     if starts is None:
         return hashed.where(F.lit(False)).select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"))
     return starts.join(_small(windows, total), ["size", "window"]).select("doc_id", "text_hash", "start", "size", "item_id")
