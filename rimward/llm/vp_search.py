@@ -1,13 +1,15 @@
 """Nearest neighbours by a vantage-point tree per shard.
 
-Every partition of the candidates is a shard and holds a vantage-point tree over all its rows: a node splits its rows by
-the median distance to a vantage point; leaves hold up to ``LEAF`` rows. Queries are searched in blocks
-of bounded size, broadcast one after the other. A query descends into a child unless the triangle inequality says
-that nothing there is nearer than its current k-th candidate. ``factor`` relaxes that pruning: at 1 the search
-is exact, below 1 a node is left out sooner. Shards return each query's k best, and a window keeps the best k.
+Candidates are dealt to the nearest of up to ``CELLS`` pivots, and a cell is cut evenly into shards of bounded size, so that
+equal vectors never gather. A shard holds a vantage-point tree over all its rows: a node splits its rows by
+the median distance to a vantage point; leaves hold up to ``LEAF`` rows. A query goes to the shards of the cells that
+the triangle inequality leaves, and descends there into a child unless the inequality says
+that nothing in it is nearer than its current k-th candidate. ``factor`` relaxes that pruning: at 1 the search
+is exact, below 1 a cell or node is left out sooner. Shards return each query's k best, and a window keeps the best k.
 
 Before the search, each query's k-th distance to a bounded sample of the candidates (``SEED_ROWS``) gives a radius
-that its k nearest can't exceed, so shards prune from the start and return little.
+that its k nearest can't exceed, so shards prune from the start and return little. Candidates and queries meet by one shuffle; a task
+reads a shard's rows, builds its tree once and searches the queries that follow in blocks. The driver holds the sample and a row per cell.
 
 Edge cases. Vectors that are null, zero, or hold null or non-finite components, or with another length
 than the most frequent one of all usable rows (the smaller one of a tie), take no part; neither do rows with a null id. A query's own id isn't its candidate, so repeated
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rimward.llm.common import materialize
+
 LEAF = 256
-#: Queries of one broadcast, rows of one shard's tree and of the sample that gives radii.
-QUERY_BLOCK, SHARD_ROWS, SEED_ROWS = 4096, 65_536, 4096
+#: Queries searched at once, least and most rows of a shard's tree, rows of the sample that gives radii, and of that the pivots of cells.
+QUERY_BLOCK, LEAST_ROWS, SHARD_ROWS, SEED_ROWS, CELLS = 4096, 4096, 65_536, 4096, 256
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -133,57 +137,111 @@ class Search:
         self.radius[at] = np.minimum(self.radius[at], self.best[at, -1])
 
 
+def _nearest_pivot(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector and the distance to it."""
+    cell, gap = np.zeros(len(vectors), dtype=np.int32), np.full(len(vectors), np.inf)
+    for i, pivot in enumerate(pivots):
+        own = _gaps(vectors, pivot)
+        nearer = own < gap
+        cell[nearer], gap[nearer] = i, own[nearer]
+    return cell, gap
+
+
+def _radii(ids: np.ndarray, vectors: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which each query's k nearest lie: its k-th to the sample, as far as rounding may have moved it."""
+    squares, off = _squares(vectors, seeds)
+    most = np.maximum(squares, 0.0) + off
+    most[ids[:, None] == seed_ids[None, :]] = np.inf
+    return np.sqrt(np.partition(most, k - 1, axis=1)[:, k - 1]) if most.shape[1] >= k else np.full(len(ids), np.inf)
+
+
 def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, factor: float = 1.0) -> DataFrame:
     """(query_id, rank, id, score): the k rows of ``df`` nearest to each row of ``queries``, both with the same columns."""
     spark = df.sparkSession
     base, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col)
-    out_schema = "query_id long, id long, score double"
     lengths = base.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     width = lengths["width"]
     base, asked = base.where(F.size("vector") == width), asked.where(F.size("vector") == width)
     seeds = base.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).toPandas()
-    seed_ids, seed_rows = seeds["id"].to_numpy(), np.stack(seeds["vector"].to_list())
+    sent = spark.sparkContext.broadcast((seeds["id"].to_numpy(), np.stack(seeds["vector"].to_list())))
+    n_cells = min(CELLS, len(seeds), max(1, lengths["count"] // SHARD_ROWS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = sent.value[1][:n_cells]
+        for batch in batches:
+            cell, gap = _nearest_pivot(_matrix(batch.column(1)), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(gap)], names=["id", "vector", "cell", "gap"])
+
+    dealt = base.mapInArrow(deal, "id long, vector array<double>, cell int, gap double")
+    dealt = materialize(dealt.withColumn("place", F.monotonically_increasing_id()), "vp-cells")
+    cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("gap").alias("low"), F.max("gap").alias("high")).orderBy("cell").toPandas()
+    rows = int(np.clip(lengths["count"] // (4 * spark.sparkContext.defaultParallelism), LEAST_ROWS, SHARD_ROWS))
+    cells["shards"] = -(-cells["rows"] // rows)
+    cells["first"] = cells["shards"].cumsum() - cells["shards"]
+    layout = spark.createDataFrame(cells[["cell", "shards", "first"]].astype("int32"), "cell int, shards int, first int")
+    shard = (F.col("first") + F.pmod("place", F.col("shards"))).cast("int")
+    candidates = dealt.join(F.broadcast(layout), "cell").select(shard.alias("shard"), F.lit(False).alias("asks"), "id", "vector", F.lit(0.0).alias("radius"), F.lit(0).cast("long").alias("times"))
+    # a repeated query row is searched once
     asked = asked.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):  # of bounded size each: the driver never holds more than one
-        part = asked.where(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)) == block).toPandas()
-        if not len(part):
-            continue
-        ids, vectors, times = part["id"].to_numpy(), np.stack(part["vector"].to_list()), part["times"].to_numpy()
-        squares, off = _squares(vectors, seed_rows)
-        most = np.maximum(squares, 0.0) + off
-        most[ids[:, None] == seed_ids[None, :]] = np.inf
-        radius = np.sqrt(np.partition(most, k - 1, axis=1)[:, k - 1]) if most.shape[1] >= k else np.full(len(ids), np.inf)
-        sent = spark.sparkContext.broadcast((ids, vectors, radius, times))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, query_rows, limits, times = sent.value
-            held: list[pa.RecordBatch] = []
-
-            def shard() -> pa.RecordBatch:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                row_ids, row_vectors = rows.column(0).to_numpy(), np.ascontiguousarray(_matrix(rows.column(1).combine_chunks()))
-                run = Search(row_ids, row_vectors, query_ids, query_rows, limits, k, factor)
-                run.run(build_tree(row_vectors), np.arange(len(query_ids)))
+    sent_cells = spark.sparkContext.broadcast(cells)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (seed_ids, seed_rows), cells = sent.value, sent_cells.value
+        pivots, low, high = seed_rows[cells["cell"].to_numpy()], cells["low"].to_numpy(), cells["high"].to_numpy()
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            radius = _radii(ids, vectors, seed_ids, seed_rows, k)
+            gaps, slack = np.stack([_gaps(vectors, p) for p in pivots], axis=1), _slack(vectors.shape[1])
+            apart = np.maximum(np.maximum(gaps - high, low - gaps), 0.0)
+            reached = apart <= (factor * radius * (1 + slack))[:, None] + slack * (gaps + high)
+            lists = [np.concatenate([np.arange(a, a + n) for a, n in zip(cells["first"][r], cells["shards"][r], strict=True)]) if r.any() else np.array([], np.int64) for r in reached]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(radius), pa.array(lists, pa.list_(pa.int32()))], names=["id", "vector", "times", "radius", "shards"])
+
+    routed = asked.select("id", "vector", "times").mapInArrow(route, "id long, vector array<double>, times long, radius double, shards array<int>")
+    routed = routed.select(F.explode("shards").alias("shard"), F.lit(True).alias("asks"), "id", "vector", "radius", "times")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, waiting, tree = None, [], [], None
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal tree, waiting
+            if waiting and held:
+                if tree is None:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    rows = np.ascontiguousarray(_matrix(table.column("vector").combine_chunks()))
+                    tree = table.column("id").to_numpy(), rows, build_tree(rows)
+                ask = pa.Table.from_batches(waiting).combine_chunks()
+                ids, vectors = ask.column("id").to_numpy(), np.ascontiguousarray(_matrix(ask.column("vector").combine_chunks()))
+                run = Search(tree[0], tree[1], ids, vectors, ask.column("radius").to_numpy(), k, factor)
+                run.run(tree[2], np.arange(len(ids)))
                 q, r = np.nonzero(np.isfinite(run.best))
-                q, r = np.repeat(q, times[q]), np.repeat(r, times[q])
-                return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(row_ids[run.found[q, r]]), pa.array(run.best[q, r])], names=["query_id", "id", "score"])
-
-            for batch in batches:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= SHARD_ROWS:
-                    yield shard()
-                    held = []
-            if held:
-                yield shard()
-
-        got = base.mapInArrow(search, out_schema)
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+                times = ask.column("times").to_numpy()[q]
+                q, r = np.repeat(q, times), np.repeat(r, times)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(tree[0][run.found[q, r]]), pa.array(run.best[q, r])], names=["query_id", "id", "score"])
+            waiting = []
+
+        for batch in batches:  # in order of shards, each one's candidates before its queries
+            names, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (asks[1:] != asks[:-1])) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if names[a] != shard:
+                    yield from answer()
+                    shard, held, tree = names[a], [], None
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                for at in range(a, b, QUERY_BLOCK):
+                    waiting.append(batch.slice(at, min(QUERY_BLOCK, b - at)))
+                    if sum(w.num_rows for w in waiting) >= QUERY_BLOCK:
+                        yield from answer()
+        yield from answer()
+
+    met = candidates.unionByName(routed).repartition("shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(search, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score")

@@ -457,6 +457,22 @@ def test_nearest_takes_repeated_rows_as_rows(spark):
     assert {i for i, _ in got[0]} == {7}
 
 
+@pytest.mark.parametrize(("factor", "least"), [(1.0, 1.0), (0.6, 0.9)])
+def test_nearest_over_cells_and_shards(spark, monkeypatch, factor, least):
+    for name, value in {"LEAST_ROWS": 50, "SHARD_ROWS": 100, "CELLS": 7, "QUERY_BLOCK": 9, "LEAF": 8}.items():
+        monkeypatch.setattr(vp_search, name, value)
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(1400, 8)) + 3 * rng.normal(size=(7, 8))[np.arange(1400) % 7], np.ones((600, 8))])  # and one vector 600 times
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got, hits, asked = neighbours(df, factor=factor), 0, range(0, 2000, 100)
+    for q in asked:
+        gaps = vp_search.exact_distances(np.broadcast_to(v[q], v.shape), v)
+        want = [i for i in np.lexsort((np.arange(2000), gaps)) if i != q][:10]
+        hits += len(set(want) & {i for i, _ in got[q]})
+        assert factor < 1 or [i for i, _ in got[q]] == want
+    assert hits >= least * 10 * len(asked)
+
+
 def test_nearest_takes_the_most_frequent_length_of_all_rows(spark, monkeypatch):
     rows = [(i, [1.0, float(i)] if i % 5 < 3 else [1.0, 2.0, float(i)]) for i in range(100)]
     monkeypatch.setattr(vp_search, "SEED_ROWS", 1)
