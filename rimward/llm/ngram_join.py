@@ -289,6 +289,8 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
         _, first = np.unique(np.stack([component[left[p]], component[right[q]]], axis=1), axis=0, return_index=True)  # one link for two components
         return pd.DataFrame({"a": ids[left[p[first]]], "b": ids[right[q[first]]]})
 
+    # dealt by all four: the join above has dealt by the first two, which would put all of a cluster's blocks in one task
+    rows = rows.repartition("cluster", "instance", "i", "j")
     return rows.groupBy("cluster", "instance", "i", "j").applyInPandas(meet, "a long, b long")
 
 
