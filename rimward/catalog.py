@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rimward import centrality as ce
@@ -24,6 +24,8 @@ from rimward.storage import stored
 Query = Callable[[SparkSession, str], DataFrame]
 K, R, ALPHA = 4, 0.08, 6.0
 MASK_SIDE = 21
+#: Triangles over the four means; the last has no area.
+FANS = ((0, 1, 2), (1, 2, 3), (0, 3, 3))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +89,15 @@ def hull_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample_id", F.col("p.col1").alias("x1"), F.col("p.col2").alias("y1"), F.col("q.col1").alias("x2"), F.col("q.col2").alias("y2"))
 
 
+def dist_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance in space to fans of triangles between the means of a sample's quarters by id."""
+    nodes = nodes3(spark, sf_dir)
+    part = F.pmod("node_id", F.lit(4))
+    means = nodes.groupBy("sample_id").agg(*[F.array(*[F.avg(F.when(part == i, F.col(a))) for a in "xyz"]).alias(f"p{i}") for i in range(4)])
+    fans = means.select("sample_id", F.explode(F.array(*[F.struct(F.col(f"p{i}").alias("a"), F.col(f"p{j}").alias("b"), F.col(f"p{k}").alias("c")) for i, j, k in FANS])).alias("t")).select("sample_id", "t.*")
+    return _rounded(di.distance_to_triangles(nodes, fans), di.TRIANGLES)
+
+
 def dist_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(di.distance_to_alpha_shape(nodes2(spark, sf_dir), ALPHA), di.ALPHA)
 
@@ -150,8 +161,16 @@ def scalar_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality(flow: Flow) -> DataFrame:
     q = flow.flow().fit_quality
-    fixed = [F.round(c, 6).alias(c.replace(" ", "_")) for c in ("entropy_AIC_weights", "observed_half_life", "observed_effect_strength", "included samples", "affected samples", "scaled_relative_likelihood_over_baseline")]
-    return q.select("sample_id", "measure", "best_fit_type", *fixed, F.to_json("params").alias("params"))
+    fixed = [F.round(c, 4).alias(c.replace(" ", "_")) for c in ("entropy_AIC_weights", "observed_half_life", "observed_effect_strength", "included samples", "affected samples", "scaled_relative_likelihood_over_baseline")]
+    names = F.array_sort(F.map_keys("params"))
+    # the level c is the last parameter of each curve
+    level = F.element_at("params", F.filter(names, lambda n: n.endswith("_c"))[0])
+    return q.select("sample_id", "measure", "best_fit_type", *fixed, F.array_join(names, ",").alias("params"), _digits(level).alias("c"))
+
+
+def _digits(c: Column) -> Column:
+    """The first four digits of a number and its sign, as a number from 1 to 10."""
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(F.nullif(c, F.lit(0.0)))))), 3))
 
 
 def flow_from_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +194,7 @@ def flow_from_edgelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_from_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Flow.from_coords(nodes2(spark, sf_dir), di.distance_to_convex_hull, "delaunay", ["degree", "closeness"])
     out = flow.flow().observations
-    return out.select("sample_id", "node_id", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("sample_id", "node_id")])
+    return out.select("sample_id", "node_id", *[F.round(c, 4 if c.startswith("corrected") else 6).alias(c) for c in out.columns if c not in ("sample_id", "node_id")])
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +213,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    dist_rect, dist_pointset, dist_mask_edt, dist_hull2d, dist_hull3d, hull_edges, dist_alpha, knn_edges, rnn_edges, delaunay_edges, *[_measure(m) for m in ce.MEASURES],
+    dist_rect, dist_pointset, dist_mask_edt, dist_hull2d, dist_hull3d, dist_triangles, hull_edges, dist_alpha, knn_edges, rnn_edges, delaunay_edges, *[_measure(m) for m in ce.MEASURES],
     finite_mask, *[_fit(m) for m in mo.DEFAULT_MODELS], model_weights, scalar_statistics, flow_from_distances, flow_from_scores, flow_from_edgelist, flow_from_coords, observations,
 )
 
@@ -262,20 +281,30 @@ candidates AS (
 best AS (SELECT sample_id, arg_min(b, e) AS b, arg_min(m, e) AS m, arg_min(c, e) AS c FROM candidates GROUP BY 1)"""
 
 
-def _fit_sql(model: mo.CurveModel) -> str:
-    tail = f"""SELECT sample_id, '{model.name}' AS model, n AS n_included, round(affected, 4) AS affected, round(strength, 3) AS effect_strength, round(ll, 2) AS ll,
+def _fit_sql(model: mo.CurveModel, rows: str = _PRICES, report: bool = False) -> str:
+    """One model's fits of ``rows``: what the queries of single fits show, or, for the ``report`` of a flow, all that it needs."""
+    tail = f"""SELECT sample_id, '{model.name}' AS model, {[*mo.DEFAULT_MODELS[1:], mo.CONSTANT].index(model)} AS ord, b, m, c, n, affected, strength, half, plateau, 2 * {model.n_params + 1} - 2 * ll AS aic
+        FROM (SELECT *, -0.5 * n * (ln(2 * pi() * greatest(mse, 2.2250738585072014e-308)) + 1) AS ll FROM fitted)""" if report else f"""SELECT sample_id, '{model.name}' AS model, n AS n_included, round(affected, 4) AS affected, round(strength, 3) AS effect_strength, round(ll, 2) AS ll,
         round(2 * {model.n_params + 1} - 2 * ll, 2) AS aic
         FROM (SELECT *, -0.5 * n * (ln(2 * pi() * greatest(mse, 2.2250738585072014e-308)) + 1) AS ll FROM fitted)"""
     if model.key == mo.CONSTANT.key:
-        return f"WITH {_PRICES}, fitted AS (SELECT sample_id, count(*) AS n, var_pop(s) AS mse, 0.0::DOUBLE AS affected, 0.0::DOUBLE AS strength FROM rows GROUP BY 1) {tail}"
+        return f"WITH {rows}, fitted AS (SELECT sample_id, count(*) AS n, var_pop(s) AS mse, 0.0::DOUBLE AS affected, 0.0::DOUBLE AS strength, 0.0::DOUBLE AS half, avg(s) AS plateau, NULL::DOUBLE AS b, NULL::DOUBLE AS m, avg(s) AS c FROM rows GROUP BY 1) {tail}"
     basis = {"piecewise_linear": "least({d}, b)", "exponential_saturation": "(1 - exp(-b * {d}))", "michaelis_menten": "({d} / (b + {d}))"}[model.key]
     reach = {"piecewise_linear": "d <= b", "exponential_saturation": f"d < {-math.log(1 - 0.95)!r} / b", "michaelis_menten": f"d < b * {0.95 / (1.0 - 0.95)!r}"}[model.key]
     curve = lambda d: f"(m * {basis.format(d=d)} + c)"
+    y = f"(({curve('d_min')} + {curve('d_max')}) / 2)"
+    half = {
+        "piecewise_linear": f"({y} - c) / (m + 1e-10)",
+        "exponential_saturation": f"CASE WHEN 1 - ({y} - c) / (m + 1e-10) > 0 THEN -ln(1 - ({y} - c) / (m + 1e-10)) / b ELSE 'NaN'::DOUBLE END",
+        "michaelis_menten": f"b * ({y} - c) / (m - {y} + c + 1e-10)",
+    }[model.key]
+    limit = "m * b + c" if model.key == mo.PIECEWISE.key else "m + c"
     fitted = f"""extrema AS (SELECT sample_id, min(d) AS d_min, max(d) AS d_max FROM rows GROUP BY 1),
         fitted AS (SELECT sample_id, count(*) AS n, avg(pow(s - {curve('d')}, 2)) AS mse, avg(CASE WHEN {reach} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS affected,
-        any_value(({curve('d_min')} - {curve('d_max')}) / ({curve('d_min')} + {curve('d_max')} + 1e-10)) AS strength FROM rows JOIN best USING (sample_id) JOIN extrema USING (sample_id) GROUP BY 1)"""
+        any_value(({curve('d_min')} - {curve('d_max')}) / ({curve('d_min')} + {curve('d_max')} + 1e-10)) AS strength,
+        any_value({half} / (d_max + 1e-10)) AS half, any_value({limit}) AS plateau, any_value(b) AS b, any_value(m) AS m, any_value(c) AS c FROM rows JOIN best USING (sample_id) JOIN extrema USING (sample_id) GROUP BY 1)"""
     if model.key == mo.PIECEWISE.key:
-        return f"WITH {_PRICES}, {_PLATEAU}, {fitted} {tail}"
+        return f"WITH {rows}, {_PLATEAU}, {fitted} {tail}"
     top = {"exponential_saturation": "50.0 / min(d) FILTER (d > 0)", "michaelis_menten": "1e3 * max(d)"}[model.key]
     parts = [
         "centred AS (SELECT sample_id, d, s - avg(s) OVER (PARTITION BY sample_id) AS s FROM rows)",
@@ -301,7 +330,54 @@ def _fit_sql(model: mo.CurveModel) -> str:
         f"best AS (SELECT sample_id, b, regr_slope(s, {basis.format(d='d')}) AS m, regr_intercept(s, {basis.format(d='d')}) AS c FROM rows JOIN found USING (sample_id) GROUP BY ALL)",
         fitted,
     ]
-    return f"WITH {_PRICES}, {', '.join(parts)} {tail}"
+    return f"WITH {rows}, {', '.join(parts)} {tail}"
+
+
+def _ranked_sql() -> str:
+    """Every fit of the rows of ``long`` (sample_id, measure, d, s), ranked; a group's name is its sample and measure."""
+    rows = "rows AS (SELECT sample_id || '/' || measure AS sample_id, d, s FROM long WHERE isfinite(d) AND isfinite(s))"
+    each = " UNION ALL ".join(f"SELECT * FROM ({_fit_sql(m, rows, report=True)})" for m in mo.DEFAULT_MODELS)
+    return f"""fits AS ({each}), counts AS (SELECT sample_id || '/' || measure AS sample_id, count(*) AS n_all FROM long GROUP BY ALL),
+        weighed AS (SELECT f.*, n_all, CASE WHEN model <> '{mo.CONSTANT.name}' THEN exp((max(aic) FILTER (model = '{mo.CONSTANT.name}') OVER g - aic) / (2 * n_all)) END AS rl FROM fits f JOIN counts USING (sample_id) WINDOW g AS (PARTITION BY sample_id)),
+        shares AS (SELECT *, rl / sum(rl) OVER (PARTITION BY sample_id) AS w FROM weighed),
+        ranked AS (SELECT *, sum(-w * ln(w + 1e-15)) OVER (PARTITION BY sample_id) / ln(3) AS entropy, row_number() OVER (PARTITION BY sample_id ORDER BY round(aic, {se.AIC_DIGITS}), ord) = 1 AS is_best FROM shares)"""
+
+
+def _quality_sql(long: str) -> str:
+    """The quality report of a flow over the rows of ``long``."""
+    names = " ".join(f"WHEN '{m.name}' THEN '{','.join(sorted(m.params if m.key != mo.CONSTANT.key else m.params[2:]))}'" for m in mo.DEFAULT_MODELS)
+    head = "WITH RECURSIVE" if "walk AS" in long else "WITH"
+    return f"""{head} {long}, {_ranked_sql()}
+        SELECT split_part(sample_id, '/', 1) AS sample_id, split_part(sample_id, '/', 2) AS measure, model AS best_fit_type, CASE WHEN model <> '{mo.CONSTANT.name}' THEN round(entropy, 4) END AS entropy_AIC_weights,
+            round(half, 4) AS observed_half_life, round(strength, 4) AS observed_effect_strength, round(n / n_all, 4) AS included_samples, round(affected, 4) AS affected_samples,
+            round(rl, 4) AS scaled_relative_likelihood_over_baseline, CASE model {names} END AS params, CASE WHEN c = 0 THEN 0 ELSE round(c / pow(10, floor(log10(abs(c)))), 3) END AS c
+        FROM ranked WHERE is_best"""
+
+
+_HULL_GAPS = f"gaps AS (SELECT n.sample_id, n.node_id, x, y, ax, ay, bx, by_, {_CLAMP} AS t FROM nodes n JOIN hull USING (sample_id)), border AS (SELECT sample_id, node_id, min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2))) AS d FROM gaps GROUP BY ALL)"
+_EDGE_SCORES = """adj AS (SELECT sample_id, src, dst FROM edges UNION ALL SELECT sample_id, dst, src FROM edges), sizes AS (SELECT sample_id, count(*) AS n FROM nodes GROUP BY 1),
+degrees AS (SELECT sample_id, node_id, count(a.dst)::DOUBLE AS k FROM nodes LEFT JOIN adj a USING (sample_id) WHERE a.src = node_id GROUP BY ALL),
+degree AS (SELECT sample_id, node_id, coalesce(k, 0) AS s FROM nodes LEFT JOIN degrees USING (sample_id, node_id))"""
+
+
+def _flows_sql() -> dict[str, str]:
+    prices = "long AS (SELECT l_returnflag AS sample_id, 'price' AS measure, CAST(l_quantity AS DOUBLE) AS d, CAST(l_extendedprice AS DOUBLE) AS s FROM lineitem)"
+    scores = f"""{_NODES}, gaps AS (SELECT sample_id, node_id, least(x - min(x) OVER w, max(x) OVER w - x, y - min(y) OVER w, max(y) OVER w - y) AS d FROM nodes WINDOW w AS (PARTITION BY sample_id)),
+        long AS (SELECT sample_id, 'metric' AS measure, d, 0.7::DOUBLE * d + 2 + 0.001::DOUBLE * sin(node_id::DOUBLE) AS s FROM gaps)"""
+    edgelist = f"""{_NODES}, {_HULL}, {_HULL_GAPS}, edges AS (SELECT a.sample_id, a.node_id AS src, b.node_id AS dst FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.node_id < b.node_id WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {R!r}),
+        {_EDGE_SCORES}, closed AS (SELECT p.sample_id, p.src AS node_id, count(*) AS t FROM adj p JOIN adj q ON p.sample_id = q.sample_id AND p.src = q.src AND p.dst < q.dst JOIN edges e ON e.sample_id = p.sample_id AND e.src = p.dst AND e.dst = q.dst GROUP BY ALL),
+        clustering AS (SELECT sample_id, node_id, coalesce(2.0::DOUBLE * t / (s * (s - 1)), 0) AS s FROM degree LEFT JOIN closed USING (sample_id, node_id)),
+        long AS (SELECT sample_id, 'degree' AS measure, d, s FROM degree JOIN border USING (sample_id, node_id) UNION ALL SELECT sample_id, 'clustering', d, s FROM clustering JOIN border USING (sample_id, node_id))"""
+    coords = f"""{_NODES}, {_HULL}, {_HULL_GAPS}, {_TRIANGLES}, edges AS (SELECT sample_id, a AS src, b AS dst FROM triangles UNION SELECT sample_id, a, c FROM triangles UNION SELECT sample_id, b, c FROM triangles),
+        {_EDGE_SCORES}, {_WALK}, closeness AS (SELECT n.sample_id, n.node_id, coalesce(count(d.l)::DOUBLE * count(d.l) / sum(d.l) / greatest(any_value(z.n) - 1, 1), 0) AS s
+            FROM nodes n JOIN sizes z USING (sample_id) LEFT JOIN dist d ON d.sample_id = n.sample_id AND d.s = n.node_id AND d.l > 0 GROUP BY n.sample_id, n.node_id),
+        long AS (SELECT sample_id, 'degree' AS measure, node_id, d, s FROM degree JOIN border USING (sample_id, node_id) UNION ALL SELECT sample_id, 'closeness', node_id, d, s FROM closeness JOIN border USING (sample_id, node_id))"""
+    curve = f"""CASE model WHEN '{mo.CONSTANT.name}' THEN plateau WHEN '{mo.PIECEWISE.name}' THEN m * least(d, b) + c WHEN '{mo.EXPONENTIAL.name}' THEN m * (1 - exp(-b * d)) + c ELSE m * d / (b + d) + c END"""
+    corrected = f"""WITH RECURSIVE {coords}, {_ranked_sql()},
+        corrected AS (SELECT l.*, s + plateau - {curve} AS fixed FROM long l JOIN ranked r ON r.sample_id = l.sample_id || '/' || measure AND is_best)
+        SELECT sample_id, node_id, round(max(s) FILTER (measure = 'degree'), 6) AS degree, round(max(s) FILTER (measure = 'closeness'), 6) AS closeness, round(any_value(d), 6) AS {di.HULL},
+            round(max(fixed) FILTER (measure = 'degree'), 4) AS corrected_degree, round(max(fixed) FILTER (measure = 'closeness'), 4) AS corrected_closeness FROM corrected GROUP BY ALL"""
+    return {"flow_from_distances": _quality_sql(prices), "flow_from_scores": _quality_sql(scores), "flow_from_edgelist": _quality_sql(edgelist), "flow_from_coords": corrected}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -322,6 +398,22 @@ def oracle_sql() -> dict[str, str]:
             facets AS (SELECT t.sample_id, a, b, c, t.x, t.y, t.z, nx, ny, nz FROM normals t JOIN nodes k ON k.sample_id = t.sample_id AND k.node_id NOT IN (a, b, c) GROUP BY ALL
             HAVING min((k.x-t.x)*nx+(k.y-t.y)*ny+(k.z-t.z)*nz) > 0 OR max((k.x-t.x)*nx+(k.y-t.y)*ny+(k.z-t.z)*nz) < 0)
             SELECT k.sample_id, k.node_id, round(min(abs((k.x-f.x)*nx+(k.y-f.y)*ny+(k.z-f.z)*nz) / sqrt(nx*nx+ny*ny+nz*nz)), 6) + 0.0 AS {di.HULL} FROM nodes k JOIN facets f USING (sample_id) GROUP BY ALL""",
+        "dist_triangles": f"""WITH {_NODES}, means AS (SELECT sample_id, node_id % 4 AS i, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nodes GROUP BY ALL),
+            fans AS (SELECT * FROM (VALUES {', '.join(map(str, FANS))}) f(i, j, k)),
+            t AS (SELECT a.sample_id, row_number() OVER () AS t, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz
+                FROM fans JOIN means a ON a.i = fans.i JOIN means b ON b.i = fans.j AND b.sample_id = a.sample_id JOIN means c ON c.i = fans.k AND c.sample_id = a.sample_id),
+            sides AS (SELECT sample_id, t, ax AS px, ay AS py, az AS pz, bx AS qx, by_ AS qy, bz AS qz FROM t UNION ALL SELECT sample_id, t, bx, by_, bz, cx, cy, cz FROM t UNION ALL SELECT sample_id, t, cx, cy, cz, ax, ay, az FROM t),
+            along AS (SELECT n.sample_id, node_id, x - px AS ux, y - py AS uy, z - pz AS uz, qx - px AS vx, qy - py AS vy, qz - pz AS vz FROM nodes n JOIN sides USING (sample_id)),
+            clamped AS (SELECT *, CASE WHEN vx*vx + vy*vy + vz*vz = 0 THEN 0 ELSE greatest(0, least(1, (ux*vx + uy*vy + uz*vz) / (vx*vx + vy*vy + vz*vz))) END AS s FROM along),
+            planes AS (SELECT *, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS nz FROM t),
+            heights AS (SELECT n.sample_id, node_id, abs((x-ax)*nx + (y-ay)*ny + (z-az)*nz) / sqrt(nx*nx + ny*ny + nz*nz) AS h,
+                -- the foot of the height lies on the inner side of all three sides
+                ((by_-ay)*(z-az)-(bz-az)*(y-ay))*nx + ((bz-az)*(x-ax)-(bx-ax)*(z-az))*ny + ((bx-ax)*(y-ay)-(by_-ay)*(x-ax))*nz AS s1,
+                ((cy-by_)*(z-bz)-(cz-bz)*(y-by_))*nx + ((cz-bz)*(x-bx)-(cx-bx)*(z-bz))*ny + ((cx-bx)*(y-by_)-(cy-by_)*(x-bx))*nz AS s2,
+                ((ay-cy)*(z-cz)-(az-cz)*(y-cy))*nx + ((az-cz)*(x-cx)-(ax-cx)*(z-cz))*ny + ((ax-cx)*(y-cy)-(ay-cy)*(x-cx))*nz AS s3
+                FROM nodes n JOIN planes USING (sample_id) WHERE nx*nx + ny*ny + nz*nz > 0),
+            gaps AS (SELECT sample_id, node_id, sqrt(pow(ux - s*vx, 2) + pow(uy - s*vy, 2) + pow(uz - s*vz, 2)) AS g FROM clamped UNION ALL SELECT sample_id, node_id, h FROM heights WHERE s1 >= 0 AND s2 >= 0 AND s3 >= 0)
+            SELECT sample_id, node_id, round(min(g), 6) + 0.0 AS {di.TRIANGLES} FROM gaps GROUP BY ALL""",
         "dist_alpha": f"""WITH {_NODES}, {_TRIANGLES}, kept AS (SELECT * FROM triangles WHERE radius < {1 / ALPHA!r}),
             sides AS (SELECT sample_id, a AS i, b AS j FROM kept UNION ALL SELECT sample_id, a, c FROM kept UNION ALL SELECT sample_id, b, c FROM kept),
             border AS (SELECT sample_id, i, j FROM sides GROUP BY ALL HAVING count(*) = 1),
@@ -360,4 +452,4 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT sample_id, p.model, p.aic <= c.aic, round(exp((c.aic - p.aic) / (2 * n)), 4), 0.0::DOUBLE FROM c JOIN p USING (sample_id) JOIN n USING (sample_id)""",
         "observations": "SELECT l_returnflag AS sample_id, count(*) AS n, count(*) FILTER (l_quantity <= 25) AS n_with_distance, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1",
     }
-    return sql | {f"fit_{m.key}": _fit_sql(m) for m in mo.DEFAULT_MODELS}
+    return sql | {f"fit_{m.key}": _fit_sql(m) for m in mo.DEFAULT_MODELS} | _flows_sql()

@@ -19,6 +19,8 @@ from rimward.storage import stored
 
 MEASURES = ("degree", "pagerank", "betweenness", "closeness", "harmonic", "clustering")
 DAMPING, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 100
+#: Samples up to which the driver notes which of them have converged; beyond it a table does.
+FEW_SAMPLES = 1_000
 
 
 @dataclass
@@ -75,19 +77,30 @@ def pagerank(g: Graph) -> DataFrame:
     links = stored(g.both.unionByName(g.loops).join(out, ["sample_id", "src"]).select("sample_id", "src", "dst", (1.0 / F.col("out")).alias("share")), "links")
     dangling = out.select("sample_id", F.col("src").alias("node_id"), F.lit(True).alias("has_out"))
     ranks = stored(
-        g.nodes.join(dangling, ["sample_id", "node_id"], "left").select("sample_id", "node_id", "n", F.coalesce("has_out", F.lit(False)).alias("has_out"), (1.0 / F.col("n")).alias("rank"), F.lit(False).alias("done")), "ranks"
+        g.nodes.join(dangling, ["sample_id", "node_id"], "left").select("sample_id", "node_id", "n", F.coalesce("has_out", F.lit(False)).alias("has_out"), (1.0 / F.col("n")).alias("rank"), F.lit(False).alias("done"), F.lit(0.0).alias("before")), "ranks"
     )
+    few = g.nodes.select("sample_id").distinct().count() <= FEW_SAMPLES
     for _ in range(MOST_ROUNDS):
         moving = ranks.where(~F.col("done"))
         got = moving.join(links.withColumnRenamed("src", "node_id"), ["sample_id", "node_id"]).groupBy("sample_id", F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         loose = moving.groupBy("sample_id").agg(F.sum(F.when(F.col("has_out"), 0.0).otherwise(F.col("rank"))).alias("loose"))
         new = DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - DAMPING) / F.col("n")
-        step = moving.join(got, ["sample_id", "node_id"], "left").join(loose, "sample_id").select("sample_id", "node_id", "n", "has_out", F.col("rank").alias("before"), new.alias("rank"))
-        step = stored(step, "ranks")
-        change = step.groupBy("sample_id").agg((F.sum(F.abs(F.col("rank") - F.col("before"))) < F.first("n") * TOLERANCE).alias("done"))
-        moved = step.drop("before").join(change, "sample_id").select(*ranks.columns)
-        ranks = stored(ranks.where("done").unionByName(moved), "ranks")
-        if not ranks.where(~F.col("done")).limit(1).count():
+        step = moving.join(got, ["sample_id", "node_id"], "left").join(loose, "sample_id").select("sample_id", "node_id", "n", "has_out", new.alias("rank"), F.lit(False).alias("done"), F.col("rank").alias("before"))
+        # samples that are done keep their rows; the change is summed from the table that the next round reads
+        ranks = stored(ranks.where("done").unionByName(step), "ranks", replaces=ranks)
+        change = ranks.where(~F.col("done")).groupBy("sample_id").agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"), F.first("n").alias("n"))
+        still = {r["sample_id"]: r["moved"] >= r["n"] * TOLERANCE for r in change.collect()} if few else None
+        if still is None:
+            rested = change.where(F.col("moved") < F.col("n") * TOLERANCE).select("sample_id", F.lit(True).alias("rests"))
+            marked = ranks.join(rested, "sample_id", "left").withColumn("done", F.col("done") | F.coalesce("rests", F.lit(False)))
+            ranks = stored(marked.select(*ranks.columns), "ranks", replaces=ranks)
+            over = ranks.where(~F.col("done")).isEmpty()
+        else:
+            over = not any(still.values())
+            path = ranks._rimward_path
+            ranks = ranks.withColumn("done", F.col("done") | F.col("sample_id").isin([s for s, moves in still.items() if not moves]))
+            ranks._rimward_path = path
+        if over:
             return ranks.select("sample_id", "node_id", F.col("rank").alias("pagerank"))
     raise ArithmeticError(f"pagerank hasn't converged in {MOST_ROUNDS} rounds")
 
@@ -158,7 +171,7 @@ def centralities(nodes: DataFrame, edges: DataFrame, measures: list[str] | tuple
     """(sample_id, node_id, a column per measure). A measure that fails is warned about and left out."""
     for m in measures:
         if m not in MEASURES:
-            raise ValueError(f"Unknown centrality measure: {m!r}. Supported: {sorted(MEASURES)}")
+            raise ValueError(f"{m!r} is no measure; there are {', '.join(MEASURES)}.")
     nodes = as_nodes(nodes, (0, 2, 3))
     g = Graph.of(nodes, edges)
     plain = {"degree": degree, "clustering": clustering, "pagerank": pagerank}
@@ -173,6 +186,6 @@ def centralities(nodes: DataFrame, edges: DataFrame, measures: list[str] | tuple
                 paths = paths or shortest_paths(g)
                 column = over_paths[m](g, paths)
             out = stored(out.join(column, ["sample_id", "node_id"]), "scores")
-        except ArithmeticError as problem:
+        except Exception as problem:  # of any kind: the other measures don't depend on it
             warnings.warn(f"{m} failed and is left out: {problem}", UserWarning, stacklevel=2)
     return out

@@ -28,9 +28,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
-        large = stored(_star(both, lowest, smaller=False), "large-star")
+        large = stored(_star(both, lowest, smaller=False), "large-star", replaces=edges)
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = stored(_star(down, down.groupBy("u").agg(F.min("v").alias("low")), smaller=True), "small-star")
+        edges = stored(_star(down, down.groupBy("u").agg(F.min("v").alias("low")), smaller=True), "small-star", replaces=large)
         state = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if state == before:
             break

@@ -3,31 +3,33 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rimward.components import connected_components
 from rimward.delaunay import delaunay_triangles, triangle_edges
-from rimward.expr import clip, segment_distance
+from rimward.expr import clip, segment_distance, triangle_distance
 from rimward.geometry import hull_2d, hull_facets_3d
 from rimward.nearest import nearest_points
 from rimward.schema import as_nodes, axes, with_sample
 from rimward.storage import stored
 
-RECTANGLE, POINTSET, MASK, HULL, ALPHA = (
-    f"distance_to_{n}" for n in ("rectangular_border", "pointset", "mask", "convex_hull", "alpha_shape")
+RECTANGLE, POINTSET, MASK, HULL, ALPHA, TRIANGLES = (
+    f"distance_to_{n}" for n in ("rectangular_border", "pointset", "mask", "convex_hull", "alpha_shape", "triangles")
 )
+#: Facets, border edges or triangles in one array.
+PACK = 256
 #: Hulls of this many points or fewer go from each task to the next step.
 CHUNK = 20_000
 
 
 def distance_to_rectangular_border(nodes: DataFrame) -> DataFrame:
     """Distance to the nearest side of the nodes' own bounding box, in the plane."""
-    nodes = as_nodes(nodes, (2,), "Spatial coordinates must be Nx2.")
+    nodes = as_nodes(nodes, (2,), "Nodes need two coordinates (Nx2).")
     box = nodes.groupBy("sample_id").agg(*[f(a).alias(f"{f.__name__}_{a}") for a in "xy" for f in (F.min, F.max)])
     nearest = F.least(F.col("x") - F.col("min_x"), F.col("max_x") - F.col("x"), F.col("y") - F.col("min_y"), F.col("max_y") - F.col("y"))
     return nodes.join(box, "sample_id").select("sample_id", "node_id", nearest.alias(RECTANGLE))
@@ -37,12 +39,10 @@ def distance_to_pointset(nodes: DataFrame, landmarks: DataFrame) -> DataFrame:
     """Euclidean distance to the nearest landmark (x, y[, z][, sample_id]); landmarks without sample_id serve every sample."""
     nodes = as_nodes(nodes)
     if axes(nodes) != axes(landmarks):
-        raise ValueError("Coords and pointset must have the same dimensionality.")
+        raise ValueError("Landmarks and nodes differ in dimensionality.")
     if landmarks.limit(1).count() == 0:
-        raise ValueError("Pointset must contain at least one point.")
+        raise ValueError("There must be at least one landmark.")
     marks = landmarks.select(*(["sample_id"] if "sample_id" in landmarks.columns else []), *[F.col(a).cast("double") for a in axes(nodes)]).distinct()
-    if "sample_id" not in marks.columns:
-        marks = nodes.select("sample_id").distinct().crossJoin(marks)
     marks = marks.withColumn("node_id", F.xxhash64(*axes(nodes)))
     near = nearest_points(nodes, marks, 1, exclude_same_id=False)
     return near.select("sample_id", "node_id", F.col("distance").alias(POINTSET))
@@ -56,9 +56,9 @@ def distance_to_mask(nodes: DataFrame, mask: DataFrame, shape: tuple[int, ...])
     nodes = as_nodes(nodes)
     names, index = axes(nodes), [c for c in ("i", "j", "k") if c in mask.columns]
     if len(names) != len(shape) or len(index) != len(shape):
-        raise ValueError("Mask dimensionality must match coordinate dimensionality.")
+        raise ValueError("The mask and the nodes differ in dimensionality.")
     if mask.limit(1).count() == 0:
-        raise ValueError("Mask must contain at least one True pixel.")
+        raise ValueError("The mask has no True pixel.")
     pixel = [clip(F.rint(a), F.lit(0.0), F.lit(float(n - 1))).alias(a) for a, n in zip(names, shape, strict=True)]
     at = nodes.select("sample_id", "node_id", *pixel)
     cells = at.select("sample_id", *names).distinct()
@@ -126,9 +126,33 @@ def hull_facets(nodes: DataFrame) -> DataFrame:
     return hull_corners(nodes).groupBy("sample_id").applyInPandas(build, "sample_id string, facet array<array<double>>")
 
 
+def _least_gap(nodes: DataFrame, parts: DataFrame, part: str, gap: Callable[[Column], Column]) -> DataFrame:
+    """(sample_id, node_id, gap): each node's least ``gap`` to the column ``part`` of its sample's rows of ``parts``.
+
+    Parts are packed ``PACK`` to an array, so a node meets a row per array, not per part, and only the least of each goes on.
+    """
+    counted = parts.groupBy("sample_id").agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("packs"))
+    packed = parts.join(counted, "sample_id").groupBy("sample_id", F.pmod(F.xxhash64(part), "packs").alias("pack")).agg(F.collect_list(part).alias("parts"))
+    each = nodes.join(packed, "sample_id").select("sample_id", "node_id", F.array_min(F.transform("parts", gap)).alias("gap"))
+    return each.groupBy("sample_id", "node_id").agg(F.min("gap").alias("gap"))
+
+
+def distance_to_triangles(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
+    """Distance in space to the nearest of a sample's triangles: rows (sample_id, a, b, c), each corner an array of x, y and z.
+
+    Above a triangle that's the distance to its plane, elsewhere to its nearest side; a triangle without area is its sides. Samples without
+    triangles give no rows.
+    """
+    nodes = as_nodes(nodes, (3,), "Distances to triangles need nodes with three coordinates.")
+    corners = with_sample(triangles).select("sample_id", F.struct("a", "b", "c").alias("triangle"))
+    at = lambda corner: [corner[k].cast("double") for k in range(3)]
+    gap = lambda t: triangle_distance([F.col(a) for a in "xyz"], at(t["a"]), at(t["b"]), at(t["c"]))
+    return _least_gap(nodes, corners, "triangle", gap).withColumnRenamed("gap", TRIANGLES)
+
+
 def distance_to_convex_hull(nodes: DataFrame) -> DataFrame:
     """Distance to the boundary of the convex hull. Samples of no more nodes than dimensions are all border: 0."""
-    nodes = as_nodes(nodes, (2, 3), "Spatial coordinates must be Nx2 or Nx3.")
+    nodes = as_nodes(nodes, (2, 3), "Nodes need two or three coordinates (Nx2, Nx3).")
     names = axes(nodes)
     facets = stored(hull_facets(nodes), "facets")
     counts = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
@@ -136,13 +160,15 @@ def distance_to_convex_hull(nodes: DataFrame) -> DataFrame:
     if flat.limit(1).count():
         raise ValueError("degenerate point set: a sample has no proper hull")
     p = [F.col(a) for a in names]
-    at = lambda i: [F.col("facet")[i][k] for k in range(len(names))]
-    if len(names) == 2:
-        gap = segment_distance(p, at(0), at(1))
-    else:  # every node is inside, so the nearest plane holds the nearest point
-        gap = F.abs(sum(((c - q) * n for c, q, n in zip(p, at(0), at(1), strict=True)), F.lit(0.0)))
-    pairs = nodes.join(facets, "sample_id").select("sample_id", "node_id", gap.alias("gap"))
-    near = pairs.groupBy("sample_id", "node_id").agg(F.min("gap").alias(HULL))
+
+    def gap(facet: Column) -> Column:
+        a, b = ([facet[i][k] for k in range(len(names))] for i in (0, 1))
+        if len(names) == 2:
+            return segment_distance(p, a, b)
+        # every node is inside, so the nearest plane holds the nearest point
+        return F.abs(sum(((c - q) * n for c, q, n in zip(p, a, b, strict=True)), F.lit(0.0)))
+
+    near = _least_gap(nodes, facets, "facet", gap).withColumnRenamed("gap", HULL)
     few = nodes.join(counts.where(F.col("n") <= len(names)), "sample_id", "left_semi").select("sample_id", "node_id", F.lit(0.0).alias(HULL))
     return near.unionByName(few)
 
@@ -159,19 +185,20 @@ def distance_to_alpha_shape(nodes: DataFrame, alpha: float) -> DataFrame:
 
     Warns if a shape has several parts; raises ValueError for samples with fewer than three nodes or without a shape.
     """
-    nodes = as_nodes(nodes, (2,), "Spatial coordinates must be Nx2 for distance_to_alpha_shape.")
+    nodes = as_nodes(nodes, (2,), "An alpha shape needs nodes with two coordinates (Nx2).")
     if nodes.groupBy("sample_id").count().where("count < 3").limit(1).count() or nodes.limit(1).count() == 0:
-        raise ValueError("At least 3 points are required to compute an alpha shape.")
+        raise ValueError("An alpha shape needs 3 points or more in every sample.")
     kept, border = alpha_border(nodes, alpha)
     border = stored(border, "alpha-border")
     if nodes.select("sample_id").distinct().join(border, "sample_id", "left_anti").limit(1).count():
-        raise ValueError(f"Alpha shape is empty for alpha={alpha}. Try a smaller alpha value.")
+        raise ValueError(f"No triangle is left at alpha={alpha}: the alpha shape of a sample is empty.")
     if _fragments(kept) > 1:
-        warnings.warn(f"Alpha shape with alpha={alpha} is a MultiPolygon: alpha is likely too large.", UserWarning, stacklevel=2)
+        warnings.warn(f"At alpha={alpha} the alpha shape of a sample is a MultiPolygon, in several parts.", UserWarning, stacklevel=2)
     end = lambda c, p: nodes.select("sample_id", F.col("node_id").alias(c), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     edges = border.join(end("src", "a"), ["sample_id", "src"]).join(end("dst", "b"), ["sample_id", "dst"])
-    gap = segment_distance([F.col("x"), F.col("y")], [F.col("ax"), F.col("ay")], [F.col("bx"), F.col("by")])
-    return nodes.join(edges, "sample_id").groupBy("sample_id", "node_id").agg(F.min(gap).alias(ALPHA))
+    edges = edges.select("sample_id", F.struct("ax", "ay", "bx", "by").alias("edge"))
+    gap = lambda e: segment_distance([F.col("x"), F.col("y")], [e["ax"], e["ay"]], [e["bx"], e["by"]])
+    return _least_gap(nodes, edges, "edge", gap).withColumnRenamed("gap", ALPHA)
 
 
 def _fragments(triangles: DataFrame) -> int:
@@ -187,5 +214,6 @@ def _fragments(triangles: DataFrame) -> int:
 
 
 __all__ = [
+    "distance_to_triangles",
     "distance_to_alpha_shape", "distance_to_convex_hull", "distance_to_mask", "distance_to_pointset", "distance_to_rectangular_border", "hull_facets", "mask_pixels", "with_sample",
 ]

@@ -37,7 +37,7 @@ def rnn_edges(nodes: DataFrame, r: float) -> DataFrame:
 
 def delaunay_edges(nodes: DataFrame) -> DataFrame:
     """Undirected edges of the Delaunay triangulation in the plane. Cocircular nodes are fanned from the smallest id."""
-    nodes = as_nodes(nodes, (2,), "The Delaunay graph needs Nx2 coordinates.")
+    nodes = as_nodes(nodes, (2,), "The Delaunay graph needs nodes with two coordinates (Nx2).")
     edges = triangle_edges(delaunay_triangles(nodes))
     if nodes.select("sample_id").distinct().join(edges, "sample_id", "left_anti").limit(1).count():
         raise ValueError("degenerate point set: fewer than three nodes, or all on a line")

@@ -20,10 +20,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rimward.criteria import TINY, akaike, log_likelihood
 from rimward.expr import clip, is_finite
 from rimward.storage import stored
 
-EPS, TINY = 1e-10, 2.2250738585072014e-308
+EPS = 1e-10
 B_MIN, STEPS, ZOOMS = 1e-6, 64, 3
 BUCKETS = 1024
 KEYS = ["sample_id", "measure"]
@@ -81,7 +82,8 @@ MICHAELIS = CurveModel(
     half=lambda y, m, b, c: F.try_divide(b * (y - c), m - y + c + EPS),
     reached=lambda b, share: b * (share / (1.0 - share)),
     b_max=lambda: 1e3 * F.col("d_max"),
-    allowed=lambda: F.col("d_median") >= B_MIN,
+    # whether the median of d reaches B_MIN, from counts and the two values around B_MIN
+    allowed=lambda: (2 * F.col("n_high") > F.col("n")) | ((2 * F.col("n_high") == F.col("n")) & ((F.col("d_below") + F.col("d_above")) / 2 >= B_MIN)),
 )
 DEFAULT_MODELS = (CONSTANT, PIECEWISE, EXPONENTIAL, MICHAELIS)
 
@@ -95,7 +97,8 @@ def group_statistics(rows: DataFrame) -> DataFrame:
     marked = with_included(rows)
     d, s = F.when(F.col("included"), F.col("d")), F.when(F.col("included"), F.col("S"))
     return marked.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_all"), F.count(d).alias("n"), F.min(d).alias("d_min"), F.max(d).alias("d_max"), F.avg(d).alias("d_mean"), F.median(d).alias("d_median"),
+        F.count(F.lit(1)).alias("n_all"), F.count(d).alias("n"), F.min(d).alias("d_min"), F.max(d).alias("d_max"), F.avg(d).alias("d_mean"),
+        F.count(F.when(d >= B_MIN, d)).alias("n_high"), F.max(F.when(d < B_MIN, d)).alias("d_below"), F.min(F.when(d >= B_MIN, d)).alias("d_above"),
         F.min(F.when(d > 0, d)).alias("d_least"), F.avg(s).alias("s_mean"),
     )
 
@@ -153,12 +156,11 @@ def _fit_plateau(points: DataFrame, statistics: DataFrame) -> DataFrame:
     meet = F.try_divide(mean - c2, F.nullif(m2, F.lit(0.0)))
     between = meet.isNotNull() & (meet > at) & (meet < F.col("next_d") - F.col("d_min"))
     both = rows.select(*KEYS, "d_min", "d_max", "s_mean", F.explode(F.array(
-        F.struct(e1.alias("e"), at.alias("b"), m1.alias("m"), c1.alias("c")), F.when(between, F.struct(e2.alias("e"), meet.alias("b"), m2.alias("m"), c2.alias("c")))
+        F.struct(e1.alias("e"), F.col("d").alias("b"), m1.alias("m"), c1.alias("c")), F.when(between, F.struct(e2.alias("e"), (meet + F.col("d_min")).alias("b"), m2.alias("m"), c2.alias("c")))
     )).alias("f")).where("f IS NOT NULL")
     best = both.groupBy(*KEYS, "d_min", "d_max", "s_mean").agg(F.min("f").alias("f"))
-    b = F.col("f.b") + F.col("d_min")
     c = F.col("f.c") - F.col("f.m") * F.col("d_min") + F.col("s_mean")
-    return best.select(*KEYS, b.alias("b"), F.col("f.m").alias("m"), c.alias("c"), (F.col("d_max") > F.col("d_min")).alias("converged"))
+    return best.select(*KEYS, F.col("f.b").alias("b"), F.col("f.m").alias("m"), c.alias("c"), (F.col("d_max") > F.col("d_min")).alias("converged"))
 
 
 def _fit_saturating(model: CurveModel) -> Callable[[DataFrame, DataFrame], DataFrame]:
@@ -213,7 +215,7 @@ def predicted(model: CurveModel, d: Column | None = None) -> Column:
 def fit_model(model: CurveModel, rows: DataFrame, points: DataFrame, statistics: DataFrame, order: int, threshold: float = 0.95) -> DataFrame:
     """Fit rows of one model. Residuals are taken anew from the rows, so that small errors keep their digits."""
     if model.reached is not None and not 0 < threshold < 1:
-        raise ValueError("threshold must be between 0 and 1.")
+        raise ValueError("The threshold must lie between 0 and 1.")
     params = stored(_fitted(model, points, statistics), "fit")
     near = with_included(rows).where("included").join(params.where("converged"), KEYS)
     residual = F.col("S") - predicted(model)
@@ -225,7 +227,7 @@ def fit_model(model: CurveModel, rows: DataFrame, points: DataFrame, statistics:
         affected = (F.col("d") < model.reached(F.col("b"), threshold)).cast("double")
     error = near.groupBy(*KEYS).agg(F.avg(residual * residual).alias("mse"), F.avg(affected).alias("affected"))
     out = statistics.where("n > 0").join(params, KEYS).join(error, KEYS, "left")
-    ll = -0.5 * F.col("n") * (F.log(2 * math.pi * F.greatest(F.col("mse"), F.lit(TINY))) + 1)
+    ll = log_likelihood(F.col("n"), F.col("mse"))
     if model.key == CONSTANT.key:
         strength, half = F.lit(0.0), F.lit(0.0)
         plateau = F.col("c")
@@ -241,7 +243,7 @@ def fit_model(model: CurveModel, rows: DataFrame, points: DataFrame, statistics:
     kept = (lambda v: v) if model.key == CONSTANT.key else nan_unless
     return out.select(
         *KEYS, F.lit(model.name).alias("model"), F.lit(order).alias("model_ord"), ok.alias("converged"), kept(F.col("b")).alias("b"), kept(F.col("m")).alias("m"), nan_unless(F.col("c")).alias("c"),
-        F.when(ok, ll).otherwise(F.lit(float("-inf"))).alias("ll"), F.when(ok, 2.0 * (model.n_params + 1) - 2 * ll).otherwise(F.lit(float("inf"))).alias("aic"),
+        F.when(ok, ll).otherwise(F.lit(float("-inf"))).alias("ll"), F.when(ok, akaike(model.n_params + 1, ll)).otherwise(F.lit(float("inf"))).alias("aic"),
         "n_all", F.col("n").alias("n_included"), (F.col("n") / F.col("n_all")).alias("included"), nan_unless(F.col("affected")).alias("affected"),
         nan_unless(strength).alias("effect_strength"), nan_unless(half).alias("half_life"), nan_unless(plateau).alias("plateau"),
     )
@@ -252,7 +254,7 @@ def fit_models(rows: DataFrame, models: tuple[CurveModel, ...] = DEFAULT_MODELS,
     rows = stored(rows.select(*KEYS, "node_id", F.col("d").cast("double"), F.col("S").cast("double")), "observations")
     statistics = stored(group_statistics(rows), "statistics")
     if statistics.where("n = 0").limit(1).count():
-        raise ValueError("No valid data points to fit after filtering non-finite values.")
+        raise ValueError("No valid data: a sample has no finite pair of distance and score.")
     points = stored(by_distance(rows, statistics), "by-distance")
     ordered = [m for m in models if m.key != baseline.key] + [baseline]
     return reduce(DataFrame.unionByName, [fit_model(m, rows, points, statistics, i, threshold) for i, m in enumerate(ordered)])

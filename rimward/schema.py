@@ -26,11 +26,3 @@ def as_nodes(df: DataFrame, allowed: tuple[int, ...] = (2, 3), message: str = "C
     if "node_id" not in df.columns or len(axes(df)) not in allowed:
         raise ValueError(message)
     return with_sample(df).select("sample_id", F.col("node_id").cast("long"), *[F.col(a).cast("double") for a in axes(df)])
-
-
-def as_edges(df: DataFrame, directed: bool = False) -> DataFrame:
-    """Distinct edges, undirected ones as (smaller, larger) id."""
-    rows = with_sample(df).select("sample_id", F.col("src").cast("long"), F.col("dst").cast("long"))
-    if not directed:
-        rows = rows.select("sample_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    return rows.distinct()

@@ -1,37 +1,22 @@
-"""Choosing among fitted curves: likelihoods, information criterion, relative weights and their entropy."""
+"""Choosing among fitted curves by information criterion, relative weights and their entropy."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rimward.models import CONSTANT, KEYS, TINY, CurveModel
-
-
-def log_likelihood(n: Column, mean_square: Column) -> Column:
-    """Of normal residuals with their own variance, which is at least the least positive double."""
-    return -0.5 * n * (F.log(2 * math.pi * F.greatest(mean_square, F.lit(TINY))) + 1)
-
-
-def akaike(n_params: Column | int, ll: Column) -> Column:
-    return 2.0 * n_params - 2.0 * ll
-
-
-def relative_likelihood(aic: Column, baseline: Column, n: Column) -> Column:
-    """exp((baseline - aic) / 2n); 0 for a failed fit."""
-    return F.when(aic == float("inf"), F.lit(0.0)).otherwise(F.exp((baseline - aic) / (2.0 * n)))
+from rimward.criteria import akaike, log_likelihood, relative_likelihood, weight_entropy
+from rimward.models import CONSTANT, KEYS, CurveModel
 
+#: Decimals of an AIC that count in the choice.
+AIC_DIGITS = 6
 
-def weight_entropy(weight: Column, count: Column) -> Column:
-    """An aggregate: normalised entropy of ``weight``, shares that sum to 1; 0 for one or none."""
-    total = F.sum(-weight * F.log(weight + 1e-15))
-    return F.when(count <= 1, F.lit(0.0)).otherwise(total / F.nullif(F.log(count), F.lit(0.0)))
+__all__ = ["akaike", "log_likelihood", "ranked_fits", "relative_likelihood", "weight_entropy"]
 
 
 def ranked_fits(fits: DataFrame, baseline: CurveModel = CONSTANT) -> DataFrame:
     """``fits`` with relative_likelihood, entropy and is_best: the least AIC, of ties the earliest model, the baseline last.
+    AICs tie if they agree to ``AIC_DIGITS`` decimals: two curves may fit alike but for rounding.
 
     Weights are over the other models; where all of them failed, the entropy is NaN. The baseline has neither.
     """
@@ -39,10 +24,8 @@ def ranked_fits(fits: DataFrame, baseline: CurveModel = CONSTANT) -> DataFrame:
     is_base = F.col("model") == baseline.name
     rows = fits.withColumn("base_aic", F.max(F.when(is_base, F.col("aic"))).over(group))
     rows = rows.withColumn("relative_likelihood", F.when(~is_base, relative_likelihood(F.col("aic"), F.col("base_aic"), F.col("n_all"))))
-    total, count = F.sum("relative_likelihood").over(group), F.sum((~is_base).cast("int")).over(group)
-    weight = F.try_divide(F.col("relative_likelihood"), total)
-    part = F.when(is_base, F.lit(0.0)).otherwise(F.coalesce(-weight * F.log(weight + 1e-15), F.lit(float("nan"))))
-    rows = rows.withColumns({"part": part, "others": count})
-    entropy = F.when(F.col("others") <= 1, F.lit(0.0)).otherwise(F.sum("part").over(group) / F.nullif(F.log("others"), F.lit(0.0)))
-    order = group.orderBy("aic", "model_ord")
-    return rows.withColumn("entropy", F.when(~is_base, entropy)).withColumn("is_best", F.row_number().over(order) == 1).drop("part", "others", "base_aic")
+    rows = rows.withColumns({"total": F.sum("relative_likelihood").over(group), "others": F.sum((~is_base).cast("int")).over(group)})
+    weight = F.when(~is_base, F.coalesce(F.try_divide(F.col("relative_likelihood"), F.col("total")), F.lit(float("nan"))))
+    entropy = weight_entropy(weight, F.col("others"), group)
+    order = group.orderBy(F.round("aic", AIC_DIGITS), "model_ord")
+    return rows.withColumn("entropy", F.when(~is_base, entropy)).withColumn("is_best", F.row_number().over(order) == 1).drop("total", "others", "base_aic")

@@ -20,9 +20,25 @@ def tables_dir(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet and read back: its lineage is cut, and a lost executor costs no earlier stage."""
+def stored(df: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
+    """``df`` written as Parquet and read back: its lineage is cut, and a lost executor costs no earlier stage.
+
+    ``replaces`` is a stored table that nothing reads any more, an earlier round of an iteration say; its files are deleted once the new ones are written.
+    """
     spark = df.sparkSession
     path = f"{tables_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        dropped(replaces)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rimward_path = path  # where ``dropped`` finds it
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete the files of a stored table; other frames are left alone."""
+    path = getattr(table, "_rimward_path", None)
+    if path is not None:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
