@@ -97,6 +97,19 @@ def test_bpe_of_long_pieces_equals_the_library(spark):
     assert bpe.round_trip(frame(spark, []), RANKS, PATTERN).count() == 0
 
 
+def test_null_ids_repeated_rows_and_empty_tables(spark):
+    docs, ids = ["x y\nz", "x y\nz", None, "", "long " * 20_000], [None, None, None, 4, 4]
+    df, empty = frame(spark, docs, ids), frame(spark, [])
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    lines = sorted((str(r["doc_id"]), r["n_lines"], r["kept_sha256"]) for r in line_dedup.dedup_lines(df).collect())
+    assert lines == sorted((str(i), (d or "").count("\n") + 1, sha(d)) for i, d in zip(ids, docs, strict=True))
+    tokens = sorted((str(r["doc_id"]), r["n_bytes"]) for r in token_counts.count_tokens(df, JSON).collect())
+    assert tokens == sorted((str(i), len(d or "")) for i, d in zip(ids, docs, strict=True))
+    ids_back = sorted((str(r["doc_id"]), bytes(r["bytes"]).decode()) for r in bpe.round_trip(df, RANKS, PATTERN).collect())
+    assert ids_back == sorted((str(i), d or "") for i, d in zip(ids, docs, strict=True))
+    assert line_dedup.dedup_lines(empty).count() == token_counts.count_tokens(empty, JSON).count() == 0
+
+
 def test_bpe_rejects_unknown_ids(spark):
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [60000])], "doc_id long, ids array<int>"), RANKS, PATTERN).collect()
@@ -224,6 +237,18 @@ def test_decontamination_equals_brute_force(spark, texts):
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_decontamination_by_broadcast_and_by_shuffle(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "BITS", 64)  # a bitmap that is nearly full finds the same
+    items = ["one", "two words", "a b c", "r s t u v w x y z a b c d", "two words", "k l m n o p q r s t"]
+    docs = ["ONE, two words; a b", "k l m n o p q r s t u v w x y z a b c d", "b a b c", "", None, "one one", "words two"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, "words two")], "item_id long, text string")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontaminate.contamination(frame(spark, docs, [1, 2, 3, 4, 5, None, 7]), bench).collect()}
+    assert got == {(1, 5, 3, ("0", "1", "4")), (2, 20, 20, ("2", "3", "5")), (3, 4, 3, ("2",)), (4, 0, 0, ()), (5, 0, 0, ()), (None, 2, 2, ("0",)), (7, 2, 0, ())}
+    assert decontaminate.contamination(frame(spark, []), bench).count() == 0
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -274,6 +299,50 @@ def test_copies_of_a_text_count_once_as_evidence(spark):
     assert len(rows) == 1005 and all("Zorblax" not in r["text"] and r["text"].startswith("[TERM] wrote from [EMAIL]") for r in rows)
 
 
+def term_spans(docs, min_disclosure=0.6):
+    """The term spans of each text, by counting over the distinct texts."""
+    term = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    once, base, entities, terms = sorted({d or "" for d in docs}), {}, {}, {}
+    for d in once:
+        base[d] = [(k, m.start(), m.end(), m[0]) for k, p in PLAIN.items() for m in re.finditer(p, d) if valid(k, m[0])]
+        entities[d] = {(k, re.sub("[^0-9]", "", v) if k in ("card", "phone") else v.lower()) for k, _, _, v in base[d]}
+        terms[d] = {w for w in term.findall(d) if len(w) >= 3 and re.search("[^0-9]", w)}
+    n_term, n_entity = collections.Counter(w for d in once for w in terms[d]), collections.Counter(e for d in once for e in entities[d])
+    n_both = collections.Counter((e, w) for d in once for e in entities[d] for w in terms[d])
+    out = []
+    for d in (d or "" for d in docs):
+        reveal = {w for e in entities[d] for w in terms[d] if n_both[e, w] / n_term[w] >= min_disclosure and len(once) * n_both[e, w] / (n_entity[e] * n_term[w]) > 1}
+        out.append([(m.start(), m.end()) for m in term.finditer(d) if m[0] in reveal and not any(a < m.end() and m.start() < b for _, a, b, _ in base[d])])
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_term_spans_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(15)
+    people = [(f"Name{i}", f"Town{i % 4}", rng.choice([f"n{i % 9}@mail.example", f"10.0.0.{i}", f"+49 30 {1000000 + i}", "4111 1111 1111 1111"])) for i in range(14)]
+    docs = [None, "", None, "no words 123 12345678901234567"]
+    for _ in range(90):
+        who = rng.sample(people, rng.choice([0, 1, 1, 2]))
+        docs.append(" ".join(rng.sample([w for p in who for w in p] + words(rng, 4).split() + ["é日本", "9x9", "12"], 3 * len(who) + 5)))
+    docs += rng.choices(docs, k=30)
+    ids = [None if i % 17 == 0 else i // 2 for i in range(len(docs))]  # null and repeated ids
+    found = collections.Counter()
+    for r in pii.sanitise(frame(spark, docs, ids)).collect():
+        found[r["doc_id"], r["text"], tuple((s["start"], s["end"]) for s in r["term_spans"])] += 1
+    want = collections.Counter()
+    for i, d, spans in zip(ids, docs, term_spans(docs), strict=True):
+        marks = sorted([(a, b, "TERM") for a, b in spans] + [(m.start(), m.end(), k.upper()) for k, p in PLAIN.items() for m in re.finditer(p, d or "") if valid(k, m[0])])
+        text, reach = "", 0
+        for a, b, k in marks:
+            if a >= reach:
+                text += (d or "")[reach:a] + f"[{k}]"
+            reach = max(reach, b)
+        want[i, text + (d or "")[reach:], tuple(spans)] += 1
+    assert found == want and sum(len(k[2]) for k in want) > 50
+    assert pii.sanitise(frame(spark, [])).count() == 0
+
+
 def test_terms_far_from_their_entity_are_found(spark):
     gap = " and so on" * 30
     docs = [f"Zorblax wrote.{gap} Reply to zor@blax.example{gap}, says{gap if i % 2 else ''} Vantrell" for i in range(4)] + [f"a reply, says someone{gap} who wrote {i}" for i in range(8)]
@@ -362,6 +431,32 @@ def test_quality_rules_separate_junk(spark):
     assert quality_rules.score(frame(spark, ["a"]), quality_rules.train(frame(spark, docs), labels.limit(0))).first()["score"] == 0.5
 
 
+def plain_statistics(text):
+    t = text or ""
+    w, lines = [x for x in re.split("[\x20\x09-\x0d]+", t) if x], t.split("\n")
+    count = lambda p: len(re.findall(p, t))
+    n = max(len(w), 1)
+    out = {"log_chars": np.log1p(len(t)), "log_words": np.log1p(len(w)), "word_length": len(t) / n, "words_per_line": len(w) / len(lines), "distinct_words": len(set(w)) / n, "distinct_lines": len(set(lines)) / len(lines)}
+    patterns = {"upper": "[A-Z]{2,}", "marks": r"[#$%&*|]", "bangs": "!", "digits": "[0-9]+", "stops": "[.?]", "commas": "[,;:]", "links": "https?:|www[.]|@", "odd": r"[<>{}\[\]=_~^\\/]"}
+    return out | {f"{k}_per_word": count(p) / n for k, p in patterns.items()}
+
+
+def test_quality_scores_equal_the_rules_taken_one_by_one(spark, texts):
+    rng = random.Random(16)
+    docs = [words(rng, 30).upper() + "!" if i % 2 else words(rng, 40) + "." for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    model = quality_rules.train(frame(spark, docs), labels)
+    many = [*docs, *texts, "A B! " * 200_000, docs[0], docs[0], None]
+    want = []
+    for t in many:
+        s = plain_statistics(t)
+        fires = [r.weight for r in model.rules if all((s[n.removeprefix("s_")] > b) == greater for n, greater, b in r.terms)]
+        want.append(1 / (1 + np.exp(-(model.bias + sum(fires)))))
+    rows = quality_rules.score(frame(spark, many), model).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in rows], want) and [r["predicted"] for r in rows] == [int(x >= 0.3) for x in want]
+    assert quality_rules.score(frame(spark, []), model).count() == 0
+
+
 def test_toxic_spans_are_found(spark):
     rng = random.Random(6)
     docs = [words(rng, 50) if i % 4 else f"{words(rng, 20)} you {rng.choice(['vile', 'nasty'])} Scum, {words(rng, 20)}" for i in range(400)]
