@@ -1,5 +1,6 @@
 import pytest
 
+from rimward import centrality
 from rimward.centrality import MEASURES, centralities
 from tests.helpers import values
 
@@ -37,6 +38,27 @@ def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     assert abs(sum(got) - 1) < 1e-4 and got[1] == max(got) and got[3] == min(got)
 
 
+def test_pagerank_of_many_samples_equals_that_of_few(spark, monkeypatch):
+    nodes = spark.createDataFrame([(s, i) for s in "abc" for i in range(5)], "sample_id string, node_id long")
+    edges = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("b", 0, 1), ("b", 0, 2), ("b", 0, 3), ("b", 0, 4), ("c", 3, 4)], "sample_id string, src long, dst long")
+    rows = lambda: sorted(map(tuple, centralities(nodes, edges, ["pagerank"]).collect()))
+    few = rows()
+    monkeypatch.setattr(centrality, "FEW_SAMPLES", 0)
+    assert rows() == few
+
+
+@pytest.mark.parametrize("problem", [ArithmeticError("no"), ValueError("no"), RuntimeError("no")])
+def test_a_measure_that_fails_is_left_out(spark, monkeypatch, problem):
+    def fails(graph):
+        raise problem
+
+    monkeypatch.setattr(centrality, "clustering", fails)
+    nodes, edges = frames(spark, 3, [(0, 1), (1, 2)])
+    with pytest.warns(UserWarning, match="clustering failed"):
+        got = centralities(nodes, edges, ["degree", "clustering", "closeness"])
+    assert got.columns == ["sample_id", "node_id", "degree", "closeness"]
+
+
 def test_both_directions_are_one_edge_and_loops_count_twice(spark):
     assert scores(spark, 2, [(0, 1), (1, 0), (0, 0)], "degree") == [3, 1]
 

@@ -4,12 +4,13 @@ import numpy as np
 import pytest
 
 from rimward import distances as di
+from rimward import nearest
 from tests.helpers import nodes, values
 
 
 def test_rectangle_has_corners_at_zero_and_the_centre_inside(spark):
-    got = values(di.distance_to_rectangular_border(nodes(spark, [(0, 0), (1, 0), (1, 1), (0, 1), (0.5, 0.5)])), di.RECTANGLE)
-    assert got.tolist() == [0, 0, 0, 0, 0.5]
+    got = values(di.distance_to_rectangular_border(nodes(spark, [(-2, 1), (6, 1), (6, 4), (-2, 4), (3, 2)])), di.RECTANGLE)
+    assert got.tolist() == [0, 0, 0, 0, 1]
 
 
 def test_rectangle_needs_the_plane(spark):
@@ -33,9 +34,9 @@ def test_hull_in_the_plane_matches_brute_force(spark):
 
 
 def test_hull_of_border_and_inner_points(spark):
-    border = [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (0, 1)]
-    got = values(di.distance_to_convex_hull(nodes(spark, [*border, (1, 1), (0.5, 0.5)])), di.HULL)
-    assert np.allclose(got, [0] * 8 + [1, 0.5])
+    border = [(-3, 0), (0, -4), (3, 0), (0, 4), (1.5, 2)]  # a rhombus with sides of length 5, and a point on one
+    got = values(di.distance_to_convex_hull(nodes(spark, [*border, (0, 0), (0, 2), (1, 0)])), di.HULL)
+    assert np.allclose(got, [0] * 5 + [2.4, 1.2, 1.6])
 
 
 def test_hull_in_space(spark):
@@ -55,15 +56,42 @@ def test_collinear_samples_have_no_hull(spark):
 
 
 def test_pointset(spark):
-    marks = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)], "x double, y double")
-    got = values(di.distance_to_pointset(nodes(spark, [(1, 0), (2, 2)]), marks), di.POINTSET)
-    assert np.allclose(got, [0, np.sqrt(5)])
+    marks = spark.createDataFrame([(3.0, -1.0), (8.0, 8.0)], "x double, y double")
+    got = values(di.distance_to_pointset(nodes(spark, [(8, 8), (6, 3), (0, 3)]), marks), di.POINTSET)
+    assert np.allclose(got, [0, 5, 5])
     with pytest.raises(ValueError, match="at least one"):
-        di.distance_to_pointset(nodes(spark, [(1, 0)]), marks.where("x > 5"))
+        di.distance_to_pointset(nodes(spark, [(1, 0)]), marks.where("x > 50"))
     with pytest.raises(ValueError, match="dimensionality"):
         di.distance_to_pointset(nodes(spark, [(1, 0, 0)]), marks)
 
 
+def test_pointset_of_all_samples_is_one_grid(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "DIRECT_ROWS", 50)
+    rng = np.random.default_rng(13)
+    marks, p = rng.normal(size=(400, 2)), np.vstack([rng.normal(size=(60, 2)), [[30.0, -40.0], [0.0, 500.0]]])
+    df = nodes(spark, p, "one").unionByName(nodes(spark, p + 1, "two"))
+    got = di.distance_to_pointset(df, spark.createDataFrame([tuple(map(float, m)) for m in marks], "x double, y double"))
+    for sample, shift in (("one", 0), ("two", 1)):
+        want = np.linalg.norm(p[:, None] + shift - marks[None], axis=2).min(axis=1)
+        assert np.allclose(values(got.where(f"sample_id = '{sample}'"), di.POINTSET), want)
+
+
+def test_distance_to_triangles_equals_dense_sampling(spark, monkeypatch):
+    monkeypatch.setattr(di, "PACK", 2)
+    rng = np.random.default_rng(14)
+    p, corners = rng.uniform(-2, 2, (40, 3)), rng.uniform(-1, 1, (5, 3, 3))
+    corners[4, 2] = corners[4, 1]  # no area: a segment
+    rows = [("all", *[c.tolist() for c in t]) for t in corners]
+    got = values(di.distance_to_triangles(nodes(spark, p), spark.createDataFrame(rows, "sample_id string, a array<double>, b array<double>, c array<double>")), di.TRIANGLES)
+    u, v = np.meshgrid(np.linspace(0, 1, 201), np.linspace(0, 1, 201))
+    u, v = u[u + v <= 1 + 1e-12], v[u + v <= 1 + 1e-12]
+    inside = np.concatenate([t[0] + u[:, None] * (t[1] - t[0]) + v[:, None] * (t[2] - t[0]) for t in corners])
+    want = np.array([np.linalg.norm(inside - x, axis=1).min() for x in p])
+    assert (got <= want + 1e-9).all() and np.allclose(got, want, atol=0.02)
+    with pytest.raises(ValueError, match="three coordinates"):
+        di.distance_to_triangles(nodes(spark, [(0, 0)]), spark.createDataFrame(rows, "sample_id string, a array<double>, b array<double>, c array<double>"))
+
+
 def test_mask_rounds_half_to_even_and_clips(spark):
     on = spark.createDataFrame([(i, j) for i in range(5, 15) for j in range(5, 15)], "i int, j int")
     got = values(di.distance_to_mask(nodes(spark, [(10, 10), (4.5, 10), (5.5, 10), (-7, 10), (99, 99)]), on, (20, 20)), di.MASK)
@@ -80,19 +108,22 @@ def test_mask_pixels(spark):
 
 
 def test_alpha_zero_is_the_hull(spark):
-    p = nodes(spark, np.random.default_rng(42).uniform(0, 100, (60, 2)))
+    p = nodes(spark, np.random.default_rng(31).normal(0, 20, (70, 2)))
     assert np.allclose(values(di.distance_to_alpha_shape(p, 0.0), di.ALPHA), values(di.distance_to_convex_hull(p), di.HULL))
 
 
 def test_alpha_shape_follows_a_concave_border(spark):
-    rng = np.random.default_rng(0)
-    left, right, bottom = rng.uniform((0, 0), (2, 10), (120, 2)), rng.uniform((8, 0), (10, 10), (120, 2)), rng.uniform((2, 0), (8, 2), (100, 2))
-    p = nodes(spark, np.vstack([left, right, bottom, [(5, 1.9)]]))
-    assert values(di.distance_to_alpha_shape(p, 0.5), di.ALPHA)[-1] < values(di.distance_to_alpha_shape(p, 0.0), di.ALPHA)[-1]
+    rng = np.random.default_rng(15)
+    angle, radius = rng.uniform(0.3, 2 * np.pi - 0.3, 500), np.sqrt(rng.uniform(16, 36, 500))
+    arc = np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=1)  # a broken ring, and a node on its inner side
+    p = nodes(spark, np.vstack([arc, [(-4.05, 0)]]))
+    assert values(di.distance_to_alpha_shape(p, 0.8), di.ALPHA)[-1] < 0.5 < 1.5 < values(di.distance_to_alpha_shape(p, 0.0), di.ALPHA)[-1]
 
 
 def test_alpha_shape_of_two_clouds_warns(spark):
-    p = np.vstack([np.random.default_rng(0).uniform(0, 1, (30, 2)), np.random.default_rng(1).uniform(10, 11, (30, 2))])
+    turn = np.arange(25.0)
+    spiral = np.stack([np.sqrt(turn) * np.cos(2.4 * turn), np.sqrt(turn) * np.sin(2.4 * turn)], axis=1) / 8
+    p = np.vstack([spiral, spiral + 20])
     with pytest.warns(UserWarning, match="MultiPolygon"):
         di.distance_to_alpha_shape(nodes(spark, p), 2.0)
 
@@ -103,4 +134,4 @@ def test_alpha_shape_errors(spark):
     with pytest.raises(ValueError, match="Nx2"):
         di.distance_to_alpha_shape(nodes(spark, np.ones((4, 3))), 1.0)
     with warnings.catch_warnings(), pytest.raises(ValueError, match="empty"):
-        di.distance_to_alpha_shape(nodes(spark, np.random.default_rng(42).uniform(0, 1000, (5, 2))), 10.0)
+        di.distance_to_alpha_shape(nodes(spark, [(0, 0), (700, 40), (300, 900), (900, 800), (450, 350)]), 10.0)

@@ -8,8 +8,9 @@ from tests.helpers import nodes, pairs
 
 @pytest.fixture
 def jittered():
-    grid = np.array([(i, j) for i in range(5) for j in range(2)], dtype=float)
-    return grid + np.random.default_rng(42).uniform(-0.05, 0.05, grid.shape)
+    """Two rows of five, each a little off its place."""
+    rows = np.stack([np.tile(np.arange(5.0), 2), np.repeat([0.0, 1.0], 5)], axis=1)
+    return rows + 0.04 * np.sin(np.arange(20.0).reshape(10, 2) * 7)
 
 
 def test_knn_has_k_edges_per_node(spark, jittered):
@@ -27,6 +28,20 @@ def test_knn_by_grid_equals_brute_force(spark, monkeypatch, dimensions):
     assert got == {(i, int(j)) for i in range(len(p)) for j in np.argsort(d[i])[:5]}
 
 
+@pytest.mark.parametrize("k", [1, 6])
+def test_knn_of_clusters_outliers_and_equal_points(spark, monkeypatch, k):
+    monkeypatch.setattr(nearest, "DIRECT_ROWS", 0)
+    made, store = [], nearest.stored
+    rng = np.random.default_rng(5)
+    p = np.vstack([rng.normal(0, 1e-4, (700, 2)), rng.normal(50, 1e-2, (200, 2)), rng.uniform(-1000, 1000, (80, 2)), np.full((15, 2), 7.0), [[1e6, 0]]])
+    monkeypatch.setattr(nearest, "stored", lambda df, label, **kw: made.append((label, df.count())) or store(df, label, **kw))
+    got = pairs(graph.knn_edges(nodes(spark, p), k))
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, int(j)) for i in range(len(p)) for j in np.lexsort((np.arange(len(p)), d[i]))[:k]}
+    assert {label for label, _ in made} >= {"cells", "queries", "near"}
+
+
 def test_knn_needs_enough_nodes(spark, jittered):
     with pytest.raises(ValueError):
         graph.knn_edges(nodes(spark, jittered), 10)

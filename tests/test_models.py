@@ -50,6 +50,32 @@ def test_saturating_curves_recover_their_parameters(spark, model, curve, want):
     assert r["plateau"] == pytest.approx(r["m"] + r["c"])
 
 
+@pytest.mark.parametrize("model", [mo.EXPONENTIAL, mo.MICHAELIS])
+@pytest.mark.parametrize("curve", [lambda d: np.sin(d), lambda d: 1 / (1 + d), lambda d: np.sqrt(d), lambda d: np.where(d > 6, 2.0, 0.0)])
+def test_saturating_fits_are_no_worse_than_a_dense_grid(spark, model, curve):
+    s = curve(D) + NOISE
+    r = fit(spark, D, s, mo.CONSTANT, model)[model.name]
+    errors = []
+    for b in np.exp(np.linspace(math.log(1e-6), math.log(1e4 if model is mo.MICHAELIS else 50 / D[1]), 4000)):
+        x = 1 - np.exp(-b * D) if model is mo.EXPONENTIAL else D / (b + D)
+        x = np.stack([x - x.mean(), np.ones(300)], axis=1)
+        errors.append(np.mean((s - x @ np.linalg.lstsq(x, s, rcond=None)[0]) ** 2))
+    assert r["ll"] >= -150 * (math.log(2 * math.pi * min(errors)) + 1) - 1e-3
+
+
+def test_entropy_over_several_models(spark):
+    got = fit(spark, D, np.log1p(D) + 3 * NOISE)
+    weights = np.array([math.exp((got["Constant Fit"]["aic"] - r["aic"]) / 600) for m, r in got.items() if m != "Constant Fit"])
+    share = weights / weights.sum()
+    want = -(share * np.log(share + 1e-15)).sum() / math.log(3)
+    assert 0 < want < 1 and all(r["entropy"] == pytest.approx(want) and r["relative_likelihood"] == pytest.approx(math.exp((got["Constant Fit"]["aic"] - r["aic"]) / 600)) for m, r in got.items() if m != "Constant Fit")
+
+
+@pytest.mark.parametrize(("d", "fits"), [([0.0, 0.0, 1.0], False), ([0.0, 0.0, 1.0, 2.0], True), ([0.0, 0.0, 1.5e-6, 1.6e-6], False), ([0.0, 1e-6, 3.0], True), ([0.0, 1.0, 2.0], True)])
+def test_the_median_decides_whether_a_hyperbola_is_tried(spark, d, fits):
+    assert fit(spark, d, [1.0, 2.0, 4.0, 3.0][: len(d)], mo.CONSTANT, mo.MICHAELIS)["Michaelis-Menten Fit"]["converged"] == fits == (np.median(d) >= mo.B_MIN)
+
+
 def test_saturation_metrics(spark):
     r = fit(spark, D, 5 * D / (2 + D), mo.CONSTANT, mo.MICHAELIS)["Michaelis-Menten Fit"]
     assert r["half_life"] == pytest.approx((2 * 2.5 * (10 / 12) / (5 - 2.5 * (10 / 12))) / 10, rel=1e-3)
