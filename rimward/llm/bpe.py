@@ -2,7 +2,7 @@
 
 Spark deals the documents out; each Arrow batch is cut into the pattern's pieces. The pieces that a worker
 hasn't met go to one recursive query: their token-position rows are joined with the merge table, and each piece's
-leftmost pair of minimum rank is contracted, until none is left. A worker remembers up to ``MEMO`` pieces. Decoding joins
+leftmost pair of minimum rank is contracted, until none is left. A worker remembers up to ``MEMO`` pieces, those that it met lately. Decoding joins
 ids with the vocabulary and aggregates the bytes in order.
 
 In pieces from ``LONG`` bytes all pairs of the minimum rank are contracted in a round, from the left, where they don't
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rimward.llm.common import slices
 
-MEMO = 350_000
+MEMO = 500_000
 #: Characters of texts, bytes of pieces and ids that are worked on at once (a longer one alone), and rounds of contraction in one query.
 TEXT_BLOCK, PIECE_BLOCK, ID_BLOCK, ROUNDS = 1_000_000, 500_000, 200_000, 64
 #: Bytes from which a piece is long, and bytes of long pieces at once (a longer one alone) and rounds of their queries.
@@ -92,10 +92,13 @@ SELECT piece, arg_max(ids, round) AS ids, max(round) AS rounds FROM state GROUP
 """
 
 _DECODE = """
-SELECT doc, array_to_string(list(v.bytes ORDER BY i.pos), '') AS bytes
-FROM (SELECT doc, unnest(ids) AS token, generate_subscripts(ids, 1) AS pos FROM encoded) i
-JOIN vocabulary v USING (token)
-GROUP BY doc
+SELECT doc, array_to_string(list_select(bytes, list_grade_up(places)), '') AS bytes
+FROM (
+    SELECT doc, list(v.bytes) AS bytes, list(i.pos) AS places
+    FROM (SELECT doc, unnest(ids) AS token, generate_subscripts(ids, 1) AS pos FROM encoded) i
+    JOIN vocabulary v USING (token)
+    GROUP BY doc
+)
 """
 
 
@@ -107,20 +110,22 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was remembered before; what is met again moves up
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         splits = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         first, second, token = zip(*(s for s in splits if s[0] is not None and s[1] is not None), strict=True)
         merges = pa.table({"first": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32()), "token": pa.array(token, pa.int32())})  # noqa: F841
-        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.hex() for t in self.ranks]})  # noqa: F841
+        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": ["".join(chr(b or 256) for b in t) for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary")
 
-    def _contract(self, rows: list[np.ndarray], query: str = _CONTRACT, most: int = ROUNDS) -> list[bytes]:
-        """The ids of each row of single-byte tokens, as int32 bytes. Rows of more than ``most`` rounds take several queries."""
-        done: list[bytes] = [b""] * len(rows)
-        names, left = np.arange(len(rows), dtype=np.int32), rows
-        while left:
-            self.db.register("pieces", pa.table({"piece": names, "ids": _lists(left)}))
+    def _contract(self, raws: list[bytes], query: str = _CONTRACT, most: int = ROUNDS) -> list[bytes]:
+        """The ids of each piece, as int32 bytes. Pieces of more than ``most`` rounds take several queries."""
+        done: list[bytes] = [b""] * len(raws)
+        names = np.arange(len(raws), dtype=np.int32)
+        left = _lists([len(r) for r in raws], self.single[np.frombuffer(b"".join(raws), np.uint8)])
+        while len(left):
+            self.db.register("pieces", pa.table({"piece": names, "ids": left}))
             out = self.db.sql(query).to_arrow_table().combine_chunks()
             self.db.unregister("pieces")
             names, ids = out["piece"].to_numpy(), out["ids"].combine_chunks()
@@ -128,7 +133,7 @@ class Codec:
             for name, a, b in zip(names.tolist(), starts.tolist(), starts[1:].tolist(), strict=False):
                 done[name] = raw[a:b]
             names = names[out["rounds"].to_numpy() == most]
-            left = [np.frombuffer(done[name], dtype=np.int32) for name in names]
+            left = _lists([len(done[name]) // 4 for name in names], np.frombuffer(b"".join(done[name] for name in names), dtype=np.int32))
         return done
 
     def learn(self, pieces: set[str]) -> None:
@@ -142,28 +147,30 @@ class Codec:
                 (long if len(raw) >= LONG else short).append((piece, raw))
         for new, size, query, most in ((short, PIECE_BLOCK, _CONTRACT, ROUNDS), (long, LONG_BLOCK, _CONTRACT_ALL, LONG_ROUNDS)):
             for at, end in _blocks([len(raw) for _, raw in new], size):
-                rows = [self.single[np.frombuffer(raw, np.uint8)] for _, raw in new[at:end]]
-                self.pieces.update(zip([piece for piece, _ in new[at:end]], self._contract(rows, query, most), strict=True))
+                part = new[at:end]
+                self.pieces.update(zip([piece for piece, _ in part], self._contract([raw for _, raw in part], query, most), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
-        if len(self.pieces) > MEMO:
-            self.pieces = {}
-        known = self.pieces
-        self.learn({p for pieces in cut for p in pieces if p not in known})
+        if len(self.pieces) > MEMO // 2:
+            self.pieces, self.before = {}, self.pieces
+        new = set().union(*cut) - self.pieces.keys()
+        met = new & self.before.keys()
+        self.pieces.update((p, self.before[p]) for p in met)
+        self.learn(new - met)
         return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         self.db.register("encoded", pa.table({"doc": np.arange(len(ids), dtype=np.int32), "ids": ids}))
         out = [b""] * len(ids)
         for doc, text in self.db.execute(_DECODE).fetchall():
-            out[doc] = bytes.fromhex(text)
+            out[doc] = text.replace("\u0100", "\0").encode("latin-1")  # a character a byte, but for zero
         self.db.unregister("encoded")
         return out
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), pa.array(np.concatenate(rows)))
+def _lists(sizes: list[int], values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(values))
 
 
 @lru_cache(maxsize=2)
