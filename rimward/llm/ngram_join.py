@@ -353,7 +353,8 @@ def set_links(sets: DataFrame) -> DataFrame:
     sizes = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(rows.join(sizes, "signature"), "signatures")
     rank = shared.groupBy("set_id").agg(F.sum("size").alias("rank"))
-    rows = shared.join(rank, "set_id").withColumn("component", F.col("set_id"))
+    held = materialize(shared.join(rank, "set_id"), "ranked", replaces=shared)
+    rows = held.withColumn("component", F.col("set_id"))
     tested = links = None
     for _ in range(HUB_ROUNDS):
         pairs = materialize(hub_pairs(rows, tested), "hub-pairs")
@@ -361,7 +362,7 @@ def set_links(sets: DataFrame) -> DataFrame:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         components = connected_components(links).withColumnRenamed("node", "set_id")
-        rows = materialize(_open_groups(rows.drop("component"), components), "open-signatures")
+        rows = held = materialize(_open_groups(rows.drop("component"), components), "open-signatures", replaces=held)
         if rows.isEmpty():
             return links
     pairs, dense = sparse_pairs(rows, SPARSE)
