@@ -191,6 +191,9 @@ class LineIndex:
             "line-change",
         ).withColumn("n_docs", F.col("old") + F.col("delta"))
         counts = both.where("n_docs > 0").select("h1", "h2", "n_docs")
+        shards = max(1, -(-counts.where(F.col("n_docs") >= self.min_docs).count() // KEYS_PER_SHARD))
+        if shards > 2 * self.shards:  # the keys have outgrown their shards: deal them anew
+            return LineIndex(counts, materialize(build_filters(counts, self.min_docs, shards), "line-filters"), self.min_docs, self.min_chars, shards)
         was, now = F.col("old") >= self.min_docs, F.col("n_docs") >= self.min_docs
         moved = both.where(was != now).select("h1", "h2", now.alias("add"), _shard(self.shards).alias("shard"))
 
