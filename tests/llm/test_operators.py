@@ -68,6 +68,18 @@ def test_line_index_takes_back_what_was_inserted(spark):
     assert table(back) == table(index) and back.prune(first).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_line_index_deals_its_keys_anew_when_they_outgrow_their_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 4)
+    first = frame(spark, ["a\nb"] * 10)
+    more = frame(spark, ["\n".join(f"line {i}" for i in range(30))] * 10)
+    index = line_dedup.LineIndex.build(first, min_docs=10)
+    grown = index.insert(more)
+    assert (index.shards, grown.shards) == (1, 8) and grown.filters.agg(F.sum("n_keys")).first()[0] == 32
+    assert grown.prune(first.unionByName(more)).agg(F.sum("n_dropped")).first()[0] == 320
+    back = grown.delete(more)
+    assert back.prune(first).agg(F.sum("n_dropped")).first()[0] == 20 and back.counts.count() == 2
+
+
 def test_cuckoo_filter_holds_all_and_forgets_removed():
     rng = np.random.default_rng(0)
     h1, h2 = rng.integers(-(2**63), 2**63, (2, 5000))
