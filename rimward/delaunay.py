@@ -4,7 +4,7 @@ Nodes are dealt to tiles of about ``TILE_POINTS``. A task triangulates a tile wi
 whose circumcircle, as far as it lies in the sample's bounding box, is inside that block is final: no other node can be in the circle.
 Nodes of the tile with an uncertain triangle, or on the block's hull, are *open*; they are near the border
 of the sample or of holes. Any missing triangle has three open corners, so the open nodes alone are triangulated
-next, and of their triangles those whose circles hold no node at all are taken.
+next, and of their triangles those whose circles hold no node at all are taken; a circle is compared with the nodes of the tiles that it touches.
 Samples of one tile are done in the first step.
 """
 
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rimward.expr import clip
 from rimward.geometry import triangulate
 from rimward.storage import stored
 
@@ -66,11 +67,23 @@ def _open_block(key, rows: pd.DataFrame) -> pd.DataFrame:
     return _rows(key[0], rows["node_id"].to_numpy(), *triangulate(rows[["x", "y"]].to_numpy(), rows["node_id"].to_numpy()))
 
 
-def _without_hits(triangles: DataFrame, points: DataFrame) -> DataFrame:
-    """The triangles whose circles hold none of the points."""
-    p = points.select("sample_id", "x", "y")
+def _without_hits(triangles: DataFrame, points: DataFrame, grid: DataFrame) -> DataFrame:
+    """The triangles whose circles hold none of the points (sample_id, tx, ty, x, y). A triangle meets the points of the tiles that its circle touches."""
+    on = triangles.join(grid, "sample_id")
+
+    def span(centre: str, low: str):
+        ends = [F.floor((F.col(centre) + sign * F.col("radius") - F.col(low)) / F.col("size")) for sign in (-1, 1)]
+        return F.sequence(*[clip(e, F.lit(0), F.col("tiles") - 1).cast("int") for e in ends])
+
+    def gap(centre: str, low: str, tile: str):
+        first = F.col(low) + F.col(tile) * F.col("size")
+        return F.greatest(first - F.col(centre), F.col(centre) - first - F.col("size"), F.lit(0.0))
+
+    met = on.withColumn("tx", F.explode(span("cx", "low_x"))).withColumn("ty", F.explode(span("cy", "low_y")))
+    # the tiles at the sides of the box reach as far as its rounding
+    met = met.where(F.pow(gap("cx", "low_x", "tx"), F.lit(2.0)) + F.pow(gap("cy", "low_y", "ty"), F.lit(2.0)) <= F.col("radius") ** 2 * (1 + 1e-9))
     inside = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 < F.col("radius") ** 2 * (1 - 1e-9)
-    hit = triangles.join(p, "sample_id").where(inside).select("sample_id", "a", "b", "c").distinct()
+    hit = met.join(points.select("sample_id", "tx", "ty", "x", "y"), ["sample_id", "tx", "ty"]).where(inside).select("sample_id", "a", "b", "c").distinct()
     return triangles.join(hit, ["sample_id", "a", "b", "c"], "left_anti")
 
 
@@ -93,8 +106,9 @@ def delaunay_triangles(nodes: DataFrame) -> DataFrame:
     around = dealt.join(opened, ["sample_id", "node_id"], "left_semi").select("sample_id", "node_id", "x", "y")
     guesses = stored(around.groupBy("sample_id").applyInPandas(_open_block, SCHEMA), "open-triangles")
     fresh = guesses.join(sure, ["sample_id", "a", "b", "c"], "left_anti")
+    grid = box.select("sample_id", "low_x", "low_y", "size", "tiles")
     coarse = dealt.groupBy("sample_id", "tx", "ty").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    rest = _without_hits(stored(_without_hits(fresh, coarse), "likely-triangles"), dealt)
+    rest = _without_hits(stored(_without_hits(fresh, coarse, grid), "likely-triangles"), dealt, grid)
     return sure.unionByName(rest)
 
 
