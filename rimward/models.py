@@ -13,7 +13,7 @@ with the amplitude (a) of saturating curves in ``m`` and the level that a curve
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -163,46 +163,60 @@ def _fit_plateau(points: DataFrame, statistics: DataFrame) -> DataFrame:
     return best.select(*KEYS, F.col("f.b").alias("b"), F.col("f.m").alias("m"), c.alias("c"), (F.col("d_max") > F.col("d_min")).alias("converged"))
 
 
-def _fit_saturating(model: CurveModel) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    def fit(points: DataFrame, statistics: DataFrame) -> DataFrame:
-        """Zoom in on log b: the squared error at evenly spaced values, then between the neighbours of the best; last a parabola through three."""
-        low, high = F.lit(math.log(B_MIN)), F.log(F.greatest(model.b_max(), F.lit(10 * B_MIN)))
+def _by_model(models: Sequence[CurveModel], value: Callable[[CurveModel], Column]) -> Column:
+    """``value`` of the model named in the column ``model``."""
+    out = F.when(F.col("model") == models[0].name, value(models[0]))
+    for model in models[1:]:
+        out = out.when(F.col("model") == model.name, value(model))
+    return out
+
+
+def _fit_saturating(models: Sequence[CurveModel], points: DataFrame, statistics: DataFrame) -> DataFrame:
+    """All the models at once. Zoom in on log b: the squared error at evenly spaced values, then between the neighbours of the best; last a parabola through three."""
+    keys = [*KEYS, "model"]
+    low = F.lit(math.log(B_MIN))
+
+    def begin(model: CurveModel) -> DataFrame:
+        high = F.log(F.greatest(model.b_max(), F.lit(10 * B_MIN)))
         able = F.coalesce((F.col("d_max") > F.col("d_min")) & F.col("d_least").isNotNull() & model.allowed(), F.lit(False))
-        search = stored(statistics.where("n > 0").select(*KEYS, "s_mean", able.alias("able"), low.alias("low"), ((high - low) / STEPS).alias("step")), "search")
-
-        def errors(search: DataFrame, steps: int) -> DataFrame:
-            rows = points.join(search.where("able"), KEYS)
-            rows = rows.select(*KEYS, "low", "step", "n_d", "d", "s1", "s2", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
-            rows = rows.withColumn("x", model.basis(F.col("d"), F.exp(F.col("low") + F.col("i") * F.col("step"))))
-            w = F.col("n_d") * F.col("x")
-            sums = rows.groupBy(*KEYS, "low", "step", "i").agg(
-                F.sum("n_d").cast("double").alias("k"), F.sum(w).alias("sx"), F.sum(w * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("s1")).alias("sxs"), F.sum("s1").alias("ss1"), F.sum("s2").alias("ss2")
-            )
-            m, c, e = _least_squares(*[F.col(a) for a in ("k", "sx", "sxx", "sxs", "ss1", "ss2")])
-            return sums.select(*KEYS, "low", "step", "i", m.alias("m"), c.alias("c"), e.alias("e"))
-
-        for _ in range(ZOOMS):
-            best = errors(search, STEPS).groupBy(*KEYS, "low", "step").agg(F.min(F.struct("e", "i"))["i"].alias("i"))
-            low = F.col("low") + clip(F.col("i") - 1, F.lit(0), F.lit(STEPS - 2)) * F.col("step")
-            zoomed = best.select(*KEYS, low.alias("low2"), (F.col("step") * 2 / STEPS).alias("step2"))
-            search = stored(search.join(zoomed, KEYS, "left").select(*KEYS, "s_mean", "able", F.coalesce("low2", "low").alias("low"), F.coalesce("step2", "step").alias("step")), "search")
-        three = errors(search, STEPS).groupBy(*KEYS, "low", "step").agg(F.sort_array(F.collect_list(F.struct("i", "e"))).alias("es"), F.min(F.struct("e", "i"))["i"].alias("i"))
-        e = lambda k: F.get(F.col("es"), F.col("i") + k)["e"]
-        bend = e(-1) - 2 * e(0) + e(1)
-        shift = F.coalesce(F.when(bend > 0, (e(-1) - e(1)) / (2 * F.nullif(bend, F.lit(0.0)))), F.lit(0.0))
-        final = three.select(*KEYS, (F.col("low") + (F.col("i") + clip(shift, F.lit(-1.0), F.lit(1.0))) * F.col("step")).alias("low"))
-        found = search.drop("low").join(final, KEYS).withColumn("step", F.lit(0.0))
-        at = errors(found, 0).select(*KEYS, F.exp("low").alias("b"), "m", "c")
-        out = search.select(*KEYS, "s_mean", "able").join(at, KEYS, "left")
-        return out.select(*KEYS, "b", "m", (F.col("c") + F.col("s_mean")).alias("c"), (F.col("able") & F.col("b").isNotNull()).alias("converged"))
-
-    return fit
-
-
-def _fitted(model: CurveModel, points: DataFrame, statistics: DataFrame) -> DataFrame:
-    if model.key == CONSTANT.key:
-        return _fit_constant(points, statistics)
-    return _fit_plateau(points, statistics) if model.key == PIECEWISE.key else _fit_saturating(model)(points, statistics)
+        return statistics.where("n > 0").select(*KEYS, F.lit(model.name).alias("model"), "s_mean", able.alias("able"), low.alias("low"), ((high - low) / STEPS).alias("step"))
+
+    search = stored(reduce(DataFrame.unionByName, map(begin, models)), "search")
+
+    def errors(search: DataFrame, steps: int) -> DataFrame:
+        rows = points.join(search.where("able"), KEYS)
+        rows = rows.select(*keys, "low", "step", "n_d", "d", "s1", "s2", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
+        rows = rows.withColumn("b", F.exp(F.col("low") + F.col("i") * F.col("step"))).withColumn("x", _by_model(models, lambda m: m.basis(F.col("d"), F.col("b"))))
+        w = F.col("n_d") * F.col("x")
+        sums = rows.groupBy(*keys, "low", "step", "i").agg(
+            F.sum("n_d").cast("double").alias("k"), F.sum(w).alias("sx"), F.sum(w * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("s1")).alias("sxs"), F.sum("s1").alias("ss1"), F.sum("s2").alias("ss2")
+        )
+        m, c, e = _least_squares(*[F.col(a) for a in ("k", "sx", "sxx", "sxs", "ss1", "ss2")])
+        return sums.select(*keys, "low", "step", "i", m.alias("m"), c.alias("c"), e.alias("e"))
+
+    for _ in range(ZOOMS):
+        best = errors(search, STEPS).groupBy(*keys, "low", "step").agg(F.min(F.struct("e", "i"))["i"].alias("i"))
+        near = F.col("low") + clip(F.col("i") - 1, F.lit(0), F.lit(STEPS - 2)) * F.col("step")
+        zoomed = best.select(*keys, near.alias("low2"), (F.col("step") * 2 / STEPS).alias("step2"))
+        search = stored(search.join(zoomed, keys, "left").select(*keys, "s_mean", "able", F.coalesce("low2", "low").alias("low"), F.coalesce("step2", "step").alias("step")), "search", replaces=search)
+    three = errors(search, STEPS).groupBy(*keys, "low", "step").agg(F.sort_array(F.collect_list(F.struct("i", "e"))).alias("es"), F.min(F.struct("e", "i"))["i"].alias("i"))
+    e = lambda k: F.get(F.col("es"), F.col("i") + k)["e"]
+    bend = e(-1) - 2 * e(0) + e(1)
+    shift = F.coalesce(F.when(bend > 0, (e(-1) - e(1)) / (2 * F.nullif(bend, F.lit(0.0)))), F.lit(0.0))
+    final = three.select(*keys, (F.col("low") + (F.col("i") + clip(shift, F.lit(-1.0), F.lit(1.0))) * F.col("step")).alias("low"))
+    found = search.drop("low").join(final, keys).withColumn("step", F.lit(0.0))
+    at = errors(found, 0).select(*keys, F.exp("low").alias("b"), "m", "c")
+    out = search.select(*keys, "s_mean", "able").join(at, keys, "left")
+    return out.select(*keys, "b", "m", (F.col("c") + F.col("s_mean")).alias("c"), (F.col("able") & F.col("b").isNotNull()).alias("converged"))
+
+
+def _fitted(models: Sequence[CurveModel], points: DataFrame, statistics: DataFrame) -> DataFrame:
+    """(keys, model, b, m, c, converged) of every model."""
+    one = {CONSTANT.key: _fit_constant, PIECEWISE.key: _fit_plateau}
+    parts = [one[m.key](points, statistics).withColumn("model", F.lit(m.name)) for m in models if m.key in one]
+    if saturating := [m for m in models if m.key not in one]:
+        parts.append(_fit_saturating(saturating, points, statistics))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def predicted(model: CurveModel, d: Column | None = None) -> Column:
@@ -212,21 +226,16 @@ def predicted(model: CurveModel, d: Column | None = None) -> Column:
     return F.col("m") * model.basis(F.col("d") if d is None else d, F.col("b")) + F.col("c")
 
 
-def fit_model(model: CurveModel, rows: DataFrame, points: DataFrame, statistics: DataFrame, order: int, threshold: float = 0.95) -> DataFrame:
-    """Fit rows of one model. Residuals are taken anew from the rows, so that small errors keep their digits."""
-    if model.reached is not None and not 0 < threshold < 1:
-        raise ValueError("The threshold must lie between 0 and 1.")
-    params = stored(_fitted(model, points, statistics), "fit")
-    near = with_included(rows).where("included").join(params.where("converged"), KEYS)
-    residual = F.col("S") - predicted(model)
+def _affected(model: CurveModel, threshold: float) -> Column:
+    """1 where the border reaches a node."""
     if model.key == CONSTANT.key:
-        affected = F.lit(0.0)
-    elif model.reached is None:
-        affected = (F.col("d") <= F.col("b")).cast("double")
-    else:
-        affected = (F.col("d") < model.reached(F.col("b"), threshold)).cast("double")
-    error = near.groupBy(*KEYS).agg(F.avg(residual * residual).alias("mse"), F.avg(affected).alias("affected"))
-    out = statistics.where("n > 0").join(params, KEYS).join(error, KEYS, "left")
+        return F.lit(0.0)
+    within = F.col("d") <= F.col("b") if model.reached is None else F.col("d") < model.reached(F.col("b"), threshold)
+    return within.cast("double")
+
+
+def _report(model: CurveModel, order: int, fitted: DataFrame) -> DataFrame:
+    """The fit rows of one model."""
     ll = log_likelihood(F.col("n"), F.col("mse"))
     if model.key == CONSTANT.key:
         strength, half = F.lit(0.0), F.lit(0.0)
@@ -241,8 +250,8 @@ def fit_model(model: CurveModel, rows: DataFrame, points: DataFrame, statistics:
     ok = F.col("converged")
     nan_unless = lambda v: F.when(ok, F.coalesce(v, F.lit(NAN))).otherwise(F.lit(NAN))
     kept = (lambda v: v) if model.key == CONSTANT.key else nan_unless
-    return out.select(
-        *KEYS, F.lit(model.name).alias("model"), F.lit(order).alias("model_ord"), ok.alias("converged"), kept(F.col("b")).alias("b"), kept(F.col("m")).alias("m"), nan_unless(F.col("c")).alias("c"),
+    return fitted.where(F.col("model") == model.name).select(
+        *KEYS, "model", F.lit(order).alias("model_ord"), ok.alias("converged"), kept(F.col("b")).alias("b"), kept(F.col("m")).alias("m"), nan_unless(F.col("c")).alias("c"),
         F.when(ok, ll).otherwise(F.lit(float("-inf"))).alias("ll"), F.when(ok, akaike(model.n_params + 1, ll)).otherwise(F.lit(float("inf"))).alias("aic"),
         "n_all", F.col("n").alias("n_included"), (F.col("n") / F.col("n_all")).alias("included"), nan_unless(F.col("affected")).alias("affected"),
         nan_unless(strength).alias("effect_strength"), nan_unless(half).alias("half_life"), nan_unless(plateau).alias("plateau"),
@@ -250,11 +259,21 @@ def fit_model(model: CurveModel, rows: DataFrame, points: DataFrame, statistics:
 
 
 def fit_models(rows: DataFrame, models: tuple[CurveModel, ...] = DEFAULT_MODELS, baseline: CurveModel = CONSTANT, threshold: float = 0.95) -> DataFrame:
-    """Fit rows of all models; the baseline comes last in ``model_ord``. Groups without included rows are an error."""
+    """Fit rows of all models; the baseline comes last in ``model_ord``. Groups without included rows are an error.
+
+    Residuals are taken anew from the rows, so that small errors keep their digits: one pass for all models.
+    """
+    if any(m.reached is not None for m in models) and not 0 < threshold < 1:
+        raise ValueError("The threshold must lie between 0 and 1.")
     rows = stored(rows.select(*KEYS, "node_id", F.col("d").cast("double"), F.col("S").cast("double")), "observations")
     statistics = stored(group_statistics(rows), "statistics")
     if statistics.where("n = 0").limit(1).count():
         raise ValueError("No valid data: a sample has no finite pair of distance and score.")
     points = stored(by_distance(rows, statistics), "by-distance")
     ordered = [m for m in models if m.key != baseline.key] + [baseline]
-    return reduce(DataFrame.unionByName, [fit_model(m, rows, points, statistics, i, threshold) for i, m in enumerate(ordered)])
+    params = stored(_fitted(ordered, points, statistics), "fit")
+    near = with_included(rows).where("included").join(params.where("converged"), KEYS)
+    residual = F.col("S") - _by_model(ordered, predicted)
+    error = near.groupBy(*KEYS, "model").agg(F.avg(residual * residual).alias("mse"), F.avg(_by_model(ordered, lambda m: _affected(m, threshold))).alias("affected"))
+    fitted = stored(statistics.where("n > 0").join(params, KEYS).join(error, [*KEYS, "model"], "left"), "fitted")
+    return reduce(DataFrame.unionByName, [_report(m, i, fitted) for i, m in enumerate(ordered)])
