@@ -54,7 +54,7 @@ WITH RECURSIVE state(round, piece, ids) AS (
     ) USING (piece)
     WHERE round < {ROUNDS}
 )
-SELECT piece, arg_max(ids, round) AS ids, max(round) AS rounds FROM state GROUP BY piece
+SELECT piece, ids, round AS rounds FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round)
 """
 
 # hits: the pairs of least rank; firsts: every second of a run of them; after: the ranks that a contracted pair would have with its neighbours
@@ -88,7 +88,7 @@ WITH RECURSIVE state(round, piece, ids) AS (
         GROUP BY t.round, t.piece
     )
 )
-SELECT piece, arg_max(ids, round) AS ids, max(round) AS rounds FROM state GROUP BY piece
+SELECT piece, ids, round AS rounds FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round)
 """
 
 _DECODE = """
@@ -115,7 +115,8 @@ class Codec:
         splits = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         first, second, token = zip(*(s for s in splits if s[0] is not None and s[1] is not None), strict=True)
         merges = pa.table({"first": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32()), "token": pa.array(token, pa.int32())})  # noqa: F841
-        vocabulary = pa.table({"token": pa.array(self.ranks.values(), pa.int32()), "bytes": ["".join(chr(b or 256) for b in t) for t in self.ranks]})  # noqa: F841
+        self.tokens = pa.array(self.ranks.values(), pa.int32())
+        vocabulary = pa.table({"token": self.tokens, "bytes": ["".join(chr(b or 256) for b in t) for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary")
 
@@ -138,17 +139,19 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't remembered yet."""
-        short, long = [], []
+        kinds: list[tuple[list[str], list[bytes]]] = [([], []), ([], [])]  # short and long ones
         for piece in pieces:
             raw = piece.encode("utf-8", "replace")
-            if raw in self.ranks:
-                self.pieces[piece] = np.int32(self.ranks[raw]).tobytes()
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                self.pieces[piece] = rank.to_bytes(4, "little")
             else:
-                (long if len(raw) >= LONG else short).append((piece, raw))
-        for new, size, query, most in ((short, PIECE_BLOCK, _CONTRACT, ROUNDS), (long, LONG_BLOCK, _CONTRACT_ALL, LONG_ROUNDS)):
-            for at, end in _blocks([len(raw) for _, raw in new], size):
-                part = new[at:end]
-                self.pieces.update(zip([piece for piece, _ in part], self._contract([raw for _, raw in part], query, most), strict=True))
+                names, raws = kinds[len(raw) >= LONG]
+                names.append(piece)
+                raws.append(raw)
+        for (names, raws), size, query, most in zip(kinds, (PIECE_BLOCK, LONG_BLOCK), (_CONTRACT, _CONTRACT_ALL), (ROUNDS, LONG_ROUNDS), strict=True):
+            for at, end in _blocks(list(map(len, raws)), size):
+                self.pieces.update(zip(names[at:end], self._contract(raws[at:end], query, most), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t) for t in texts]
@@ -225,7 +228,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
 def _decoded(codec: Codec, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids = batch.column(1)
-    known = pa.compute.is_in(ids.flatten(), pa.array(codec.ranks.values(), pa.int32()))
+    known = pa.compute.is_in(ids.flatten(), codec.tokens)
     if not pa.compute.all(known, min_count=0).as_py():
         raise ValueError("an id isn't in the vocabulary")
     sizes = [n or 0 for n in pa.compute.list_value_length(ids).to_pylist()]
