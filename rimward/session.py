@@ -1,4 +1,4 @@
-"""Getting the package to the executors."""
+"""Getting the package to the executors, and a bound on the rows that Python workers are sent at once."""
 
 from __future__ import annotations
 
@@ -9,11 +9,19 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch where the session doesn't say: whole texts are long, and a batch lies in the JVM and in a worker.
+BATCH_ROWS = 2_000
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; their Python workers import functions from it."""
+    """Send this package to the executors, once per application; their Python workers import functions from it.
+
+    A session that doesn't set the rows of an Arrow batch gets ``BATCH_ROWS``.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
