@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rimward.llm.common import slices
 
-MEMO = 500_000
+MEMO = 400_000
 #: Characters of texts, bytes of pieces and ids that are worked on at once (a longer one alone), and rounds of contraction in one query.
 TEXT_BLOCK, PIECE_BLOCK, ID_BLOCK, ROUNDS = 1_000_000, 500_000, 200_000, 64
 #: Bytes from which a piece is long, and bytes of long pieces at once (a longer one alone) and rounds of their queries.
