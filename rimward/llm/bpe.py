@@ -7,7 +7,8 @@ ids with the vocabulary and aggregates the bytes in order.
 
 In pieces from ``LONG`` bytes all pairs of the minimum rank are contracted in a round, from the left, where they don't
 overlap, up to the first whose new token makes a pair of a lower rank with a neighbour: that pair would come before the
-others. So the ids are those of single contractions. A query takes no more memory than DuckDB's limit, and nothing is spilled.
+others. So the ids are those of single contractions. Queries that outgrow DuckDB's memory, for pieces of
+millions of characters, spill to the worker's own scratch folder as a shuffle would; nothing else reads it.
 
 Edge cases. A null or empty text gives an empty list of ids, a null list of ids no bytes. Null or repeated
 ids of documents are kept. An id that isn't in the vocabulary raises an error. Texts of any length are
@@ -18,6 +19,7 @@ An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -111,7 +113,7 @@ class Codec:
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.pieces: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # what was remembered before; what is met again moves up
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": tempfile.mkdtemp(prefix="duckdb-")})  # its own, in the worker's scratch
         splits = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         first, second, token = zip(*(s for s in splits if s[0] is not None and s[1] is not None), strict=True)
         merges = pa.table({"first": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32()), "token": pa.array(token, pa.int32())})  # noqa: F841
