@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rimward.llm import bpe, decontaminate, html_extract, line_dedup, ngram_join, pii, quality_rules, token_counts, toxic_spans, vp_search
+from rimward.llm import bpe, conversation_trie, decontaminate, html_extract, line_dedup, ngram_join, pii, quality_rules, set_sketch, token_alignment, token_counts, toxic_spans, vp_search
 from rimward.llm.oracles import ORACLES
 
 
@@ -91,8 +91,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_trie.conversation_trie(_table(spark, sf_dir, "conversations"), group=100, heads=6)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketch.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    out = token_alignment.token_alignment(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, model, keep_groups=False)
+    # a link for each shared cut, as every token has a byte
+    return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+
 OPERATORS = (
     op1_quality_rules, op2_pii, op3_vp_search, op4_ngram_join, op5_line_dedup, op6_html_extract, op7_byte_bpe, op8_token_counts, op9_toxic_spans, op10_decontaminate,
+    op11_conversation_trie, op12_set_sketch, op13_token_alignment,
 )
 
 

@@ -55,6 +55,25 @@ def _bpe(source: str) -> str:
         encoded AS (SELECT r, part, seg, i, ids FROM pieces JOIN known USING (h))"""
 
 
+_CRC = "xor(list_reduce(list_transform(range(0, length(c) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(c[i]) END), lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+
+def _near(words: int, tail: str) -> str:
+    """Documents linked where their shingles of ``words`` words have a similarity of 0.8, and all that they reach."""
+    return f"""
+        WITH RECURSIVE {_ROWS},
+        words AS (SELECT r, doc_id, {_words('text', '[ \\t\\n\\v\\f\\r]+')} AS w FROM docs),
+        sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS s FROM words),
+        sizes AS (SELECT r, doc_id, len(s) AS n FROM sets),
+        each AS (SELECT r, hash(unnest(s)) AS g FROM sets),
+        common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM each a JOIN each b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+        pairs AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+        links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach AS (SELECT r AS a, r AS b FROM sizes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        {tail} FROM sizes s JOIN reach ON reach.a = s.r JOIN sizes t ON t.r = reach.b GROUP BY s.r, s.doc_id"""
+
+
 _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 
 ORACLES = {
@@ -85,18 +104,7 @@ ORACLES = {
                    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         near AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda x, y: x + y)) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM near QUALIFY rank <= 10""",
-    "op4_ngram_join": f"""
-        WITH RECURSIVE {_ROWS},
-        words AS (SELECT r, doc_id, {_words('text', '[ \\t\\n\\v\\f\\r]+')} AS w FROM docs),
-        sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                 ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
-        sizes AS (SELECT r, doc_id, len(s) AS n FROM sets),
-        each AS (SELECT r, hash(unnest(s)) AS g FROM sets),
-        common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM each a JOIN each b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
-        pairs AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
-        links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-        reach AS (SELECT r AS a, r AS b FROM sizes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-        SELECT s.doc_id, any_value(s.n) AS n_shingles, min(t.doc_id) AS component_id FROM sizes s JOIN reach ON reach.a = s.r JOIN sizes t ON t.r = reach.b GROUP BY s.r, s.doc_id""",
+    "op4_ngram_join": _near(5, "SELECT s.doc_id, any_value(s.n) AS n_shingles, min(t.doc_id) AS component_id"),
     "op5_line_dedup": f"""
         WITH {_ROWS},
         lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
@@ -125,4 +133,22 @@ ORACLES = {
         items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op11_conversation_trie": f"""
+        WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank
+            FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM turns)),
+        rebuilt AS (SELECT c.conv_id, rank, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND rank <= h
+            UNION ALL SELECT c.conv_id, rank, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND rank > h),
+        numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY rank) AS d, length(text) AS n, sha256(length(role) || ':' || role || text) AS g FROM rebuilt),
+        prefixes AS (SELECT conv_id, d, n, array_to_string(list(g) OVER (PARTITION BY conv_id ORDER BY d), '') AS path FROM numbered UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+        lengths AS (SELECT conv_id, max(d) AS d FROM prefixes GROUP BY 1),
+        ends AS (SELECT path, string_agg(conv_id, ',' ORDER BY conv_id) AS ids FROM prefixes SEMI JOIN lengths USING (conv_id, d) GROUP BY 1),
+        nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM prefixes GROUP BY ALL),
+        kids AS (SELECT path[:-65] AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+        valued AS (SELECT nodes.*, coalesce(k, 0) AS k, coalesce(ids, '') AS ids FROM nodes LEFT JOIN kids USING (path) LEFT JOIN ends USING (path)),
+        -- a node's ancestors are the prefixes of its smallest member
+        sums AS (SELECT p.path, count(*) FILTER (v.k = 0) AS n_leaves, sum((v.n_convs - 1) * v.n) AS saved FROM valued v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY 1)
+        SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n_convs, v.k AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ids) AS ends_sha256
+        FROM valued v JOIN sums USING (path) LEFT JOIN nodes up ON v.d > 0 AND up.path = v.path[:-65]""",
+    "op12_set_sketch": _near(4, "SELECT s.doc_id, any_value(s.n) AS n_shingles, min(t.doc_id) AS component_id, s.doc_id = min(t.doc_id) AS kept"),
 }
