@@ -114,6 +114,10 @@ def delaunay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.delaunay_edges(nodes2(spark, sf_dir))
 
 
+def delaunay_edges_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gr.delaunay_edges(nodes3(spark, sf_dir))
+
+
 def _measure(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = nodes2(spark, sf_dir)
@@ -213,7 +217,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    dist_rect, dist_pointset, dist_mask_edt, dist_hull2d, dist_hull3d, dist_triangles, hull_edges, dist_alpha, knn_edges, rnn_edges, delaunay_edges, *[_measure(m) for m in ce.MEASURES],
+    dist_rect, dist_pointset, dist_mask_edt, dist_hull2d, dist_hull3d, dist_triangles, hull_edges, dist_alpha, knn_edges, rnn_edges, delaunay_edges, delaunay_edges_3d, *[_measure(m) for m in ce.MEASURES],
     finite_mask, *[_fit(m) for m in mo.DEFAULT_MODELS], model_weights, scalar_statistics, flow_from_distances, flow_from_scores, flow_from_edgelist, flow_from_coords, observations,
 )
 
@@ -247,6 +251,16 @@ circles AS (
 triangles AS (
     SELECT sample_id, a, b, c, sqrt(pow(x1 - cx, 2) + pow(y1 - cy, 2)) AS radius FROM circles t
     WHERE NOT EXISTS (SELECT 1 FROM nodes k WHERE k.sample_id = t.sample_id AND k.node_id NOT IN (t.a, t.b, t.c) AND pow(k.x - t.cx, 2) + pow(k.y - t.cy, 2) < pow(t.x1 - t.cx, 2) + pow(t.y1 - t.cy, 2)))"""
+#: Delaunay tetrahedra: no node lies in the circumsphere. Its centre, from the corner a, solves three equations by determinants.
+_TETRAHEDRA = """four AS (
+    SELECT a.sample_id, a.node_id AS a, b.node_id AS b, c.node_id AS c, d.node_id AS d, a.x AS x0, a.y AS y0, a.z AS z0,
+        b.x - a.x AS x1, b.y - a.y AS y1, b.z - a.z AS z1, c.x - a.x AS x2, c.y - a.y AS y2, c.z - a.z AS z2, d.x - a.x AS x3, d.y - a.y AS y3, d.z - a.z AS z3
+    FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.node_id < b.node_id JOIN nodes c ON c.sample_id = a.sample_id AND b.node_id < c.node_id JOIN nodes d ON d.sample_id = a.sample_id AND c.node_id < d.node_id),
+volumes AS (SELECT *, x1*x1 + y1*y1 + z1*z1 AS s1, x2*x2 + y2*y2 + z2*z2 AS s2, x3*x3 + y3*y3 + z3*z3 AS s3, 2 * (x1 * (y2*z3 - z2*y3) - y1 * (x2*z3 - z2*x3) + z1 * (x2*y3 - y2*x3)) AS v FROM four),
+spheres AS (SELECT sample_id, a, b, c, d, x0 + (s1 * (y2*z3 - z2*y3) - y1 * (s2*z3 - z2*s3) + z1 * (s2*y3 - y2*s3)) / v AS cx, y0 + (x1 * (s2*z3 - z2*s3) - s1 * (x2*z3 - z2*x3) + z1 * (x2*s3 - s2*x3)) / v AS cy,
+        z0 + (x1 * (y2*s3 - s2*y3) - y1 * (x2*s3 - s2*x3) + s1 * (x2*y3 - y2*x3)) / v AS cz, x0, y0, z0 FROM volumes WHERE v <> 0),
+tetrahedra AS (SELECT sample_id, a, b, c, d FROM spheres t WHERE NOT EXISTS (SELECT 1 FROM nodes k WHERE k.sample_id = t.sample_id AND k.node_id NOT IN (t.a, t.b, t.c, t.d)
+    AND pow(k.x - t.cx, 2) + pow(k.y - t.cy, 2) + pow(k.z - t.cz, 2) < pow(t.x0 - t.cx, 2) + pow(t.y0 - t.cy, 2) + pow(t.z0 - t.cz, 2)))"""
 _KNN = f"""ranked AS (
     SELECT a.sample_id, a.node_id AS src, b.node_id AS dst, row_number() OVER (PARTITION BY a.sample_id, a.node_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.node_id) AS rank
     FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.node_id <> b.node_id),
@@ -422,6 +436,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_edges": f"WITH {_NODES}, {_KNN} SELECT sample_id, src, dst FROM knn",
         "rnn_edges": f"WITH {_NODES} SELECT a.sample_id, a.node_id AS src, b.node_id AS dst FROM nodes a JOIN nodes b ON a.sample_id = b.sample_id AND a.node_id < b.node_id WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {R!r}",
         "delaunay_edges": f"WITH {_NODES}, {_TRIANGLES} SELECT sample_id, a AS src, b AS dst FROM triangles UNION SELECT sample_id, a, c FROM triangles UNION SELECT sample_id, b, c FROM triangles",
+        "delaunay_edges_3d": f"WITH {_NODES}, {_TETRAHEDRA} " + " UNION ".join(f"SELECT sample_id, {p} AS src, {q} AS dst FROM tetrahedra" for p, q in ("ab", "ac", "ad", "bc", "bd", "cd")),
         "degree": f"WITH {_NODES}, {_KNN} SELECT n.sample_id, n.node_id, count(a.dst)::DOUBLE AS degree FROM nodes n LEFT JOIN adj a ON a.sample_id = n.sample_id AND a.src = n.node_id GROUP BY ALL",
         "clustering": f"""WITH {_NODES}, {_KNN}, k AS (SELECT sample_id, src AS node_id, count(*) AS k FROM adj GROUP BY ALL),
             t AS (SELECT p.sample_id, p.src AS node_id, count(*) AS t FROM adj p JOIN adj q ON p.sample_id = q.sample_id AND p.src = q.src AND p.dst < q.dst JOIN edges e ON e.sample_id = p.sample_id AND e.src = p.dst AND e.dst = q.dst GROUP BY ALL)

@@ -1,115 +1,192 @@
-"""Exact Delaunay triangles of samples of any size.
-
-Nodes are dealt to tiles of about ``TILE_POINTS``. A task triangulates a tile with its neighbouring tiles. A triangle
-whose circumcircle, as far as it lies in the sample's bounding box, is inside that block is final: no other node can be in the circle.
-Nodes of the tile with an uncertain triangle, or on the block's hull, are *open*; they are near the border
-of the sample or of holes. Any missing triangle has three open corners, so the open nodes alone are triangulated
-next, and of their triangles those whose circles hold no node at all are taken; a circle is compared with the nodes of the tiles that it touches.
-Samples of one tile are done in the first step.
+"""Exact Delaunay triangles and tetrahedra of samples of any size and density.
+
+Nodes are dealt to the leaves of a tree of tiles (:mod:`rimward.tiles`). A task triangulates a leaf with the tiles around it. A simplex whose
+circumsphere, as far as it lies in the sample's box, is inside that block is final: no other node can be in it. Nodes of the
+leaf with an uncertain simplex, or on the block's hull, are *open*. Any missing simplex has open corners alone, and is a simplex of the open nodes too.
+So the open nodes are dealt to a tree of their own, whose tiles are larger as the open nodes are fewer; of the simplices that are certain there, those whose spheres hold
+no node at all are final. That is repeated until a block holds all that are left. Where half of the nodes or more stay open, as on a circle, leaves take
+four times as many. Spheres are held against the tree of all nodes from its root down, and one that holds a whole tile falls at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations, product
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rimward.expr import clip
-from rimward.geometry import triangulate
+from rimward.geometry import tetrahedralise, triangulate
+from rimward.schema import axes
 from rimward.storage import stored
-
-TILE_POINTS = 256
-SCHEMA = "sample_id string, a long, b long, c long, cx double, cy double, radius double"
-
-
-def _rows(sample: str, ids: np.ndarray, corners: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> pd.DataFrame:
-    if not len(corners):
-        return pd.DataFrame({"sample_id": pd.Series(dtype=str), **{k: pd.Series(dtype="Int64") for k in "abc"}, **{k: pd.Series(dtype=float) for k in ("cx", "cy", "radius")}})
-    named = np.sort(ids[corners], axis=1)
-    return pd.DataFrame({"sample_id": sample, "a": named[:, 0], "b": named[:, 1], "c": named[:, 2], "cx": centres[:, 0], "cy": centres[:, 1], "radius": radii})
-
-
-def _one_block(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Final triangles of a tile, and its open nodes as rows with b and c null."""
-    sample, ti, tj = key
-    rows = rows.sort_values("node_id")
-    points, ids = rows[["x", "y"]].to_numpy(), rows["node_id"].to_numpy()
-    corners, centres, radii = triangulate(points, ids)
-    size, tiles, low = rows["size"].iloc[0], rows["tiles"].iloc[0], rows[["low_x", "low_y"]].iloc[0].to_numpy(dtype=float)
-    core = ((rows["tx"] == ti) & (rows["ty"] == tj)).to_numpy()
-    at = np.array([ti, tj])
-    first = np.where(at <= 1, -np.inf, low + (at - 1) * size)
-    last = np.where(at >= tiles - 2, np.inf, low + (at + 2) * size)
-    if len(corners):
-        sure = ((centres - radii[:, None] > first) & (centres + radii[:, None] < last)).all(axis=1)
-        mine = sure & core[corners].any(axis=1)
-        unsure = np.zeros(len(points), dtype=bool)
-        unsure[corners[~sure].ravel()] = True
-        edges = np.sort(np.concatenate([corners[:, [0, 1]], corners[:, [1, 2]], corners[:, [2, 0]]]), axis=1)
-        names, times = np.unique(edges, axis=0, return_counts=True)
-        unsure[names[times == 1].ravel()] = True
-        seen = np.zeros(len(points), dtype=bool)
-        seen[corners.ravel()] = True
-        unsure |= ~seen
-        out = _rows(sample, ids, corners[mine], centres[mine], radii[mine])
-    else:
-        unsure = np.ones(len(points), dtype=bool)
-        out = _rows(sample, ids, corners, centres, radii)
-    if tiles <= 2:  # the block is the whole sample
-        return out
-    open_rows = pd.DataFrame({"sample_id": sample, "a": ids[core & unsure], "b": None, "c": None, "cx": None, "cy": None, "radius": None})
-    return pd.concat([out, open_rows], ignore_index=True) if len(open_rows) else out
-
-
-def _open_block(key, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("node_id")
-    return _rows(key[0], rows["node_id"].to_numpy(), *triangulate(rows[["x", "y"]].to_numpy(), rows["node_id"].to_numpy()))
-
-
-def _without_hits(triangles: DataFrame, points: DataFrame, grid: DataFrame) -> DataFrame:
-    """The triangles whose circles hold none of the points (sample_id, tx, ty, x, y). A triangle meets the points of the tiles that its circle touches."""
-    on = triangles.join(grid, "sample_id")
-
-    def span(centre: str, low: str):
-        ends = [F.floor((F.col(centre) + sign * F.col("radius") - F.col(low)) / F.col("size")) for sign in (-1, 1)]
-        return F.sequence(*[clip(e, F.lit(0), F.col("tiles") - 1).cast("int") for e in ends])
-
-    def gap(centre: str, low: str, tile: str):
-        first = F.col(low) + F.col(tile) * F.col("size")
-        return F.greatest(first - F.col(centre), F.col(centre) - first - F.col("size"), F.lit(0.0))
-
-    met = on.withColumn("tx", F.explode(span("cx", "low_x"))).withColumn("ty", F.explode(span("cy", "low_y")))
-    # the tiles at the sides of the box reach as far as its rounding
-    met = met.where(F.pow(gap("cx", "low_x", "tx"), F.lit(2.0)) + F.pow(gap("cy", "low_y", "ty"), F.lit(2.0)) <= F.col("radius") ** 2 * (1 + 1e-9))
-    inside = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 < F.col("radius") ** 2 * (1 - 1e-9)
-    hit = met.join(points.select("sample_id", "tx", "ty", "x", "y"), ["sample_id", "tx", "ty"]).where(inside).select("sample_id", "a", "b", "c").distinct()
-    return triangles.join(hit, ["sample_id", "a", "b", "c"], "left_anti")
+from rimward.tiles import Tree, boxes, finest
+
+#: Nodes of a leaf, by dimension.
+TILE_POINTS = {2: 256, 3: 48}
+SCHEMA = "sample_id string, corners array<long>, centre array<double>, radius double"
+#: Rounding of spheres and sides, as a share of the box.
+SLACK = 1e-9
+#: Depths that a sphere goes down at a time.
+HOPS = 4
+
+
+def _block_of(names: list[str]):
+    """The task of a block: final simplices, and the core's open nodes as rows without centre."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sample, depth, *tile = key
+        rows = rows.sort_values("node_id")
+        points, ids, core = rows[names].to_numpy(), rows["node_id"].to_numpy(), rows["core"].to_numpy()
+        corners, centres, radii = (triangulate if len(names) == 2 else tetrahedralise)(points, ids)
+        low, size, left_out = rows[[f"low_{a}" for a in names]].iloc[0].to_numpy(float), float(rows["size"].iloc[0]), int(rows["left_out"].iloc[0])
+        side, at = size / 2.0**depth, np.array(tile)
+        first = np.where(at <= 1, -np.inf, low + (at - 1) * side)
+        last = np.where(at >= 2**depth - 2, np.inf, low + (at + 2) * side)
+        whole = not left_out and np.isinf(first).all() and np.isinf(last).all()
+        sure, unsure = np.ones(len(corners), dtype=bool), np.zeros(len(points), dtype=bool)
+        if not whole:
+            unsure[:] = True
+        if len(corners) and not whole:
+            reach = radii[:, None] + SLACK * size
+            sure = ((centres - reach > first) & (centres + reach < last)).all(axis=1)
+            for place, step in enumerate(product((-1, 0, 1), repeat=len(names))):
+                if left_out >> place & 1:
+                    start = low + (at + np.array(step)) * side
+                    gap = np.maximum(np.maximum(start - centres, centres - start - side), 0.0)
+                    sure &= (gap**2).sum(axis=1) > (reach[:, 0]) ** 2
+            unsure[:] = False
+            unsure[corners[~sure].ravel()] = True
+            faces = np.sort(np.concatenate([corners[:, list(c)] for c in combinations(range(len(names) + 1), len(names))]), axis=1)
+            named, times = np.unique(faces, axis=0, return_counts=True)
+            unsure[named[times == 1].ravel()] = True
+            seen = np.zeros(len(points), dtype=bool)
+            seen[corners.ravel()] = True
+            unsure |= ~seen
+        mine = np.flatnonzero(sure & core[corners].any(axis=1)) if len(corners) else np.zeros(0, int)
+        held = [sorted(ids[corners[i]].tolist()) for i in mine] + [[int(i)] for i in ids[core & unsure]]
+        opened = len(held) - len(mine)
+        return pd.DataFrame({
+            "sample_id": sample, "corners": pd.Series(held, dtype=object), "centre": pd.Series([*centres[mine].tolist(), *[None] * opened], dtype=object), "radius": np.concatenate([radii[mine], np.full(opened, np.nan)])
+        })
+
+    return run
+
+
+def _certain(simplices: DataFrame, tree: Tree, box: DataFrame, left: DataFrame) -> DataFrame:
+    """The simplices whose spheres hold no node of the tree; where nodes lie on a sphere beside those in ``left``, the simplices of all the sphere's nodes."""
+    names, key = tree.names, ["sample_id", "corners"]
+    square = F.col("radius") * F.col("radius")
+    tiles = tree.leaves.select(*tree.key, F.lit(True).alias("leaf")).unionByName(tree.inner.select(*tree.key, F.lit(False).alias("leaf")))
+
+    def gaps(far: bool) -> Column:
+        """The square of the distance from the centre to the nearest, or the furthest, point of the tile."""
+        total = F.lit(0.0)
+        for i, a in enumerate(names):
+            side = F.col("size") / F.pow(F.lit(2.0), "depth")
+            start, centre = F.col(f"low_{a}") + F.col(f"t_{a}") * side, F.col("centre")[i]
+            one = F.greatest(F.abs(start - centre), F.abs(start + side - centre)) if far else F.greatest(start - centre, centre - start - side, F.lit(0.0))
+            total = total + one * one
+        return total
+
+    def stepped(rows: DataFrame) -> DataFrame:
+        """Rows at inner tiles that reach out of the sphere go to the halves that the sphere meets; the others stay."""
+        goes = ~F.col("leaf") & ~F.col("swallowed")
+        down = [F.struct((F.col("depth") + 1).alias("depth"), *[(2 * F.col(f"t_{a}") + bit).alias(f"t_{a}") for a, bit in zip(names, bits, strict=True)]) for bits in product((0, 1), repeat=len(names))]
+        here = F.struct(F.col("depth").alias("depth"), *[F.col(f"t_{a}").alias(f"t_{a}") for a in names])
+        moved = rows.withColumn("tile", F.explode(F.when(goes, F.array(*down)).otherwise(F.array(here)))).drop("leaf", "swallowed", "depth", *[f"t_{a}" for a in names])
+        return met(moved.select("*", "tile.*").drop("tile").where(gaps(far=False) <= square * (1 + SLACK)))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.join(tiles, tree.key).withColumn("swallowed", gaps(far=True) < square * (1 - SLACK))
+
+    start = simplices.join(box, "sample_id").withColumns({"depth": F.lit(0)} | {f"t_{a}": F.lit(0).cast("long") for a in names})
+    rows, fallen, reached = met(start), [], []
+    while True:
+        for _ in range(HOPS):
+            rows = stepped(rows)
+        rows = stored(rows, "sphere-tiles")
+        fallen.append(rows.where("swallowed").select(*key).distinct())
+        rows = rows.join(fallen[-1], key, "left_anti")
+        reached.append(rows.where("leaf"))
+        rows = rows.where(~F.col("leaf"))
+        if rows.isEmpty():
+            break
+    leaves = reduce(DataFrame.unionByName, reached).select(*key, "centre", "radius", *tree.key[1:])
+    near = leaves.join(tree.nodes.select(*tree.key, "node_id", *names), tree.key).where(~F.array_contains("corners", F.col("node_id")))
+    away = reduce(Column.__add__, [(F.col(a) - F.col("centre")[i]) * (F.col(a) - F.col("centre")[i]) for i, a in enumerate(names)])
+    near = stored(near.withColumn("away", away).where(F.col("away") <= square * (1 + SLACK)).select(*key, "node_id", *names, (F.col("away") < square * (1 - SLACK)).alias("inside")).distinct(), "sphere-nodes")
+    empty = simplices
+    for hit in (*fallen, near.where("inside").select(*key).distinct()):
+        empty = empty.join(hit, key, "left_anti")
+    on = near.where(~F.col("inside")).join(left.select("sample_id", "node_id"), ["sample_id", "node_id"], "left_anti").select(*key, "node_id", *names)
+    if on.isEmpty():
+        return empty
+    # nodes that were final before lie on the sphere: the sphere's cell is taken anew from all of its nodes
+    tied = stored(on.select(*key).distinct().join(empty, key, "left_semi"), "tied")
+    held = tied.select(*key, F.explode("corners").alias("node_id")).join(tree.nodes.select("sample_id", "node_id", *names), ["sample_id", "node_id"])
+    cells = held.select(*key, "node_id", *names).unionByName(near.join(tied, key, "left_semi").select(*key, "node_id", *names))
+
+    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["node_id"].to_numpy()
+        made, _, _ = (triangulate if len(names) == 2 else tetrahedralise)(rows[names].to_numpy(), ids)
+        right = sorted(key[1]) in np.sort(ids[made], axis=1).tolist()
+        return pd.DataFrame({"sample_id": [key[0]] * (not right), "corners": pd.Series([list(key[1])] * (not right), dtype=object)})
+
+    wrong = cells.groupBy(*key).applyInPandas(judge, "sample_id string, corners array<long>")
+    return empty.join(wrong, key, "left_anti")
+
+
+def delaunay_simplices(nodes: DataFrame, capacity: int | None = None) -> DataFrame:
+    """(sample_id, corners, centre, radius) with corners in order of id: triangles in the plane, tetrahedra in space. Of coincident nodes the smallest id counts."""
+    names = axes(nodes)
+    held = capacity or TILE_POINTS[len(names)]
+    whole = held * 3 ** len(names) if capacity is None else capacity  # what any block may hold
+    distinct = stored(nodes.groupBy("sample_id", *names).agg(F.min("node_id").alias("node_id")), "distinct-nodes")
+    counts = distinct.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    small, large = counts.where(F.col("n") <= whole), stored(counts.where(F.col("n") > whole), "large-samples")
+    run = _block_of(names)
+    # a sample of no more nodes than a block holds is one
+    alone = distinct.join(small, "sample_id").select("sample_id", "node_id", *names, F.lit(True).alias("core"), F.lit(1.0).alias("size"), F.lit(0).alias("left_out"), *[F.lit(0.0).alias(f"low_{a}") for a in names])
+    one = (0,) * (1 + len(names))
+    final = [alone.groupBy("sample_id").applyInPandas(lambda key, rows: run((key[0], *one), rows), SCHEMA)]
+    if large.isEmpty():
+        return final[0]
+    rest = distinct.join(large, "sample_id", "left_semi")
+    box = stored(boxes(rest, names), "boxes")
+    left = stored(finest(rest, box, names), "open-nodes")
+    n_left, every = left.count(), None
+    while n_left:
+        tree = Tree.of(left, names, held, whole)
+        every = every or tree
+        task = tree.blocks().join(box, "sample_id").groupBy("b_sample_id", "b_depth", *[f"b_t_{a}" for a in names])
+        found = stored(task.applyInPandas(run, SCHEMA), "simplices")
+        sure = found.where("centre IS NOT NULL").dropDuplicates(["sample_id", "corners"])
+        if tree is not every:
+            for earlier in final[1:]:
+                sure = sure.join(earlier.select("sample_id", "corners"), ["sample_id", "corners"], "left_anti")
+            sure = _certain(stored(sure, "likely-simplices"), every, box, left)
+        final.append(stored(sure, "final-simplices"))
+        opened = found.where("centre IS NULL").select("sample_id", F.col("corners")[0].alias("node_id")).distinct()
+        left = stored(left.join(opened, ["sample_id", "node_id"], "left_semi"), "open-nodes")
+        before, n_left = n_left, left.count()
+        if 2 * n_left > before:
+            held, whole = 4 * held, 4 * whole
+    return reduce(DataFrame.unionByName, final)
 
 
 def delaunay_triangles(nodes: DataFrame) -> DataFrame:
-    """(sample_id, a, b, c, cx, cy, radius) with a < b < c, of nodes in the plane. Of coincident nodes the smallest id counts."""
-    distinct = nodes.groupBy("sample_id", "x", "y").agg(F.min("node_id").alias("node_id"))
-    box = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low_x"), F.min("y").alias("low_y"), F.max("x").alias("high_x"), F.max("y").alias("high_y"))
-    box = box.withColumn("tiles", F.ceil(F.sqrt(F.col("n") / TILE_POINTS)).cast("int"))
-    box = box.withColumn("size", F.greatest(F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y")) * (1 + 1e-9) / F.col("tiles"))
-    tile = lambda a: F.floor(F.try_divide(F.col(a) - F.col(f"low_{a}"), F.nullif(F.col("size"), F.lit(0.0)))).cast("int")
-    dealt = stored(
-        distinct.join(box.drop("n", "high_x", "high_y"), "sample_id").withColumns({"tx": F.coalesce(tile("x"), F.lit(0)), "ty": F.coalesce(tile("y"), F.lit(0))}), "tiles"
-    )
-    spread = dealt.withColumn("ti", F.explode(F.sequence(F.col("tx") - 1, F.col("tx") + 1))).withColumn("tj", F.explode(F.sequence(F.col("ty") - 1, F.col("ty") + 1)))
-    cores = dealt.select("sample_id", F.col("tx").alias("ti"), F.col("ty").alias("tj")).distinct()
-    blocks = spread.join(cores, ["sample_id", "ti", "tj"], "left_semi")
-    first = stored(blocks.groupBy("sample_id", "ti", "tj").applyInPandas(_one_block, SCHEMA), "triangles")
-    sure = first.where("b IS NOT NULL").dropDuplicates(["sample_id", "a", "b", "c"])
-    opened = first.where("b IS NULL").select("sample_id", F.col("a").alias("node_id")).distinct()
-    around = dealt.join(opened, ["sample_id", "node_id"], "left_semi").select("sample_id", "node_id", "x", "y")
-    guesses = stored(around.groupBy("sample_id").applyInPandas(_open_block, SCHEMA), "open-triangles")
-    fresh = guesses.join(sure, ["sample_id", "a", "b", "c"], "left_anti")
-    grid = box.select("sample_id", "low_x", "low_y", "size", "tiles")
-    coarse = dealt.groupBy("sample_id", "tx", "ty").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    rest = _without_hits(stored(_without_hits(fresh, coarse, grid), "likely-triangles"), dealt, grid)
-    return sure.unionByName(rest)
+    """(sample_id, a, b, c, radius) with a < b < c, of nodes in the plane."""
+    return delaunay_simplices(nodes).select("sample_id", *[F.col("corners")[i].alias(c) for i, c in enumerate("abc")], "radius")
+
+
+def simplex_edges(simplices: DataFrame) -> DataFrame:
+    """(sample_id, src, dst) with src < dst: the edges of simplices."""
+    n = F.size("corners")
+    later = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(F.get("corners", i).alias("src"), F.get("corners", j).alias("dst")))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), later))
+    return simplices.select("sample_id", F.explode(pairs).alias("e")).select("sample_id", "e.*").distinct()
 
 
 def triangle_edges(triangles: DataFrame) -> DataFrame:

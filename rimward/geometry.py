@@ -133,3 +133,80 @@ def triangulate(points: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
             if (int(b), int(a)) not in done:
                 todo.append((int(b), int(a)))
     return np.array(corners), np.array(centres), np.array(radii)
+
+
+def tetrahedralise(points: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Delaunay tetrahedra (indices), their circumcentres and radii.
+
+    From each face the next point is the one whose sphere through the face has its centre lowest. Points on one sphere make one
+    cell; its facets are fanned from their smallest ids and joined to the cell's smallest id. Points must be distinct; none if they are coplanar.
+    """
+    none = np.zeros((0, 4), dtype=int), np.zeros((0, 3)), np.zeros(0)
+    if not hull_facets_exist(points):
+        return none
+    scale = np.ptp(points, axis=0).max()
+    p = (points - points.mean(axis=0)) / scale
+    todo, done = [_hull_face(p, ids)], set()
+    corners, centres, radii = [], [], []
+
+    def turned(a: int, b: int, c: int) -> tuple[int, int, int]:
+        return min((a, b, c), (b, c, a), (c, a, b))
+
+    while todo:
+        face = todo.pop()
+        if face in done:
+            continue
+        a, b, c = (p[i] for i in face)
+        u, v = b - a, c - a
+        normal = np.cross(u, v)
+        area = normal @ normal
+        middle = a + np.cross((u @ u) * v - (v @ v) * u, normal) / (2 * area)
+        normal /= np.sqrt(area)
+        q = p - middle
+        height = q @ normal
+        square = (a - middle) @ (a - middle)
+        beyond = (q**2).sum(axis=1) - square
+        at = np.flatnonzero(height > TIE)
+        if not len(at):
+            done.add(face)
+            continue
+        t = beyond[at] / (2 * height[at])
+        best = t.min()
+        level = np.abs(height) <= TIE  # the face's own circle may hold further points
+        level[list(face)] = False
+        cell = np.array([*face, *at[t <= best + TIE * (1 + abs(best))].tolist(), *np.flatnonzero(level & (np.abs(beyond) <= TIE)).tolist()])
+        centre, radius = middle + best * normal, np.sqrt(best * best + square)
+        first, outer = int(cell[np.argmin(ids[cell])]), []
+        for ring in hull_facets_3d(p[cell]) if len(cell) > 4 else cell[[[0, 2, 1], [0, 1, 3], [1, 2, 3], [2, 0, 3]]]:
+            ring = cell[ring] if len(cell) > 4 else ring
+            ring = np.roll(ring, -int(np.argmin(ids[ring])))
+            fan = [(int(ring[0]), int(x), int(y)) for x, y in zip(ring[1:-1], ring[2:], strict=True)]
+            outer += fan
+            if first not in ring:
+                for triangle in fan:
+                    corners.append((first, *triangle))
+                    centres.append(centre)
+                    radii.append(radius)
+        for x, y, z in outer:  # counter-clockwise from outside, so turned round from within
+            done.add(turned(x, z, y))
+            if turned(x, y, z) not in done:
+                todo.append(turned(x, y, z))
+    return np.array(corners), np.array(centres) * scale + points.mean(axis=0), np.array(radii) * scale
+
+
+def hull_facets_exist(points: np.ndarray) -> bool:
+    """Whether points in space aren't all in one plane."""
+    scale = np.ptp(points, axis=0).max() if len(points) else 0.0
+    return len(points) > 3 and scale > 0 and np.linalg.matrix_rank((points - points[0]) / scale, tol=TIE) == 3
+
+
+def _hull_face(p: np.ndarray, ids: np.ndarray) -> tuple[int, int, int]:
+    """A Delaunay face on the hull, counter-clockwise from within."""
+    normal = _supporting_normal(p)
+    heights = p @ normal
+    on = np.flatnonzero(heights > heights.max() - TIE)
+    u = np.cross(normal, [1.0, 0, 0] if abs(normal[0]) < 0.9 else [0, 1.0, 0])
+    u /= np.linalg.norm(u)
+    flat, _, _ = triangulate(np.stack([p[on] @ u, p[on] @ np.cross(normal, u)], axis=1), ids[on])
+    a, b, c = (int(i) for i in on[flat[0]])
+    return min((a, c, b), (c, b, a), (b, a, c))

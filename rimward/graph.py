@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.delaunay import delaunay_triangles, triangle_edges
+from rimward.delaunay import delaunay_simplices, simplex_edges
 from rimward.expr import norm
 from rimward.nearest import nearest_points
 from rimward.schema import as_nodes, axes
+from rimward.storage import stored
 
 
 def knn_edges(nodes: DataFrame, k: int) -> DataFrame:
@@ -36,12 +37,12 @@ def rnn_edges(nodes: DataFrame, r: float) -> DataFrame:
 
 
 def delaunay_edges(nodes: DataFrame) -> DataFrame:
-    """Undirected edges of the Delaunay triangulation in the plane. Cocircular nodes are fanned from the smallest id."""
-    nodes = as_nodes(nodes, (2,), "The Delaunay graph needs nodes with two coordinates (Nx2).")
-    edges = triangle_edges(delaunay_triangles(nodes))
+    """Undirected edges of the Delaunay triangulation in the plane or in space. Nodes on one circle or sphere are fanned from the smallest id."""
+    nodes = as_nodes(nodes, (2, 3), "The Delaunay graph needs nodes with two or three coordinates.")
+    edges = stored(simplex_edges(delaunay_simplices(nodes)), "delaunay-edges")
     if nodes.select("sample_id").distinct().join(edges, "sample_id", "left_anti").limit(1).count():
-        raise ValueError("degenerate point set: fewer than three nodes, or all on a line")
-    return edges.select("sample_id", "src", "dst")
+        raise ValueError("degenerate point set: too few nodes in a sample, or all of them on a line or in a plane")
+    return edges
 
 
 def construct_graph(nodes: DataFrame, graph_type: str, k: int | None = None, r: float | None = None) -> DataFrame:
@@ -56,4 +57,4 @@ def construct_graph(nodes: DataFrame, graph_type: str, k: int | None = None, r:
         if r is None:
             raise ValueError("r is required for an rnn graph.")
         return rnn_edges(nodes, r)
-    raise ValueError(f"Unknown graph type: {graph_type!r}")
+    raise ValueError(f"There is no graph named {graph_type!r}; choose delaunay, knn or rnn.")

@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from rimward import delaunay, graph, nearest
-from rimward.geometry import hull_2d, triangulate
+from rimward import delaunay, graph, nearest, tiles
+from rimward.geometry import hull_2d, hull_facets_3d, tetrahedralise, triangulate
 from tests.helpers import nodes, pairs
 
 
@@ -62,14 +62,65 @@ def test_delaunay_ties_fan_from_the_smallest_id(spark):
     assert len(got) == 9 and {(0, k) for k in range(1, 6)} <= got
 
 
-def test_delaunay_in_tiles_equals_one_block(spark, monkeypatch):
-    monkeypatch.setattr(delaunay, "TILE_POINTS", 12)
+def clouds():
     rng = np.random.default_rng(3)
-    p = np.vstack([rng.uniform(0, 1, (300, 2)), rng.uniform(3, 4, (60, 2))])
-    corners, _, _ = triangulate(p, np.arange(len(p)))
-    want = {tuple(sorted((int(t[a]), int(t[b])))) for t in corners for a, b in ((0, 1), (1, 2), (0, 2))}
-    assert len(want) == 3 * len(p) - 3 - len(hull_2d(p))
-    assert pairs(graph.delaunay_edges(nodes(spark, p))) == want
+    grid = np.array([(i, j) for i in range(14) for j in range(14)], float)
+    cube = np.array([(i, j, k) for i in range(4) for j in range(4) for k in range(4)], float)
+    return {
+        "two squares": np.vstack([rng.uniform(0, 1, (300, 2)), rng.uniform(3, 4, (60, 2))]), "dense corner": np.vstack([rng.uniform(0.5, 0.6, (380, 2)), rng.uniform(0, 1, (20, 2))]),
+        "grid": grid, "space": rng.uniform(0, 1, (90, 3)), "dense corner in space": np.vstack([rng.uniform(0.5, 0.55, (76, 3)), rng.uniform(0, 1, (4, 3))]), "cube": cube,
+    }
+
+
+@pytest.mark.parametrize("name", clouds())
+def test_delaunay_in_tiles_equals_one_block(spark, monkeypatch, name):
+    p, capacity, sizes = clouds()[name], 24, []
+    stored = delaunay.stored
+
+    def watched(df, label, **kw):
+        out = stored(df, label, **kw)
+        if label == "leaf-nodes":
+            sizes.append(out.groupBy("depth", *[c for c in out.columns if c.startswith("t_")]).count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(tiles, "stored", watched)
+    corners, _, _ = (triangulate if p.shape[1] == 2 else tetrahedralise)(p, np.arange(len(p)))
+    if p.shape[1] == 2 and name != "grid":
+        assert len(corners) == 2 * len(p) - 2 - len(hull_2d(p))
+    got = delaunay.delaunay_simplices(nodes(spark, p), capacity).collect()
+    assert sorted(r["corners"] for r in got) == sorted(sorted(c) for c in corners.tolist())
+    assert sizes[0] <= capacity and (len(sizes) > 1 or name == "space")  # no leaf over the bound, and several levels
+
+
+def test_blocks_leave_out_crowded_tiles(spark):
+    p = np.vstack([np.random.default_rng(4).uniform(0.5, 0.6, (950, 2)), np.random.default_rng(5).uniform(0, 1, (50, 2))])
+    df = nodes(spark, p)
+    tree = tiles.Tree.of(tiles.finest(df, tiles.boxes(df, ["x", "y"]), ["x", "y"]), ["x", "y"], 20)
+    assert tree.nodes.count() == 1000 and tree.leaves.agg({"n": "sum"}).first()[0] == 1000
+    blocks = tree.blocks()
+    assert blocks.where("core").count() == 1000
+    assert blocks.groupBy("b_depth", "b_t_x", "b_t_y").count().agg({"count": "max"}).first()[0] <= 9 * 20
+    assert blocks.where("left_out > 0").count() > 0
+
+
+def test_tetrahedra_have_empty_spheres_and_fill_the_hull():
+    p = np.random.default_rng(6).random((60, 3))
+    corners, centres, radii = tetrahedralise(p, np.arange(60))
+    away = np.linalg.norm(p[None] - centres[:, None], axis=2)
+    assert (away > radii[:, None] * (1 - 1e-9)).all()
+    volume = lambda q: abs(np.linalg.det(q[:, 1:] - q[:, :1])).sum() / 6
+    middle = p.mean(axis=0)
+    hull = [np.stack([middle, p[f[0]], p[a], p[b]]) for f in hull_facets_3d(p) for a, b in zip(f[1:-1], f[2:], strict=True)]
+    assert np.isclose(volume(p[corners]), volume(np.array(hull)))
+    assert len(tetrahedralise(np.c_[p[:, :2], np.zeros(60)], np.arange(60))[0]) == 0
+
+
+def test_delaunay_in_space(spark):
+    p = np.random.default_rng(7).random((30, 3))
+    corners, _, _ = tetrahedralise(p, np.arange(30))
+    assert pairs(graph.delaunay_edges(nodes(spark, p))) == {tuple(sorted((int(t[a]), int(t[b])))) for t in corners for a in range(4) for b in range(a)}
+    with pytest.raises(ValueError, match="degenerate"):
+        graph.delaunay_edges(nodes(spark, np.c_[p[:, :2], np.ones(30)]))
 
 
 def test_delaunay_of_a_line_is_an_error(spark):
