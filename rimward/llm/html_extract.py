@@ -12,7 +12,7 @@ that names such a part as a whole: each of its words is in ``MARKS`` or ``NEUTRA
 is left of a page, what names alone had left out is read.
 
 Edge cases. A null or empty html gives an empty text. Pages without a usable url share the host ''. Broken,
-unclosed or cut-off markup is read as far as it goes; time grows with the page, however deep it is nested. Ties between paths go to the larger score, then the
+unclosed or cut-off markup is read as far as it goes, and attributes count by their whole names alone; time grows with the page, however deep it is nested. Ties between paths go to the larger score, then the
 smaller path. Null ids and repeated rows are kept. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -53,12 +53,17 @@ LISTS = frozenset("dl ol ul".split())
 #: Characters from which a paragraph, or text in a container itself, counts as prose when containers are compared. No text is dropped for its length.
 LONG, LONG_BARE = 60, 150
 
+#: The attributes of a tag, name by name with their values consumed, so that a quote within an unquoted value, or one never closed, ends with its attribute.
+#: Nothing is given up once matched, so time grows with the tag.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+"
+_ATTRIBUTES = r"(?:[\s/=]++|[^\s/>=]++(?:" + _VALUE.replace("([^", "(?:[^") + r")?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<(script|style)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:{_VALUE})?+", re.S)
+READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 #: A start tag that ends an open element of the same kind.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 
@@ -71,7 +76,10 @@ def _names_other_part(name: str) -> bool:
 
 def _step(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """The generalised path step of an element, whether it's never part of an article, and whether only its names say so."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        if (name := m[1].lower()) in READ:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
     classes = sorted({re.sub(r"\d+", "", c.lower()).replace("/", "|") for c in found.get("class", "").split()} - {""})
     off = tag in NEVER or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     named = tag not in ("html", "body", "main", "article") and any(_names_other_part(c) for c in [*classes, found.get("id", "").lower()])

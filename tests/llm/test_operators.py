@@ -387,6 +387,10 @@ PAGES = {
     "sections": ("<main><div class=a><p>{0}</div><div class=b><p>{0}</div></main><div class=sidebar><p>{0}</div>", "{0}\n{0}"),
     "lists and tables": ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table><pre>p  q</pre></article>", "one\ntwo\nx\ny\np q"),
     "unclosed": ("<p>{0}<p><b>{0}<i>x", "{0}\n{0}x"),
+    "inline styles": ('<article style="overflow:hidden"><p style="visibility: hidden-ish; role=menu">{0}<p style=\'class="advert"\'>kept</article>', "{0}\nkept"),
+    "links and data": ('<article><p>See <a href="/the-hidden-lake">the lake</a> now. {0}<p data-role="banner">one<p data-id="share">two<p data-hidden>three<p x-class=promo>four</article>', "See the lake now. {0}\none\ntwo\nthree\nfour"),
+    "stray quotes": ("<article><p title=it's>{0}<p title=\"never closed>two<p alt='a b'>three<p class=a'b id='c'>four</article>", "{0}\ntwo\nthree\nfour"),
+    "hidden all the same": ('<article><p>{0}<p hidden>no<p HIDDEN="">no<p class="x" hidden=hidden>no<p aria-hidden = "true">no<p title="a>b" role=banner>no<p/hidden>no</article>', "{0}"),
     "references": ("<article><p>&lt;b&gt; &amp;amp; &#233;&nbsp;x</article>", "<b> &amp; é x"),
 }
 
@@ -405,6 +409,29 @@ def test_html_keeps_whole_articles_of_many_forms(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_reads_articles_with_any_attributes(spark):
+    rng = random.Random(8)
+    names = ["style", "title", "href", "data-role", "data-id", "data-hidden", "alt", "onclick", "lang", "x-class", "aria-label"]
+    values = ["overflow:hidden", "/the-hidden-lake", "it's", "banner", "share", "a > b", 'say "no"', "role=menu", "", "class='advert'", "hidden"]
+
+    def attribute():
+        name, value = rng.choice(names), rng.choice(values)
+        quotes = [q for q in "\"'" if q not in value]
+        bare = value and not re.search(r"[\s>\"'=]", value)
+        return name if not value else f" {name}={value}" if bare and rng.random() < 0.5 else f" {name} = {quotes[0]}{value}{quotes[0]}"
+
+    rows, want = [], {}
+    for i in range(40):
+        lines = [f"{SENTENCE} {j}" for j in range(rng.randint(1, 6))]
+        tag = lambda t: f"<{t} {' '.join(attribute() for _ in range(rng.randint(0, 4)))}>"
+        body = "".join(f"{tag('p')}{line[:20]}{tag('b')}{line[20:30]}</b>{line[30:]}</p>" for line in lines)
+        rows.append((i, f"https://h{i % 3}.example/{i}", f"<body><nav>menu</nav>{tag('article')}{body}</article><footer>(c)</footer>"))
+        want[i] = "\n".join(lines)
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert len(html_extract.parse("<p " + "a" * 200_000).blocks) == 0  # a tag that never ends takes no more time than its length
+
+
 def test_html_reads_pages_at_the_path_of_their_host(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
     page = "<body><div class=c><h1>H</h1><p>{0}</div><div class=other>{1}</div>"
