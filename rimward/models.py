@@ -7,7 +7,8 @@ distances; the other two by zooming in on a grid of log b. A fit row is
     sample_id, measure, model, model_ord, converged, b, m, c, ll, aic, n_all, n_included, included, affected,
     effect_strength, half_life, plateau
 
-with the amplitude (a) of saturating curves in ``m`` and the level that a curve approaches in ``plateau``.
+with the amplitude (a) of saturating curves in ``m`` and the level that a curve approaches in ``plateau``. Curves of one's own with
+any parameters (:class:`rimward.free_curves.FreeCurve`) have them in the array ``p``, and b, m and c are NaN.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rimward.criteria import TINY, akaike, log_likelihood
 from rimward.expr import clip, is_finite
+from rimward.free_curves import FreeCurve, fit_free
 from rimward.storage import stored
 
 EPS = 1e-10
@@ -214,8 +216,12 @@ def _fitted(models: Sequence[CurveModel], points: DataFrame, statistics: DataFra
     """(keys, model, b, m, c, converged) of every model."""
     one = {CONSTANT.key: _fit_constant, PIECEWISE.key: _fit_plateau}
     parts = [one[m.key](points, statistics).withColumn("model", F.lit(m.name)) for m in models if m.key in one]
-    if saturating := [m for m in models if m.key not in one]:
+    if saturating := [m for m in models if m.key not in one and not isinstance(m, FreeCurve)]:
         parts.append(_fit_saturating(saturating, points, statistics))
+    parts = [part.withColumn("p", F.lit(None).cast("array<double>")) for part in parts]
+    nan = F.lit(NAN)
+    free = [(m, fit_free(m, points, statistics)) for m in models if isinstance(m, FreeCurve)]
+    parts += [fit.select(*KEYS, nan.alias("b"), nan.alias("m"), nan.alias("c"), "converged", F.lit(m.name).alias("model"), "p") for m, fit in free]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -223,6 +229,8 @@ def predicted(model: CurveModel, d: Column | None = None) -> Column:
     """The model's S from columns b, m and c of a fit row."""
     if model.key == CONSTANT.key:
         return F.col("c")
+    if isinstance(model, FreeCurve):
+        return model.at(F.col("d") if d is None else d, F.col("p"))
     return F.col("m") * model.basis(F.col("d") if d is None else d, F.col("b")) + F.col("c")
 
 
@@ -230,6 +238,8 @@ def _affected(model: CurveModel, threshold: float) -> Column:
     """1 where the border reaches a node."""
     if model.key == CONSTANT.key:
         return F.lit(0.0)
+    if isinstance(model, FreeCurve):
+        return F.lit(NAN) if model.reached is None else (F.col("d") < model.reached(model.named(F.col("p")), threshold)).cast("double")
     within = F.col("d") <= F.col("b") if model.reached is None else F.col("d") < model.reached(F.col("b"), threshold)
     return within.cast("double")
 
@@ -244,21 +254,26 @@ def _report(model: CurveModel, order: int, fitted: DataFrame) -> DataFrame:
         border, centre = predicted(model, F.col("d_min")), predicted(model, F.col("d_max"))
         strength = F.try_divide(border - centre, border + centre + EPS)
         middle = (border + centre) / 2
-        raw = F.try_divide(middle - F.col("c"), F.col("m") + EPS) if model.half is None else model.half(middle, F.col("m"), F.col("b"), F.col("c"))
+        if isinstance(model, FreeCurve):
+            named = model.named(F.col("p"))
+            raw = F.lit(NAN) if model.half is None else model.half(middle, named)
+            plateau = centre if model.limit is None else model.limit(named)
+        else:
+            raw = F.try_divide(middle - F.col("c"), F.col("m") + EPS) if model.half is None else model.half(middle, F.col("m"), F.col("b"), F.col("c"))
+            plateau = F.col("m") * model.limit(F.col("b")) + F.col("c")
         half = raw / (F.col("d_max") + EPS)
-        plateau = F.col("m") * model.limit(F.col("b")) + F.col("c")
     ok = F.col("converged")
     nan_unless = lambda v: F.when(ok, F.coalesce(v, F.lit(NAN))).otherwise(F.lit(NAN))
     kept = (lambda v: v) if model.key == CONSTANT.key else nan_unless
     return fitted.where(F.col("model") == model.name).select(
-        *KEYS, "model", F.lit(order).alias("model_ord"), ok.alias("converged"), kept(F.col("b")).alias("b"), kept(F.col("m")).alias("m"), nan_unless(F.col("c")).alias("c"),
+        *KEYS, "model", F.lit(order).alias("model_ord"), ok.alias("converged"), kept(F.col("b")).alias("b"), kept(F.col("m")).alias("m"), nan_unless(F.col("c")).alias("c"), F.when(ok, F.col("p")).alias("p"),
         F.when(ok, ll).otherwise(F.lit(float("-inf"))).alias("ll"), F.when(ok, akaike(model.n_params + 1, ll)).otherwise(F.lit(float("inf"))).alias("aic"),
         "n_all", F.col("n").alias("n_included"), (F.col("n") / F.col("n_all")).alias("included"), nan_unless(F.col("affected")).alias("affected"),
         nan_unless(strength).alias("effect_strength"), nan_unless(half).alias("half_life"), nan_unless(plateau).alias("plateau"),
     )
 
 
-def fit_models(rows: DataFrame, models: tuple[CurveModel, ...] = DEFAULT_MODELS, baseline: CurveModel = CONSTANT, threshold: float = 0.95) -> DataFrame:
+def fit_models(rows: DataFrame, models: tuple[CurveModel | FreeCurve, ...] = DEFAULT_MODELS, baseline: CurveModel = CONSTANT, threshold: float = 0.95) -> DataFrame:
     """Fit rows of all models; the baseline comes last in ``model_ord``. Groups without included rows are an error.
 
     Residuals are taken anew from the rows, so that small errors keep their digits: one pass for all models.
