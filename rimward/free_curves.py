@@ -98,9 +98,12 @@ def _moves(curve: FreeCurve):
             damping, rests = damping * 1e3, damping > 1e9  # nothing near is better: a minimum, as far as doubles tell
         products = h.reshape(k, k)
         scale = np.maximum(np.diag(products), 1e-300)
+        # a parameter at a bound that would go beyond it stays there
+        free = ~(((p <= low) & (g < 0)) | ((p >= high) & (g > 0)))
         following = []
         for share in DAMPINGS:
-            step, *_ = np.linalg.lstsq(products + damping * share * np.diag(scale), g, rcond=None)
+            step = np.zeros(k)
+            step[free] = np.linalg.lstsq((products + damping * share * np.diag(scale))[np.ix_(free, free)], g[free], rcond=None)[0]
             following.append(np.clip(p + step, low, high).tolist())
         still = all(np.abs(np.array(t) - p).max() <= NO_CHANGE * max(1e-12, np.abs(p).max()) for t in following)
         return p.tolist(), following, float(error), float(damping), g.tolist(), h.tolist(), bool(rests or still), True
