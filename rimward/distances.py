@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,14 +15,13 @@ from rimward.delaunay import delaunay_triangles, triangle_edges
 from rimward.expr import clip, segment_distance, triangle_distance
 from rimward.geometry import hull_2d, hull_facets_3d
 from rimward.nearest import nearest_points
+from rimward.pieces import least_gap
 from rimward.schema import as_nodes, axes, with_sample
 from rimward.storage import stored
 
 RECTANGLE, POINTSET, MASK, HULL, ALPHA, TRIANGLES = (
     f"distance_to_{n}" for n in ("rectangular_border", "pointset", "mask", "convex_hull", "alpha_shape", "triangles")
 )
-#: Facets, border edges or triangles in one array.
-PACK = 256
 #: Hulls of this many points or fewer go from each task to the next step.
 CHUNK = 20_000
 
@@ -108,7 +107,7 @@ def hull_corners(nodes: DataFrame) -> DataFrame:
 
 
 def hull_facets(nodes: DataFrame) -> DataFrame:
-    """(sample_id, facet array<array<double>>): the hull's edges in the plane, or in space its facets' first corner and unit normal."""
+    """(sample_id, facet array<array<double>>): the hull's edges in the plane, or in space its facets' first corner, unit normal and box."""
     names = axes(nodes)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -120,23 +119,13 @@ def hull_facets(nodes: DataFrame) -> DataFrame:
             found = []
             for f in hull_facets_3d(p):
                 normal = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
-                found.append([p[f[0]].tolist(), (normal / np.linalg.norm(normal)).tolist()])
+                corners = p[list(f)]
+                found.append([p[f[0]].tolist(), (normal / np.linalg.norm(normal)).tolist(), corners.min(axis=0).tolist(), corners.max(axis=0).tolist()])
         return pd.DataFrame({"sample_id": rows["sample_id"].iloc[0], "facet": pd.Series(found, dtype=object)})
 
     return hull_corners(nodes).groupBy("sample_id").applyInPandas(build, "sample_id string, facet array<array<double>>")
 
 
-def _least_gap(nodes: DataFrame, parts: DataFrame, part: str, gap: Callable[[Column], Column]) -> DataFrame:
-    """(sample_id, node_id, gap): each node's least ``gap`` to the column ``part`` of its sample's rows of ``parts``.
-
-    Parts are packed ``PACK`` to an array, so a node meets a row per array, not per part, and only the least of each goes on.
-    """
-    counted = parts.groupBy("sample_id").agg(F.ceil(F.count(F.lit(1)) / PACK).cast("int").alias("packs"))
-    packed = parts.join(counted, "sample_id").groupBy("sample_id", F.pmod(F.xxhash64(part), "packs").alias("pack")).agg(F.collect_list(part).alias("parts"))
-    each = nodes.join(packed, "sample_id").select("sample_id", "node_id", F.array_min(F.transform("parts", gap)).alias("gap"))
-    return each.groupBy("sample_id", "node_id").agg(F.min("gap").alias("gap"))
-
-
 def distance_to_triangles(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     """Distance in space to the nearest of a sample's triangles: rows (sample_id, a, b, c), each corner an array of x, y and z.
 
@@ -147,7 +136,7 @@ def distance_to_triangles(nodes: DataFrame, triangles: DataFrame) -> DataFrame:
     corners = with_sample(triangles).select("sample_id", F.struct("a", "b", "c").alias("triangle"))
     at = lambda corner: [corner[k].cast("double") for k in range(3)]
     gap = lambda t: triangle_distance([F.col(a) for a in "xyz"], at(t["a"]), at(t["b"]), at(t["c"]))
-    return _least_gap(nodes, corners, "triangle", gap).withColumnRenamed("gap", TRIANGLES)
+    return least_gap(nodes, corners, "triangle", gap, lambda t: [at(t[c]) for c in "abc"]).withColumnRenamed("gap", TRIANGLES)
 
 
 def distance_to_convex_hull(nodes: DataFrame) -> DataFrame:
@@ -168,7 +157,8 @@ def distance_to_convex_hull(nodes: DataFrame) -> DataFrame:
         # every node is inside, so the nearest plane holds the nearest point
         return F.abs(sum(((c - q) * n for c, q, n in zip(p, a, b, strict=True)), F.lit(0.0)))
 
-    near = _least_gap(nodes, facets, "facet", gap).withColumnRenamed("gap", HULL)
+    ends = (0, 1) if len(names) == 2 else (0, 2, 3)  # in space a corner, then the box
+    near = least_gap(nodes, facets, "facet", gap, lambda f: [[f[i][k] for k in range(len(names))] for i in ends]).withColumnRenamed("gap", HULL)
     few = nodes.join(counts.where(F.col("n") <= len(names)), "sample_id", "left_semi").select("sample_id", "node_id", F.lit(0.0).alias(HULL))
     return near.unionByName(few)
 
@@ -198,7 +188,7 @@ def distance_to_alpha_shape(nodes: DataFrame, alpha: float) -> DataFrame:
     edges = border.join(end("src", "a"), ["sample_id", "src"]).join(end("dst", "b"), ["sample_id", "dst"])
     edges = edges.select("sample_id", F.struct("ax", "ay", "bx", "by").alias("edge"))
     gap = lambda e: segment_distance([F.col("x"), F.col("y")], [e["ax"], e["ay"]], [e["bx"], e["by"]])
-    return _least_gap(nodes, edges, "edge", gap).withColumnRenamed("gap", ALPHA)
+    return least_gap(nodes, edges, "edge", gap, lambda e: [[e["ax"], e["ay"]], [e["bx"], e["by"]]]).withColumnRenamed("gap", ALPHA)
 
 
 def _fragments(triangles: DataFrame) -> int:

@@ -2,9 +2,11 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rimward import distances as di
-from rimward import nearest
+from rimward import nearest, pieces
+from rimward.expr import segment_distance
 from tests.helpers import nodes, values
 
 
@@ -77,7 +79,7 @@ def test_pointset_of_all_samples_is_one_grid(spark, monkeypatch):
 
 
 def test_distance_to_triangles_equals_dense_sampling(spark, monkeypatch):
-    monkeypatch.setattr(di, "PACK", 2)
+    monkeypatch.setattr(pieces, "PACK", 2)
     rng = np.random.default_rng(14)
     p, corners = rng.uniform(-2, 2, (40, 3)), rng.uniform(-1, 1, (5, 3, 3))
     corners[4, 2] = corners[4, 1]  # no area: a segment
@@ -135,3 +137,56 @@ def test_alpha_shape_errors(spark):
         di.distance_to_alpha_shape(nodes(spark, np.ones((4, 3))), 1.0)
     with warnings.catch_warnings(), pytest.raises(ValueError, match="empty"):
         di.distance_to_alpha_shape(nodes(spark, [(0, 0), (700, 40), (300, 900), (900, 800), (450, 350)]), 10.0)
+
+
+def _circle_border(spark, n):
+    turn = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    ring = np.stack([np.cos(turn), np.sin(turn)], axis=1) * (1 + 0.2 * np.sin(5 * turn))[:, None]
+    edges = [("all", *map(float, (*a, *b))) for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True)]
+    parts = spark.createDataFrame(edges, "sample_id string, ax double, ay double, bx double, by double")
+    return ring, parts.select("sample_id", F.struct("ax", "ay", "bx", "by").alias("edge"))
+
+
+def _edge_gap(e):
+    return segment_distance([F.col("x"), F.col("y")], [e["ax"], e["ay"]], [e["bx"], e["by"]])
+
+
+def _edge_corners(e):
+    return [[e["ax"], e["ay"]], [e["bx"], e["by"]]]
+
+
+def test_nodes_meet_few_of_a_large_borders_edges(spark):
+    ring, parts = _circle_border(spark, 100_000)
+    p = np.random.default_rng(21).uniform(-1.3, 1.3, (400, 2))
+    p[:100] = p[:100] / 1000 + 0.6  # a dense corner
+    df = nodes(spark, p)
+    met = pieces._met(df, parts.withColumnRenamed("edge", "part"), ["x", "y"], _edge_corners)
+    assert met.agg(F.sum(F.size("parts"))).first()[0] < 400 * 100_000 / 20
+    got = values(pieces.least_gap(df, parts, "edge", _edge_gap, _edge_corners), "gap")
+    side = np.roll(ring, -1, axis=0) - ring
+    want = []
+    for x in p:
+        t = np.clip(((x - ring) * side).sum(1) / (side * side).sum(1), 0, 1)
+        want.append(np.linalg.norm(x - ring - t[:, None] * side, axis=1).min())
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_trees_of_cells_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    flat, space = nodes(spark, rng.normal(size=(300, 2))), nodes(spark, rng.normal(size=(300, 3)))
+    tris = [("all", *[c.tolist() for c in rng.normal(size=3) * 3 + rng.normal(size=(3, 3)) * s]) for s in rng.choice([0.01, 3.0], 200)]
+    triangles = spark.createDataFrame(tris + tris[:20], "sample_id string, a array<double>, b array<double>, c array<double>")
+    ways = [lambda: di.distance_to_convex_hull(flat), lambda: di.distance_to_convex_hull(space), lambda: di.distance_to_alpha_shape(flat, 0.5), lambda: di.distance_to_triangles(space, triangles)]
+    direct = [values(w(), w().columns[-1]) for w in ways]
+    monkeypatch.setattr(pieces, "DIRECT_PIECES", 2)
+    monkeypatch.setattr(pieces, "LEAF", 4)
+    for way, want in zip(ways, direct, strict=True):
+        assert np.allclose(values(way(), way().columns[-1]), want, atol=1e-12)
+
+
+def test_pieces_in_one_place_are_met_whole(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "DIRECT_PIECES", 2)
+    monkeypatch.setattr(pieces, "LEAF", 2)
+    one = spark.createDataFrame([("all", 1.0, 1.0, 1.0, 1.0)] * 30, "sample_id string, ax double, ay double, bx double, by double").select("sample_id", F.struct("ax", "ay", "bx", "by").alias("edge"))
+    got = values(pieces.least_gap(nodes(spark, [(1, 1), (4, 5)]), one, "edge", _edge_gap, _edge_corners), "gap")
+    assert got.tolist() == [0, 5]
