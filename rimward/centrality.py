@@ -1,26 +1,27 @@
 """Centralities of the nodes of undirected, unweighted graphs, per sample.
 
-Every measure gives (sample_id, node_id, <measure>) for every node; nodes without edges included. Closeness,
-harmonic and betweenness share one level-by-level search from every node; its levels are joins, written to the
-shared folder, so memory doesn't bound them.
+Every measure gives (sample_id, node_id, <measure>) for every node; nodes without edges included. Closeness and
+harmonic share one search from all nodes, with a bit to a source; betweenness counts paths from batches of sources. Levels are joins,
+written to the shared folder and deleted once passed.
 """
 
 from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rimward.schema import as_nodes, with_sample
-from rimward.storage import stored
+from rimward.storage import dropped, stored
 
 MEASURES = ("degree", "pagerank", "betweenness", "closeness", "harmonic", "clustering")
 DAMPING, TOLERANCE, MOST_ROUNDS = 0.85, 1e-6, 100
 #: Samples up to which the driver notes which of them have converged; beyond it a table does.
 FEW_SAMPLES = 1_000
+#: Sources of a sample that are searched from at once, by bits and with counted paths.
+WORD_SOURCES, PATH_SOURCES = 8_192, 4_096
 
 
 @dataclass
@@ -105,63 +106,113 @@ def pagerank(g: Graph) -> DataFrame:
     raise ArithmeticError(f"pagerank hasn't converged in {MOST_ROUNDS} rounds")
 
 
-@dataclass
-class Paths:
-    """Shortest paths between nodes: (sample_id, s, v, level, sigma) by level; sigma counts them."""
+def _batches(g: Graph, size: int) -> tuple[DataFrame, int]:
+    """(sample_id, node_id, batch, place) of all nodes, and the number of batches: some ``size`` nodes of each sample to a batch, numbered within it."""
+    of = F.pmod(F.xxhash64("node_id"), F.ceil(F.col("n") / size))
+    place = F.row_number().over(Window.partitionBy("sample_id", "batch").orderBy("node_id")) - 1
+    most = g.nodes.agg(F.max(F.ceil(F.col("n") / size))).first()[0] or 0
+    return stored(g.nodes.select("sample_id", "node_id", of.alias("batch")).withColumn("place", place), "sources"), most
+
+
+def reached(g: Graph) -> DataFrame:
+    """(sample_id, node_id, r, far, near): how many others a node reaches, and the sums of their distances and of the inverse ones.
+
+    Searches run side by side, 64 sources to a long: a row (word, v) has the sources that have come to v and those that came on the last level.
+    Distances are the same both ways, so v counts the sources that come to it, and pairs of nodes are never written.
+    """
+    sources, batches = _batches(g, WORD_SOURCES)
+    keys = ["sample_id", "word", "v"]
+    zero = [F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("far"), F.lit(0.0).alias("near")]
+    out = ["r", "far", "near"]
+    totals: DataFrame | None = None
+    for batch in range(batches):
+        bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
+        begin = sources.where(F.col("batch") == batch).select("sample_id", F.floor(F.col("place") / 64).alias("word"), F.col("node_id").alias("v"), bit.alias("seen"), bit.alias("new"), *zero)
+        state, level = stored(begin, "words"), 0
+        while state.where("new <> 0").limit(1).count():
+            level += 1
+            ahead = state.where("new <> 0").select("sample_id", "word", F.col("v").alias("src"), "new").join(g.both, ["sample_id", "src"])
+            come = ahead.select("sample_id", "word", F.col("dst").alias("v"), F.lit(0).cast("long").alias("seen"), F.col("new").alias("got"), *zero)
+            both = state.select(*keys, "seen", F.lit(0).cast("long").alias("got"), *out).unionByName(come)
+            met = both.groupBy(*keys).agg(F.bit_or("seen").alias("seen"), F.bit_or("got").alias("got"), *[F.sum(c).alias(c) for c in out])
+            fresh = F.col("got").bitwiseAND(F.bitwise_not("seen"))
+            n = F.bit_count("new")
+            step = met.select(*keys, F.col("seen").bitwiseOR(F.col("got")).alias("seen"), fresh.alias("new"), *out)
+            step = step.select(*keys, "seen", "new", (F.col("r") + n).alias("r"), (F.col("far") + n * level).alias("far"), (F.col("near") + n / level).alias("near"))
+            state = stored(step, "words", replaces=state)
+        part = state.groupBy("sample_id", F.col("v").alias("node_id")).agg(*[F.sum(c).alias(c) for c in out])
+        if totals is not None:
+            part = totals.unionByName(part).groupBy("sample_id", "node_id").agg(*[F.sum(c).alias(c) for c in out])
+        totals = stored(part, "reached", replaces=totals)
+        dropped(state)
+    return totals if totals is not None else g.nodes.select("sample_id", "node_id", *zero)
+
+
+def closeness(g: Graph, reach: DataFrame) -> DataFrame:
+    """(r - 1)/sum of distances, times (r - 1)/(n - 1), with r reachable nodes, itself included; 0 for isolated ones."""
+    value = F.col("r") / F.col("far") * F.col("r") / F.greatest(F.col("n") - 1, F.lit(1))
+    return g.filled(reach.where("r > 0").join(g.nodes, ["sample_id", "node_id"]).select("sample_id", "node_id", value.alias("closeness")), "closeness")
 
-    levels: list[DataFrame]
 
-    @property
-    def all(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.levels)
+def harmonic(g: Graph, reach: DataFrame) -> DataFrame:
+    """Sum of inverse distances over n - 1."""
+    value = F.col("near") / F.greatest(F.col("n") - 1, F.lit(1))
+    return g.filled(reach.join(g.nodes, ["sample_id", "node_id"]).select("sample_id", "node_id", value.alias("harmonic")), "harmonic")
 
 
-def shortest_paths(g: Graph) -> Paths:
-    start = g.nodes.select("sample_id", F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("sigma"))
-    levels = [stored(start, "level")]
+def shortest_paths(g: Graph, sources: DataFrame) -> list[DataFrame]:
+    """Shortest paths from ``sources``, a table (sample_id, s, v, sigma) to a level; sigma counts them."""
     keys = ["sample_id", "s", "v"]
+    levels = [stored(sources.select("sample_id", F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(1.0).alias("sigma")), "level")]
     while True:
         ahead = levels[-1].select("sample_id", "s", F.col("v").alias("src"), "sigma").join(g.both, ["sample_id", "src"])
-        found = ahead.groupBy("sample_id", "s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        found = ahead.select("sample_id", "s", F.col("dst").alias("v"), "sigma", F.lit(False).alias("known"))
         # a neighbour of level l is on level l - 1, l or l + 1
         for old in levels[-2:]:
-            found = found.join(old.select(*keys), keys, "left_anti")
-        level = stored(found.select(*keys, F.lit(len(levels)).alias("level"), "sigma"), "level")
+            found = found.unionByName(old.select(*keys, F.lit(0.0).alias("sigma"), F.lit(True).alias("known")))
+        level = found.groupBy(*keys).agg(F.sum("sigma").alias("sigma"), F.max("known").alias("known")).where(~F.col("known")).drop("known")
+        level = stored(level, "level")
         if not level.limit(1).count():
-            return Paths(levels)
+            dropped(level)
+            return levels
         levels.append(level)
 
 
-def closeness(g: Graph, paths: Paths) -> DataFrame:
-    """(r - 1)/sum of distances, times (r - 1)/(n - 1), with r reachable nodes; 0 for isolated ones."""
-    rows = paths.all.where("level > 0").groupBy("sample_id", F.col("s").alias("node_id")).agg(F.sum("level").alias("far"), F.count(F.lit(1)).alias("r"))
-    value = F.col("r") / F.col("far") * F.col("r") / F.greatest(F.col("n") - 1, F.lit(1))
-    return g.filled(rows.join(g.nodes, ["sample_id", "node_id"]).select("sample_id", "node_id", value.alias("closeness")), "closeness")
-
-
-def harmonic(g: Graph, paths: Paths) -> DataFrame:
-    """Sum of inverse distances over n - 1."""
-    rows = paths.all.where("level > 0").groupBy("sample_id", F.col("s").alias("node_id")).agg(F.sum(1.0 / F.col("level")).alias("near"))
-    value = F.col("near") / F.greatest(F.col("n") - 1, F.lit(1))
-    return g.filled(rows.join(g.nodes, ["sample_id", "node_id"]).select("sample_id", "node_id", value.alias("harmonic")), "harmonic")
-
-
-def betweenness(g: Graph, paths: Paths) -> DataFrame:
-    """Brandes: dependencies are passed back from the last level to the first. Over ordered pairs, so divided by (n - 1)(n - 2)."""
+def _dependencies(g: Graph, levels: list[DataFrame]) -> DataFrame:
+    """(sample_id, node_id, total): what the sources of ``levels`` owe to each node, passed back from the last level to the first. Levels are deleted once passed."""
     keys = ["sample_id", "s", "v"]
     owed: DataFrame | None = None  # (sample_id, s, v, delta) of the level above
-    parts: list[DataFrame] = []
-    for level in range(len(paths.levels) - 1, 0, -1):
-        here = paths.levels[level]
+    total: DataFrame | None = None
+    last: DataFrame | None = None
+    for level in range(len(levels) - 1, 0, -1):
+        here = levels[level]
         rows = here.join(owed, keys, "left") if owed is not None else here.withColumn("delta", F.lit(None).cast("double"))
         rows = stored(rows.select(*keys, "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta")
-        parts.append(rows.select("sample_id", "v", "delta"))
+        part = rows.select("sample_id", F.col("v").alias("node_id"), F.col("delta").alias("total"))
+        summed = part if total is None else total.unionByName(part)
+        total = stored(summed.groupBy("sample_id", "node_id").agg(F.sum("total").alias("total")), "owed", replaces=total)
         back = rows.select("sample_id", "s", F.col("v").alias("dst"), ((1.0 + F.col("delta")) / F.col("sigma")).alias("part")).join(g.both, ["sample_id", "dst"])
-        before = paths.levels[level - 1].select(*keys, F.col("sigma").alias("sigma_v"))
+        before = levels[level - 1].select(*keys, F.col("sigma").alias("sigma_v"))
         owed = back.withColumnRenamed("src", "v").join(before, keys).groupBy(*keys).agg(F.sum(F.col("sigma_v") * F.col("part")).alias("delta"))
-    if not parts:
+        if last is not None:
+            dropped(last)
+        dropped(here)
+        last = rows
+    for rest in (levels[0], last):
+        if rest is not None:
+            dropped(rest)
+    return total if total is not None else g.nodes.select("sample_id", "node_id", F.lit(0.0).alias("total"))
+
+
+def betweenness(g: Graph) -> DataFrame:
+    """Brandes, by batches of sources, so that only a batch's paths are on disk. Over ordered pairs, so divided by (n - 1)(n - 2)."""
+    sources, batches = _batches(g, PATH_SOURCES)
+    total: DataFrame | None = None
+    for batch in range(batches):
+        part = _dependencies(g, shortest_paths(g, sources.where(F.col("batch") == batch)))
+        total = part if total is None else stored(total.unionByName(part).groupBy("sample_id", "node_id").agg(F.sum("total").alias("total")), "totals", replaces=total)
+    if total is None:
         return g.nodes.select("sample_id", "node_id", F.lit(0.0).alias("betweenness"))
-    total = reduce(DataFrame.unionByName, parts).groupBy("sample_id", F.col("v").alias("node_id")).agg(F.sum("delta").alias("total"))
     pairs = (F.col("n") - 1) * (F.col("n") - 2)
     value = F.when(pairs > 0, F.col("total") / F.nullif(pairs, F.lit(0))).otherwise(F.lit(0.0))
     return g.filled(total.join(g.nodes, ["sample_id", "node_id"]).select("sample_id", "node_id", value.alias("betweenness")), "betweenness")
@@ -174,17 +225,17 @@ def centralities(nodes: DataFrame, edges: DataFrame, measures: list[str] | tuple
             raise ValueError(f"{m!r} is no measure; there are {', '.join(MEASURES)}.")
     nodes = as_nodes(nodes, (0, 2, 3))
     g = Graph.of(nodes, edges)
-    plain = {"degree": degree, "clustering": clustering, "pagerank": pagerank}
-    over_paths = {"closeness": closeness, "harmonic": harmonic, "betweenness": betweenness}
-    paths: Paths | None = None
+    plain = {"degree": degree, "clustering": clustering, "pagerank": pagerank, "betweenness": betweenness}
+    over_reach = {"closeness": closeness, "harmonic": harmonic}
+    reach: DataFrame | None = None
     out = g.nodes.select("sample_id", "node_id")
     for m in dict.fromkeys(measures):
         try:
             if m in plain:
                 column = plain[m](g)
             else:
-                paths = paths or shortest_paths(g)
-                column = over_paths[m](g, paths)
+                reach = reached(g) if reach is None else reach
+                column = over_reach[m](g, reach)
             out = stored(out.join(column, ["sample_id", "node_id"]), "scores")
         except Exception as problem:  # of any kind: the other measures don't depend on it
             warnings.warn(f"{m} failed and is left out: {problem}", UserWarning, stacklevel=2)

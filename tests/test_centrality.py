@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 
 from rimward import centrality
 from rimward.centrality import MEASURES, centralities
+from rimward.storage import _KEY, tables_dir
 from tests.helpers import values
 
 
@@ -81,3 +83,46 @@ def test_errors(spark):
         centralities(nodes, edges, ["nonsense"])
     with pytest.raises(ValueError, match="aren't nodes"):
         centralities(nodes, edges, ["degree"])
+
+
+def _from_all(n, edges):
+    """Plain breadth-first searches and Brandes sums: closeness, harmonic and betweenness of each node."""
+    near = {i: sorted({a + b - i for a, b in edges if i in (a, b) and a != b}) for i in range(n)}
+    close, harm, between = [], [], [0.0] * n
+    for s in range(n):
+        far, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w], paths[w] = far[v] + 1, 0
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+        owed = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if far[v] == far[w] - 1:
+                    owed[v] += paths[v] / paths[w] * (1 + owed[w])
+            between[w] += owed[w] if w != s else 0
+        r = len(far) - 1
+        close.append(r / sum(far.values()) * r / (n - 1) if r else 0)
+        harm.append(sum(1 / d for d in far.values() if d) / (n - 1))
+    return {"closeness": close, "harmonic": harm, "betweenness": [b / (n - 1) / (n - 2) for b in between]}
+
+
+def test_paths_in_batches_and_words_equal_plain_searches(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (190, 2))]  # over two words of sources, several parts, loops and repeats
+    want = _from_all(150, edges)
+    monkeypatch.setattr(centrality, "WORD_SOURCES", 80)
+    monkeypatch.setattr(centrality, "PATH_SOURCES", 75)
+    before = tables_dir(spark)
+    spark.conf.set(_KEY, str(tmp_path))
+    try:
+        got = centralities(*frames(spark, 150, edges), list(want))
+        for name, expected in want.items():
+            assert np.allclose(values(got, name), expected), name
+        left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+        assert not left & {"words", "level", "delta"}  # levels go once they are passed
+    finally:
+        spark.conf.set(_KEY, before)

@@ -179,7 +179,7 @@ def test_trees_of_cells_equal_all_pairs(spark, monkeypatch):
     ways = [lambda: di.distance_to_convex_hull(flat), lambda: di.distance_to_convex_hull(space), lambda: di.distance_to_alpha_shape(flat, 0.5), lambda: di.distance_to_triangles(space, triangles)]
     direct = [values(w(), w().columns[-1]) for w in ways]
     monkeypatch.setattr(pieces, "DIRECT_PIECES", 2)
-    monkeypatch.setattr(pieces, "LEAF", 4)
+    monkeypatch.setattr(pieces, "LEAF", 16)
     for way, want in zip(ways, direct, strict=True):
         assert np.allclose(values(way(), way().columns[-1]), want, atol=1e-12)
 
