@@ -8,10 +8,11 @@ former table and filters that answer as before.
 
 A filter may answer yes for a key it doesn't hold. All keys of the corpus are in the exact table, so those
 answers are known beforehand: the table's other keys are probed once, and the few that hit are listed as
-exceptions. Pruning is therefore exact.
+exceptions. Pruning is therefore exact. Small filters are broadcast; others stay in their shards, to which
+line hashes, or the exact table's when exceptions are listed, are dealt.
 
 Edge cases. A null or empty text is one empty line. Empty keys are never repeated. Repeated rows are
-separate documents. Null ids are kept. An empty table gives no rows. Other columns are ignored.
+separate documents. Very long texts are read whole, one at a time. Null ids are kept. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from rimward.llm.common import materialize, slices
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 MAX_KICKS = 500
-#: Filters and exceptions up to this size are broadcast; beyond it lines are joined with the exact table.
+#: Filters and exceptions up to this size are broadcast; beyond it line hashes are dealt to the filters' shards.
 BROADCAST_BYTES = 32 << 20
+#: Copies of a shard's filter among which its line hashes are dealt, so that no line, however frequent, fills one task.
+SALTS = 16
 KEYS_PER_SHARD = 50_000
 
 COUNT_SCHEMA = "h1 long, h2 long, n_docs long"
@@ -235,7 +238,7 @@ class LineIndex:
         spark = docs.sparkSession
         total = self.filters.agg(F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()[0]
         if total > BROADCAST_BYTES:
-            return self._prune_by_join(rows)
+            return self._prune_by_shards(rows, self._exceptions())
         blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["slots"]) for r in self.filters.collect()})
 
         def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +251,7 @@ class LineIndex:
         rare = self.counts.where(F.col("n_docs") < self.min_docs).select("h1", "h2")
         wrong = materialize(rare.mapInArrow(mistaken, "h1 long, h2 long"), "line-exceptions")
         if wrong.count() * 16 > BROADCAST_BYTES:
-            return self._prune_by_join(rows)
+            return self._prune_by_shards(rows, wrong)
         except_for = spark.sparkContext.broadcast({(r["h1"], r["h2"]) for r in wrong.collect()})
         min_chars = self.min_chars
 
@@ -264,22 +267,69 @@ class LineIndex:
 
         return rows.mapInArrow(drop, _pruned_schema(docs))
 
-    def _prune_by_join(self, rows: DataFrame) -> DataFrame:
-        """The way for filters too large to broadcast: each document's line hashes meet the exact table in a join."""
+    def _dealt(self, rows: DataFrame, salts: int, spared: DataFrame | None = None) -> DataFrame:
+        """The rows (k1, k2, h1, h2, salt) whose hash their shard's filter holds and that aren't in ``spared``.
+
+        Filters and exceptions go to ``salts`` copies of each shard, rows to one. A task reads a shard's filter, its exceptions, then its rows as a stream.
+        """
+        none, of = F.lit(None), _shard(self.shards).alias("shard")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+        empty = [none.cast("long").alias(c) for c in ("k1", "k2")]
+        met = self.filters.select("shard", copies, F.lit(0).alias("kind"), "slots", *empty, *[none.cast("long").alias(c) for c in ("h1", "h2")])
+        if spared is not None:
+            met = met.unionByName(spared.select(of, copies, F.lit(1).alias("kind"), none.cast("binary").alias("slots"), *empty, "h1", "h2"))
+        met = met.unionByName(rows.select(of, "salt", F.lit(2).alias("kind"), none.cast("binary").alias("slots"), "k1", "k2", "h1", "h2"))
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, held, known = None, None, set()
+            for batch in batches:
+                shards, salt, kinds = (batch.column(c).to_numpy() for c in ("shard", "salt", "kind"))
+                moves = np.flatnonzero((np.diff(shards) != 0) | (np.diff(salt) != 0) | (np.diff(kinds) != 0)) + 1
+                cuts = [0, *moves.tolist(), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a == b:
+                        continue
+                    part = batch.slice(a, b - a)
+                    if (shards[a], salt[a]) != here:
+                        here, held, known = (shards[a], salt[a]), None, set()
+                    if kinds[a] == 0:
+                        held = CuckooFilter.from_bytes(part.column("slots")[0].as_py())
+                        continue
+                    pairs = np.column_stack([part.column("h1").to_numpy(), part.column("h2").to_numpy()])
+                    if kinds[a] == 1:
+                        known.update(map(tuple, pairs.tolist()))
+                    elif held is not None:
+                        hit = held.holds(pairs[:, 0], pairs[:, 1])
+                        if known:
+                            hit[hit] = [tuple(pair) not in known for pair in pairs[hit].tolist()]
+                        yield part.select(["k1", "k2", "h1", "h2"]).filter(pa.array(hit))
+
+        return met.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(probe, "k1 long, k2 long, h1 long, h2 long")
+
+    def _exceptions(self) -> DataFrame:
+        """(h1, h2) of the keys that aren't repeated although their shard's filter says so."""
+        none = F.lit(None).cast("long")
+        rare = self.counts.where(F.col("n_docs") < self.min_docs).select(none.alias("k1"), none.alias("k2"), "h1", "h2", F.lit(0).alias("salt"))
+        return materialize(self._dealt(rare, 1).select("h1", "h2"), "line-exceptions")
+
+    def _prune_by_shards(self, rows: DataFrame, spared: DataFrame) -> DataFrame:
+        """The way for filters or exceptions too large to broadcast: line hashes go to their shards, and hits back to their texts."""
         min_chars = self.min_chars
 
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = 0
             for batch in batches:
                 for i, text in enumerate(batch.column(0).to_pylist()):
                     keys = [k for k in set(map(line_key, _text_bytes(text).split(b"\n"))) if k and _long_enough(k, min_chars)]
                     pairs = _hashes(keys)
-                    row = pa.array([batch.column(1)[i].as_py()] * len(keys), pa.int64()), pa.array([batch.column(2)[i].as_py()] * len(keys), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*row, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["k1", "k2", "h1", "h2"])
+                    row = [pa.array([batch.column(c)[i].as_py()] * len(keys), pa.int64()) for c in (1, 2)]
+                    at += 1
+                    salt = pa.array([at % SALTS] * len(keys), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*row, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), salt], names=["k1", "k2", "h1", "h2", "salt"])
 
         keyed = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-        repeated = self.counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-        lines = keyed.select("text", "k1", "k2").mapInArrow(hashed, "k1 long, k2 long, h1 long, h2 long")
-        gone = lines.join(repeated, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+        lines = keyed.select("text", "k1", "k2").mapInArrow(hashed, "k1 long, k2 long, h1 long, h2 long, salt int")
+        gone = self._dealt(lines, SALTS, spared).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

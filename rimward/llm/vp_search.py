@@ -1,7 +1,7 @@
 """Nearest neighbours by a vantage-point tree per shard.
 
-Candidates are dealt to the nearest of up to ``CELLS`` pivots, and a cell is cut evenly into shards of bounded size, so that
-equal vectors never gather. A shard holds a vantage-point tree over all its rows: a node splits its rows by
+Candidates are dealt to the nearest of up to ``CELLS`` pivots, and a cell's rows are dealt by a hash of their place to shards of bounded rows and bytes, so that
+neither equal vectors nor the order of rows make uneven shards. A shard holds a vantage-point tree over all its rows: a node splits its rows by
 the median distance to a vantage point; leaves hold up to ``LEAF`` rows. A query goes to the shards of the cells that
 the triangle inequality leaves, and descends there into a child unless the inequality says
 that nothing in it is nearer than its current k-th candidate. ``factor`` relaxes that pruning: at 1 the search
@@ -33,6 +33,8 @@ from rimward.llm.common import materialize
 LEAF = 256
 #: Queries searched at once, least and most rows of a shard's tree, rows of the sample that gives radii, and of that the pivots of cells.
 QUERY_BLOCK, LEAST_ROWS, SHARD_ROWS, SEED_ROWS, CELLS = 4096, 4096, 65_536, 4096, 256
+#: Bytes of a shard's vectors, which bound its rows where vectors are long.
+SHARD_BYTES = 256 << 20
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -166,7 +168,8 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
     base, asked = base.where(F.size("vector") == width), asked.where(F.size("vector") == width)
     seeds = base.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).toPandas()
     sent = spark.sparkContext.broadcast((seeds["id"].to_numpy(), np.stack(seeds["vector"].to_list())))
-    n_cells = min(CELLS, len(seeds), max(1, lengths["count"] // SHARD_ROWS))
+    most = max(LEAF, min(SHARD_ROWS, SHARD_BYTES // (8 * width)))
+    n_cells = min(CELLS, len(seeds), max(1, lengths["count"] // most))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = sent.value[1][:n_cells]
@@ -177,11 +180,11 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
     dealt = base.mapInArrow(deal, "id long, vector array<double>, cell int, gap double")
     dealt = materialize(dealt.withColumn("place", F.monotonically_increasing_id()), "vp-cells")
     cells = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("gap").alias("low"), F.max("gap").alias("high")).orderBy("cell").toPandas()
-    rows = int(np.clip(lengths["count"] // (4 * spark.sparkContext.defaultParallelism), LEAST_ROWS, SHARD_ROWS))
+    rows = int(np.clip(lengths["count"] // (4 * spark.sparkContext.defaultParallelism), min(LEAST_ROWS, most), most))
     cells["shards"] = -(-cells["rows"] // rows)
     cells["first"] = cells["shards"].cumsum() - cells["shards"]
     layout = spark.createDataFrame(cells[["cell", "shards", "first"]].astype("int32"), "cell int, shards int, first int")
-    shard = (F.col("first") + F.pmod("place", F.col("shards"))).cast("int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("place"), F.col("shards"))).cast("int")
     candidates = dealt.join(F.broadcast(layout), "cell").select(shard.alias("shard"), F.lit(False).alias("asks"), "id", "vector", F.lit(0.0).alias("radius"), F.lit(0).cast("long").alias("times"))
     # a repeated query row is searched once
     asked = asked.groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))

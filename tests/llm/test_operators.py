@@ -43,7 +43,7 @@ def texts():
     return base + near + odd
 
 
-def test_line_dedup_is_exact_by_filters_and_by_join(spark, texts, monkeypatch):
+def test_line_dedup_is_exact_by_broadcast_and_by_dealt_filters(spark, texts, monkeypatch):
     lines = ["same line", " Same LINE\t", "rare"]
     docs = [f"{lines[i % 2]}\nown {i}\n\n{t or ''}" for i, t in enumerate(texts)] + [None, "", "rare"]
     counts = collections.Counter(k for d in docs for k in {line_dedup.line_key(x.encode()) for x in (d or "").split("\n")})
@@ -58,6 +58,23 @@ def test_line_dedup_is_exact_by_filters_and_by_join(spark, texts, monkeypatch):
     assert got() == want
 
 
+def test_line_hashes_are_dealt_to_the_shards_of_large_filters(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 500)
+    often = "\n".join(f"often {i}" for i in range(2_000))
+    docs = [f"{often}\n" + "\n".join(f"rare {d} {i}" for i in range(8_000)) for d in range(12)]
+    df = frame(spark, docs)
+    index = line_dedup.LineIndex.build(df, min_docs=10)
+    wrong = index._exceptions()
+    keys = {tuple(r) for r in wrong.collect()}
+    assert index.shards == 4 and keys  # filters do answer yes for a few of 96,000 other keys
+    assert wrong.join(index.counts.where("n_docs < 10"), ["h1", "h2"], "left_semi").count() == len(keys)
+    out = index.prune(df)
+    assert not any("line-counts" in path for path in out.inputFiles())  # filters answer, not the exact table
+    want = {(8_000, hashlib.sha256(("\n".join(d.split("\n")[2_000:])).encode()).hexdigest()) for d in docs}
+    assert {(r["n_lines"] - r["n_dropped"], r["kept_sha256"]) for r in out.collect()} == want
+
+
 def test_line_index_takes_back_what_was_inserted(spark):
     first, second = frame(spark, [f"shared\nown {i}" for i in range(6)]), frame(spark, [f"shared\nother {i}" for i in range(6)])
     index = line_dedup.LineIndex.build(first, min_docs=10)
