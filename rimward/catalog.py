@@ -18,12 +18,14 @@ from rimward import graph as gr
 from rimward import models as mo
 from rimward import selection as se
 from rimward.expr import is_finite
-from rimward.flow import Flow
+from rimward.flow import Flow, FlowResult
 from rimward.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, R, ALPHA = 4, 0.08, 6.0
 MASK_SIDE = 21
+#: A large mask of so many by so many tiles, each of so many by so many pixels.
+TILES, TILE = 50, 32
 #: Triangles over the four means; the last has no area.
 FANS = ((0, 1, 2), (1, 2, 3), (0, 3, 3))
 
@@ -72,6 +74,18 @@ def dist_mask_edt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(di.distance_to_mask(nodes, disc, (MASK_SIDE, MASK_SIDE)), di.MASK)
 
 
+def dist_mask_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance to the background of an image: all pixels of the tiles that hold no node, of whichever sample; some two million pixels at sf0.01."""
+    side, scale = TILES * TILE, 2.0 * TILES * TILE
+    nodes = nodes2(spark, sf_dir).withColumns({"x": F.col("x") * scale + side / 2, "y": F.col("y") * scale + side / 2})
+    tile = lambda a: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(side - 1.0), F.rint(a))) / TILE)
+    taken = nodes.select(tile("x").alias("a"), tile("y").alias("b")).distinct()
+    every = spark.range(TILES).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TILES - 1).cast("long"))).alias("b"))
+    pixel = lambda c: F.explode(F.sequence(F.col(c) * TILE, F.col(c) * TILE + TILE - 1))
+    background = every.join(taken, ["a", "b"], "left_anti").select(pixel("a").alias("i"), "b").select("i", pixel("b").alias("j"))
+    return _rounded(di.distance_to_mask(nodes, background, (side, side)), di.MASK)
+
+
 def dist_hull2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(di.distance_to_convex_hull(nodes2(spark, sf_dir)), di.HULL)
 
@@ -144,7 +158,7 @@ def _fit(model: mo.CurveModel) -> Query:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return se.ranked_fits(mo.fit_models(price_rows(spark, sf_dir), (mo.CONSTANT, mo.PIECEWISE)))
+    return se.ranked_fits(mo.fit_models(price_rows(spark, sf_dir)))
 
 
 def model_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +178,11 @@ def scalar_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality(flow: Flow) -> DataFrame:
-    q = flow.flow().fit_quality
+    return _report(flow.flow())
+
+
+def _report(result: FlowResult) -> DataFrame:
+    q = result.fit_quality
     fixed = [F.round(c, 4).alias(c.replace(" ", "_")) for c in ("entropy_AIC_weights", "observed_half_life", "observed_effect_strength", "included samples", "affected samples", "scaled_relative_likelihood_over_baseline")]
     names = F.array_sort(F.map_keys("params"))
     # the level c is the last parameter of each curve
@@ -201,6 +219,22 @@ def flow_from_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", "node_id", *[F.round(c, 4 if c.startswith("corrected") else 6).alias(c) for c in out.columns if c not in ("sample_id", "node_id")])
 
 
+def flow_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a flow some of whose nodes have no distance or no finite score, its first two parameters, and what became of the scores left out."""
+    li = _table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("double")
+    bent = F.col("l_extendedprice").cast("double") / 100 + 2000 * q / (6 + q)
+    price = F.when(F.col("l_linenumber") == 3, F.lit(float("nan"))).when(F.col("l_linenumber") == 5, F.lit(float("inf"))).otherwise(bent)
+    rows = li.select(F.col("l_returnflag").alias("sample_id"), F.xxhash64(*li.columns).alias("node_id"), q.alias("quantity"), price.alias("price"))
+    result = Flow.from_distances_and_scores(rows.where("quantity <= 45").select("sample_id", "node_id", "quantity"), rows.select("sample_id", "node_id", "price")).flow()
+    fixed, left_out = F.col("corrected_price"), F.isnan("corrected_price")
+    after = result.observations.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(left_out).alias("n_left_out"), F.round(F.avg(F.when(~left_out, fixed)), 2).alias("mean_corrected")
+    )
+    inner = result.best_fits.select("sample_id", F.col("model").alias("best_fit_type"), _digits(F.col("b")).alias("b"), _digits(F.col("m")).alias("m"))
+    return _report(result).join(inner, ["sample_id", "best_fit_type"]).join(after, "sample_id")
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores joined with distances, by node."""
     rows = price_rows(spark, sf_dir)
@@ -217,8 +251,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    dist_rect, dist_pointset, dist_mask_edt, dist_hull2d, dist_hull3d, dist_triangles, hull_edges, dist_alpha, knn_edges, rnn_edges, delaunay_edges, delaunay_edges_3d, *[_measure(m) for m in ce.MEASURES],
-    finite_mask, *[_fit(m) for m in mo.DEFAULT_MODELS], model_weights, scalar_statistics, flow_from_distances, flow_from_scores, flow_from_edgelist, flow_from_coords, observations,
+    dist_rect, dist_pointset, dist_mask_edt, dist_mask_dense, dist_hull2d, dist_hull3d, dist_triangles, hull_edges, dist_alpha, knn_edges, rnn_edges, delaunay_edges, delaunay_edges_3d, *[_measure(m) for m in ce.MEASURES],
+    finite_mask, *[_fit(m) for m in mo.DEFAULT_MODELS], model_weights, scalar_statistics, flow_from_distances, flow_from_scores, flow_from_edgelist, flow_from_coords, flow_with_gaps, observations,
 )
 
 
@@ -359,15 +393,23 @@ def _ranked_sql() -> str:
 
 def _quality_sql(long: str) -> str:
     """The quality report of a flow over the rows of ``long``."""
-    names = " ".join(f"WHEN '{m.name}' THEN '{','.join(sorted(m.params if m.key != mo.CONSTANT.key else m.params[2:]))}'" for m in mo.DEFAULT_MODELS)
     head = "WITH RECURSIVE" if "walk AS" in long else "WITH"
-    return f"""{head} {long}, {_ranked_sql()}
-        SELECT split_part(sample_id, '/', 1) AS sample_id, split_part(sample_id, '/', 2) AS measure, model AS best_fit_type, CASE WHEN model <> '{mo.CONSTANT.name}' THEN round(entropy, 4) END AS entropy_AIC_weights,
+    return f"{head} {long}, {_ranked_sql()} {_report_sql()}"
+
+
+def _report_sql(more: str = "") -> str:
+    """The report of ``ranked`` fits, with ``more`` columns."""
+    names = " ".join(f"WHEN '{m.name}' THEN '{','.join(sorted(m.params if m.key != mo.CONSTANT.key else m.params[2:]))}'" for m in mo.DEFAULT_MODELS)
+    return f"""SELECT split_part(sample_id, '/', 1) AS sample_id, split_part(sample_id, '/', 2) AS measure, model AS best_fit_type, CASE WHEN model <> '{mo.CONSTANT.name}' THEN round(entropy, 4) END AS entropy_AIC_weights,
             round(half, 4) AS observed_half_life, round(strength, 4) AS observed_effect_strength, round(n / n_all, 4) AS included_samples, round(affected, 4) AS affected_samples,
-            round(rl, 4) AS scaled_relative_likelihood_over_baseline, CASE model {names} END AS params, CASE WHEN c = 0 THEN 0 ELSE round(c / pow(10, floor(log10(abs(c)))), 3) END AS c
+            round(rl, 4) AS scaled_relative_likelihood_over_baseline, CASE model {names} END AS params, {_digits_sql("c")} AS c {more}
         FROM ranked WHERE is_best"""
 
 
+def _digits_sql(c: str) -> str:
+    return f"CASE WHEN {c} = 0 THEN 0 ELSE round({c} / pow(10, floor(log10(abs({c})))), 3) END"
+
+
 _HULL_GAPS = f"gaps AS (SELECT n.sample_id, n.node_id, x, y, ax, ay, bx, by_, {_CLAMP} AS t FROM nodes n JOIN hull USING (sample_id)), border AS (SELECT sample_id, node_id, min(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * (by_ - ay), 2))) AS d FROM gaps GROUP BY ALL)"
 _EDGE_SCORES = """adj AS (SELECT sample_id, src, dst FROM edges UNION ALL SELECT sample_id, dst, src FROM edges), sizes AS (SELECT sample_id, count(*) AS n FROM nodes GROUP BY 1),
 degrees AS (SELECT sample_id, node_id, count(a.dst)::DOUBLE AS k FROM nodes LEFT JOIN adj a USING (sample_id) WHERE a.src = node_id GROUP BY ALL),
@@ -387,11 +429,17 @@ def _flows_sql() -> dict[str, str]:
             FROM nodes n JOIN sizes z USING (sample_id) LEFT JOIN dist d ON d.sample_id = n.sample_id AND d.s = n.node_id AND d.l > 0 GROUP BY n.sample_id, n.node_id),
         long AS (SELECT sample_id, 'degree' AS measure, node_id, d, s FROM degree JOIN border USING (sample_id, node_id) UNION ALL SELECT sample_id, 'closeness', node_id, d, s FROM closeness JOIN border USING (sample_id, node_id))"""
     curve = f"""CASE model WHEN '{mo.CONSTANT.name}' THEN plateau WHEN '{mo.PIECEWISE.name}' THEN m * least(d, b) + c WHEN '{mo.EXPONENTIAL.name}' THEN m * (1 - exp(-b * d)) + c ELSE m * d / (b + d) + c END"""
+    gaps = """long AS (SELECT l_returnflag AS sample_id, 'price' AS measure, CASE WHEN l_quantity <= 45 THEN CAST(l_quantity AS DOUBLE) END AS d,
+        CASE l_linenumber WHEN 3 THEN 'NaN'::DOUBLE WHEN 5 THEN 'Infinity'::DOUBLE ELSE CAST(l_extendedprice AS DOUBLE) / 100 + 2000 * CAST(l_quantity AS DOUBLE) / (6 + CAST(l_quantity AS DOUBLE)) END AS s FROM lineitem)"""
+    with_gaps = f"""WITH {gaps}, {_ranked_sql()}, report AS ({_report_sql(f", {_digits_sql('b')} AS b, {_digits_sql('m')} AS m")}),
+        after AS (SELECT l.sample_id, count(*) AS n_all, count(*) FILTER (d IS NULL OR NOT isfinite(s)) AS n_left_out, round(avg(s + plateau - {curve}) FILTER (d IS NOT NULL AND isfinite(s)), 2) AS mean_corrected
+            FROM long l JOIN ranked r ON r.sample_id = l.sample_id || '/' || measure AND is_best GROUP BY 1)
+        SELECT report.*, n_all, n_left_out, mean_corrected FROM report JOIN after USING (sample_id)"""
     corrected = f"""WITH RECURSIVE {coords}, {_ranked_sql()},
         corrected AS (SELECT l.*, s + plateau - {curve} AS fixed FROM long l JOIN ranked r ON r.sample_id = l.sample_id || '/' || measure AND is_best)
         SELECT sample_id, node_id, round(max(s) FILTER (measure = 'degree'), 6) AS degree, round(max(s) FILTER (measure = 'closeness'), 6) AS closeness, round(any_value(d), 6) AS {di.HULL},
             round(max(fixed) FILTER (measure = 'degree'), 4) AS corrected_degree, round(max(fixed) FILTER (measure = 'closeness'), 4) AS corrected_closeness FROM corrected GROUP BY ALL"""
-    return {"flow_from_distances": _quality_sql(prices), "flow_from_scores": _quality_sql(scores), "flow_from_edgelist": _quality_sql(edgelist), "flow_from_coords": corrected}
+    return {"flow_from_distances": _quality_sql(prices), "flow_from_scores": _quality_sql(scores), "flow_from_edgelist": _quality_sql(edgelist), "flow_from_coords": corrected, "flow_with_gaps": with_gaps}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -402,6 +450,12 @@ def oracle_sql() -> dict[str, str]:
         "dist_mask_edt": f"""WITH {_NODES}, pixels AS (SELECT sample_id, node_id, greatest(0, least({MASK_SIDE - 1}, round_even(x * 40 + 10, 0))) AS i, greatest(0, least({MASK_SIDE - 1}, round_even(y * 40 + 10, 0))) AS j FROM nodes),
             disc AS (SELECT i.range AS i, j.range AS j FROM range({MASK_SIDE}) i, range({MASK_SIDE}) j WHERE pow(i.range - 10, 2) + pow(j.range - 10, 2) <= 9)
             SELECT sample_id, node_id, round(min(sqrt(pow(p.i - d.i, 2) + pow(p.j - d.j, 2))), 6) + 0.0 AS {di.MASK} FROM pixels p, disc d GROUP BY ALL""",
+        "dist_mask_dense": f"""WITH {_NODES}, pixels AS (SELECT sample_id, node_id, greatest(0, least({TILES * TILE - 1}, round_even(x * {2.0 * TILES * TILE}::DOUBLE + {TILES * TILE / 2}::DOUBLE, 0)))::BIGINT AS i,
+                greatest(0, least({TILES * TILE - 1}, round_even(y * {2.0 * TILES * TILE}::DOUBLE + {TILES * TILE / 2}::DOUBLE, 0)))::BIGINT AS j FROM nodes),
+            background AS (SELECT a.range AS a, b.range AS b FROM range({TILES}) a, range({TILES}) b WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.i // {TILE} = a.range AND p.j // {TILE} = b.range))
+            -- a tile's nearest pixel lies straight across or is its corner
+            SELECT sample_id, node_id, round(min(sqrt(pow(greatest(a * {TILE} - i, 0, i - a * {TILE} - {TILE - 1}), 2) + pow(greatest(b * {TILE} - j, 0, j - b * {TILE} - {TILE - 1}), 2))), 6) + 0.0 AS {di.MASK}
+            FROM pixels, background GROUP BY ALL""",
         "dist_hull2d": f"WITH {_NODES}, {_HULL}, gaps AS (SELECT n.sample_id, n.node_id, x, y, ax, ay, bx, by_, {_CLAMP} AS t FROM nodes n JOIN hull USING (sample_id)) SELECT sample_id, node_id, {_SEGMENT} AS {di.HULL} FROM gaps GROUP BY ALL",
         "hull_edges": f"""WITH {_NODES}, {_HULL}, ends AS (SELECT sample_id, round(ax, 6) AS ax, round(ay, 6) AS ay, round(bx, 6) AS bx, round(by_, 6) AS by_ FROM hull)
             SELECT sample_id, CASE WHEN (ax, ay) < (bx, by_) THEN ax ELSE bx END AS x1, CASE WHEN (ax, ay) < (bx, by_) THEN ay ELSE by_ END AS y1,
@@ -462,9 +516,8 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT *, -0.5 * n * (ln(2 * pi() * greatest(v, 2.2250738585072014e-308)) + 1) AS ll FROM g), a AS (SELECT *, 4 - 2 * ll AS aic FROM l), r AS (SELECT *, exp((1 - aic / 1e4) / 20) AS rl FROM a),
             w AS (SELECT *, rl / sum(rl) OVER (PARTITION BY sample_id) AS w FROM r)
             SELECT sample_id, round(avg(ll), 3) AS ll, round(avg(aic), 3) AS aic, round(avg(rl), 6) AS relative_likelihood, round(sum(-w * ln(w + 1e-15)) / ln(count(*)), 6) AS entropy FROM w GROUP BY 1""",
-        "model_weights": f"""WITH c AS ({_fit_sql(mo.CONSTANT)}), p AS ({_fit_sql(mo.PIECEWISE)}), n AS (SELECT l_returnflag AS sample_id, count(*) AS n FROM lineitem GROUP BY 1)
-            SELECT sample_id, c.model, c.aic < p.aic AS is_best, NULL::DOUBLE AS relative_likelihood, NULL::DOUBLE AS entropy FROM c JOIN p USING (sample_id)
-            UNION ALL SELECT sample_id, p.model, p.aic <= c.aic, round(exp((c.aic - p.aic) / (2 * n)), 4), 0.0::DOUBLE FROM c JOIN p USING (sample_id) JOIN n USING (sample_id)""",
+        "model_weights": f"""WITH long AS (SELECT l_returnflag AS sample_id, 'price' AS measure, CAST(l_quantity AS DOUBLE) AS d, CAST(l_extendedprice AS DOUBLE) AS s FROM lineitem), {_ranked_sql()}
+            SELECT split_part(sample_id, '/', 1) AS sample_id, model, is_best, round(rl, 4) AS relative_likelihood, CASE WHEN model <> '{mo.CONSTANT.name}' THEN round(entropy, 4) END AS entropy FROM ranked""",
         "observations": "SELECT l_returnflag AS sample_id, count(*) AS n, count(*) FILTER (l_quantity <= 25) AS n_with_distance, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1",
     }
     return sql | {f"fit_{m.key}": _fit_sql(m) for m in mo.DEFAULT_MODELS} | _flows_sql()

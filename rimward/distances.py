@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 
@@ -14,16 +15,19 @@ from rimward.components import connected_components
 from rimward.delaunay import delaunay_triangles, triangle_edges
 from rimward.expr import clip, segment_distance, triangle_distance
 from rimward.geometry import hull_2d, hull_facets_3d
-from rimward.nearest import nearest_points
+from rimward.nearest import DIRECT_ROWS, nearest_points
 from rimward.pieces import least_gap
 from rimward.schema import as_nodes, axes, with_sample
 from rimward.storage import stored
+from rimward.transform import mask_gaps
 
 RECTANGLE, POINTSET, MASK, HULL, ALPHA, TRIANGLES = (
     f"distance_to_{n}" for n in ("rectangular_border", "pointset", "mask", "convex_hull", "alpha_shape", "triangles")
 )
 #: Hulls of this many points or fewer go from each task to the next step.
 CHUNK = 20_000
+#: Masks with a True pixel in so many, and more than ``DIRECT_ROWS`` of them, are transformed; thinner ones are searched as points.
+THIN = 32
 
 
 def distance_to_rectangular_border(nodes: DataFrame) -> DataFrame:
@@ -50,21 +54,28 @@ def distance_to_pointset(nodes: DataFrame, landmarks: DataFrame) -> DataFrame:
 def distance_to_mask(nodes: DataFrame, mask: DataFrame, shape: tuple[int, ...]) -> DataFrame:
     """Distance in pixels from a node's pixel to the nearest True pixel, 0 within the mask.
 
-    ``mask`` holds the True pixels (i, j[, k][, sample_id]). Coordinates are rounded half to even and clipped to the shape.
+    ``mask`` holds the True pixels (i, j[, k][, sample_id]); rows outside the shape aren't pixels of it. Coordinates are rounded half to even and
+    clipped to the shape. Dense masks are transformed axis by axis, thin ones searched as points; both are exact.
     """
     nodes = as_nodes(nodes)
     names, index = axes(nodes), [c for c in ("i", "j", "k") if c in mask.columns]
     if len(names) != len(shape) or len(index) != len(shape):
         raise ValueError("The mask and the nodes differ in dimensionality.")
-    if mask.limit(1).count() == 0:
+    of = ["sample_id"] if "sample_id" in mask.columns else []
+    on = mask.select(*[F.col(c).cast("string") for c in of], *[F.col(i).cast("long") for i in index])
+    for i, n in zip(index, shape, strict=True):
+        on = on.where(F.col(i).between(0, n - 1))
+    pixels, masks = on.agg(F.count(F.lit(1)), F.count_distinct(*of) if of else F.lit(1)).first()
+    if pixels == 0:
         raise ValueError("The mask has no True pixel.")
-    pixel = [clip(F.rint(a), F.lit(0.0), F.lit(float(n - 1))).alias(a) for a, n in zip(names, shape, strict=True)]
+    pixel = [clip(F.rint(a), F.lit(0.0), F.lit(float(n - 1))).cast("long").alias(i) for a, i, n in zip(names, index, shape, strict=True)]
     at = nodes.select("sample_id", "node_id", *pixel)
-    cells = at.select("sample_id", *names).distinct()
-    found = distance_to_pointset(
-        cells.withColumn("node_id", F.xxhash64(*names)), mask.select(*(["sample_id"] if "sample_id" in mask.columns else []), *[F.col(i).cast("double").alias(a) for i, a in zip(index, names, strict=True)])
-    )
-    keyed = at.withColumn("cell", F.xxhash64(*names)).join(found.withColumnRenamed("node_id", "cell"), ["sample_id", "cell"])
+    if pixels > DIRECT_ROWS and pixels * THIN >= masks * math.prod(shape):
+        gaps = mask_gaps(at.select(*of, *index).distinct(), on, shape)
+        return at.join(gaps, [*of, *index]).select("sample_id", "node_id", F.sqrt("square").alias(MASK))
+    points = lambda df: df.select(*[c for c in df.columns if c not in index], *[F.col(i).cast("double").alias(a) for i, a in zip(index, names, strict=True)])
+    found = distance_to_pointset(points(at.select("sample_id", *index).distinct().withColumn("node_id", F.xxhash64(*index))), points(on))
+    keyed = at.withColumn("cell", F.xxhash64(*index)).join(found.withColumnRenamed("node_id", "cell"), ["sample_id", "cell"])
     return keyed.select("sample_id", "node_id", F.col(POINTSET).alias(MASK))
 
 

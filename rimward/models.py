@@ -28,7 +28,8 @@ from rimward.storage import stored
 
 EPS = 1e-10
 B_MIN, STEPS, ZOOMS = 1e-6, 64, 3
-BUCKETS = 1024
+#: Ranges of the distances of a group are COARSE * COARSE.
+COARSE = 32
 KEYS = ["sample_id", "measure"]
 NAN = float("nan")
 
@@ -122,14 +123,26 @@ def _fit_constant(points: DataFrame, statistics: DataFrame) -> DataFrame:
     return statistics.where("n > 0").select(*KEYS, F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("m"), F.col("s_mean").alias("c"), F.lit(True).alias("converged"))
 
 
+def in_ranges(points: DataFrame) -> DataFrame:
+    """``points`` with their ``bucket``, ranges of d with about equally many distinct distances each, wherever those lie.
+
+    The cuts are approximate quantiles, off by a ten-thousandth of the group at most; which range a distance is in changes no sum over all.
+    """
+    most = COARSE * COARSE
+    cuts = points.groupBy(*KEYS).agg(F.percentile_approx("d", [i / most for i in range(1, most)], 10_000).alias("cuts"))
+    below = lambda some: F.size(F.filter(some, lambda x: x < F.col("d")))
+    # how many cuts are below d: of every COARSE-th first, then of those between two of them
+    coarse = cuts.withColumn("coarse", F.transform(F.sequence(F.lit(COARSE), F.lit(most - 1), F.lit(COARSE)), lambda i: F.get(F.col("cuts"), i - 1)))
+    placed = points.join(coarse, KEYS).withColumn("bucket", below(F.col("coarse")))
+    return placed.withColumn("bucket", F.col("bucket") * COARSE + below(F.slice("cuts", F.col("bucket") * COARSE + 1, COARSE))).drop("cuts", "coarse")
+
+
 def _fit_plateau(points: DataFrame, statistics: DataFrame) -> DataFrame:
     """The exact minimum over b: at each distinct distance, and between neighbours where the left line meets the right mean.
 
     Running sums are taken within ranges of d and then over ranges, so no window holds a whole group.
     """
-    rows = points.join(statistics.select(*KEYS, "n", "d_min", "d_max", "s_mean"), KEYS)
-    width = F.nullif(F.col("d_max") - F.col("d_min"), F.lit(0.0))
-    rows = rows.withColumn("bucket", F.coalesce(F.least(F.floor(F.try_divide(F.col("d") - F.col("d_min"), width) * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)))
+    rows = in_ranges(points).join(statistics.select(*KEYS, "n", "d_min", "d_max", "s_mean"), KEYS)
     u = F.col("d") - F.col("d_min")
     rows = rows.withColumns({"u": u, "k": F.col("n_d"), "ku": F.col("n_d") * u, "kuu": F.col("n_d") * u * u, "us": u * F.col("s1")})
     sums = ["k", "ku", "kuu", "us", "s1", "s2"]

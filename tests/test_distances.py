@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rimward import distances as di
-from rimward import nearest, pieces
+from rimward import nearest, pieces, transform
 from rimward.expr import segment_distance
 from tests.helpers import nodes, values
 
@@ -104,6 +104,49 @@ def test_mask_rounds_half_to_even_and_clips(spark):
         di.distance_to_mask(nodes(spark, [(1, 1)]), on.where("i > 99"), (20, 20))
 
 
+def _dense(spark, on, sample=None):
+    rows = [(*([sample] if sample else []), *map(int, p)) for p in np.argwhere(on)]
+    return spark.createDataFrame(rows, ("sample_id string, " if sample else "") + ", ".join(f"{a} int" for a in "ijk"[: on.ndim]))
+
+
+@pytest.mark.parametrize(("shape", "share"), [((150, 70), 0.5), ((70, 150), 0.15), ((31, 20, 66), 0.3), ((25, 40, 9), 0.9)])
+def test_dense_masks_equal_brute_force(spark, shape, share):
+    rng = np.random.default_rng(23)
+    on = rng.uniform(size=shape) < share
+    on[tuple(slice(n // 3, n // 2) for n in shape)] = False  # a hole
+    on[0] = False  # a line without a pixel
+    p = rng.uniform(-3, max(shape) + 3, (200, len(shape)))
+    p[:50] = np.array(shape) * 0.42 + rng.normal(size=(50, len(shape)))
+    got = values(di.distance_to_mask(nodes(spark, p), _dense(spark, on), shape), di.MASK)
+    cells = np.clip(np.rint(p), 0, np.array(shape) - 1)
+    want = np.linalg.norm(cells[:, None] - np.argwhere(on)[None], axis=2).min(axis=1)
+    assert on.sum() > nearest.DIRECT_ROWS and want.max() > 1 and np.allclose(got, want, atol=1e-12)
+
+
+def test_dense_masks_of_samples_are_their_own(spark):
+    rng = np.random.default_rng(24)
+    first, second = np.zeros((60, 60), bool), np.zeros((60, 60), bool)
+    first[:20], second[:, 45:] = True, True
+    p = rng.uniform(0, 59, (40, 2))
+    df = nodes(spark, p, "one").unionByName(nodes(spark, p, "two")).unionByName(nodes(spark, p, "unmasked"))
+    rows = _dense(spark, first, "one").unionByName(_dense(spark, second, "two"))
+    rows = rows.unionByName(rows).unionByName(spark.createDataFrame([("one", 60, 3), ("one", -1, 3)], rows.schema))  # repeated, and outside of the shape
+    got = di.distance_to_mask(df, rows, (60, 60))
+    assert np.allclose(values(got.where("sample_id = 'one'"), di.MASK), np.maximum(np.rint(p[:, 0]) - 19, 0))
+    assert np.allclose(values(got.where("sample_id = 'two'"), di.MASK), np.maximum(45 - np.rint(p[:, 1]), 0))
+    assert got.where("sample_id = 'unmasked'").count() == 0
+
+
+def test_lower_envelope_equals_the_least_of_all_parabolas():
+    rng = np.random.default_rng(25)
+    for n in (1, 2, 9, 60):
+        at = np.sort(rng.choice(200, n, replace=False))
+        heights = rng.integers(0, 400, (n, 7)).astype(float) ** rng.integers(1, 3)
+        x = np.unique(rng.integers(0, 200, 50))
+        want = ((x[:, None] - at) ** 2)[:, :, None] + heights
+        assert np.array_equal(transform.lower_envelope(at, heights, x), want.min(axis=1))
+
+
 def test_mask_pixels(spark):
     rows = spark.createDataFrame([([[True, False], [False, True]],)], "mask array<array<boolean>>")
     assert {(r["i"], r["j"]) for r in di.mask_pixels(rows).collect()} == {(0, 0), (1, 1)}

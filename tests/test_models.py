@@ -35,6 +35,23 @@ def test_piecewise_is_no_worse_than_a_fine_grid(spark):
     assert r["ll"] >= ll - 1e-6
 
 
+def test_ranges_hold_alike_many_distances_wherever_they_lie(spark):
+    d = np.append(np.random.default_rng(26).uniform(0, 1, 20_000), 1e9)
+    points = spark.createDataFrame([("all", "m", float(x)) for x in d], "sample_id string, measure string, d double")
+    got = mo.in_ranges(points).toPandas()
+    assert got.groupby("bucket").size().max() <= 4 * len(d) / mo.COARSE**2 and len(got) == len(d)
+    by_d = got.sort_values("d")["bucket"]
+    assert by_d.is_monotonic_increasing and by_d.min() >= 0 and by_d.max() < mo.COARSE**2
+
+
+def test_an_outlying_distance_leaves_the_knot_exact(spark):
+    d = np.append(np.random.default_rng(27).uniform(0, 1, 3_000), 1e9)
+    s = np.where(d <= 0.4, 2 * d, 0.8) + 0.01 * np.sin(1e4 * np.minimum(d, 1))
+    r = fit(spark, d, s, mo.CONSTANT, mo.PIECEWISE)["Piecewise Linear Fit"]
+    least = min(np.mean((s - np.polyval(np.polyfit(x, s, 1), x)) ** 2) for x in (np.minimum(d, b) for b in np.linspace(0.01, 1, 800)))
+    assert r["b"] == pytest.approx(0.4, abs=0.02) and r["ll"] >= -0.5 * len(d) * (math.log(2 * math.pi * least) + 1) - 1e-6
+
+
 def test_knot_beyond_the_data(spark):
     d = np.linspace(0, 2, 300)
     assert fit(spark, d, 1.5 * d + NOISE, mo.CONSTANT, mo.PIECEWISE)["Piecewise Linear Fit"]["affected"] == pytest.approx(1, abs=0.01)
