@@ -1,11 +1,12 @@
 import warnings
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rimward import distances as di
-from rimward import nearest, pieces, transform
+from rimward import catalog, nearest, pieces, transform
 from rimward.expr import segment_distance
 from tests.helpers import nodes, values
 
@@ -233,3 +234,17 @@ def test_pieces_in_one_place_are_met_whole(spark, monkeypatch):
     one = spark.createDataFrame([("all", 1.0, 1.0, 1.0, 1.0)] * 30, "sample_id string, ax double, ay double, bx double, by double").select("sample_id", F.struct("ax", "ay", "bx", "by").alias("edge"))
     got = values(pieces.least_gap(nodes(spark, [(1, 1), (4, 5)]), one, "edge", _edge_gap, _edge_corners), "gap")
     assert got.tolist() == [0, 5]
+
+
+@pytest.mark.parametrize("kept", [catalog.TILES**2, catalog.TILES**2 - 40])
+def test_dense_mask_query_where_nodes_take_all_tiles_or_almost_all(spark, tmp_path, kept):
+    side = np.arange(catalog.TILES)
+    a, b = (np.ravel(g) for g in np.meshgrid(side, side))
+    x, y = ((g * catalog.TILE + 5 - catalog.TILES * catalog.TILE / 2) / (2.0 * catalog.TILES * catalog.TILE) for g in (a, b))
+    rows = [(int(i), [float(x[i]), float(y[i])], int(i) % 2) for i in range(kept)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r[0], r[1]): r[2] for r in catalog.dist_mask_dense(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = {(r[0], r[1]): r[2] for r in db.sql(catalog.oracle_sql()["dist_mask_dense"]).fetchall()}
+    assert got == want and len(got) == (0 if kept == catalog.TILES**2 else kept)
