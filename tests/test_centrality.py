@@ -126,3 +126,21 @@ def test_paths_in_batches_and_words_equal_plain_searches(spark, monkeypatch, tmp
         assert not left & {"words", "level", "delta"}  # levels go once they are passed
     finally:
         spark.conf.set(_KEY, before)
+
+
+@pytest.mark.parametrize("packed", [10**6, 100, 0])
+def test_packed_searches_and_joins_equal_plain_searches(spark, monkeypatch, packed):
+    rng = np.random.default_rng(9)
+    edges = {"a": [(int(a), int(b)) for a, b in rng.integers(0, 90, (130, 2))], "b": [(int(a), int(b)) for a, b in rng.integers(0, 20, (25, 2))]}
+    for name, value in {"PACKED_EDGES": packed, "TASK_WORK": 4_000, "HELD_WORDS": 1, "HELD_PATHS": 200}.items():  # many tasks, of several batches
+        monkeypatch.setattr(centrality, name, value)
+    joined = []
+    for name in ("_reached_by_joins", "_owed_by_joins"):
+        plain = getattr(centrality, name)
+        monkeypatch.setattr(centrality, name, lambda g, plain=plain: joined.append({r[0] for r in g.nodes.select("sample_id").distinct().collect()}) or plain(g))
+    nodes = spark.createDataFrame([("a", i) for i in range(90)] + [("b", i) for i in range(20)], "sample_id string, node_id long")
+    got = centralities(nodes, spark.createDataFrame([(s, *e) for s, rows in edges.items() for e in rows], "sample_id string, src long, dst long"), ["closeness", "harmonic", "betweenness"])
+    for sample, n in (("a", 90), ("b", 20)):
+        for name, expected in _from_all(n, edges[sample]).items():
+            assert np.allclose(values(got.where(f"sample_id = '{sample}'"), name), expected), (sample, name)
+    assert joined == {10**6: [], 100: [{"a"}] * 2, 0: [{"a", "b"}] * 2}[packed]
