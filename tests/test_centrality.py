@@ -144,3 +144,18 @@ def test_packed_searches_and_joins_equal_plain_searches(spark, monkeypatch, pack
         for name, expected in _from_all(n, edges[sample]).items():
             assert np.allclose(values(got.where(f"sample_id = '{sample}'"), name), expected), (sample, name)
     assert joined == {10**6: [], 100: [{"a"}] * 2, 0: [{"a", "b"}] * 2}[packed]
+
+
+@pytest.mark.parametrize(("side", "cost"), [(16_384, 50), (20, 10**9)])
+def test_triangles_of_dense_samples_are_counted_without_wedges(spark, monkeypatch, side, cost):
+    monkeypatch.setattr(centrality, "BITS_SIDE", side)
+    monkeypatch.setattr(centrality, "WEDGE_WORDS", cost)
+    made, store = {}, centrality.stored
+    monkeypatch.setattr(centrality, "stored", lambda df, label, **kw: made.setdefault(label, store(df, label, **kw)))
+    edges = [(int(a), int(b)) for a, b in np.random.default_rng(12).integers(0, 70, (700, 2))]
+    near = np.zeros((72, 72), int)
+    for a, b in edges:
+        near[a, b] = near[b, a] = a != b
+    k, twice = near.sum(axis=1), np.diag(near @ near @ near)
+    got = values(centralities(*frames(spark, 72, edges), ["clustering"]), "clustering")
+    assert np.allclose(got, twice / np.maximum(k * (k - 1), 1)) and not made["oriented"].count()
