@@ -123,6 +123,26 @@ def test_delaunay_in_space(spark):
         graph.delaunay_edges(nodes(spark, np.c_[p[:, :2], np.ones(30)]))
 
 
+@pytest.mark.parametrize("dimensions", [2, 3])
+def test_kernels_walk_only_around_the_core(dimensions):
+    rng = np.random.default_rng(8)
+    p, ids = np.vstack([rng.normal(size=(150, dimensions)), np.stack(np.meshgrid(*[np.arange(3.0)] * dimensions), axis=-1).reshape(-1, dimensions) + 5]), rng.permutation(150 + 3**dimensions)
+    kernel, core = triangulate if dimensions == 2 else tetrahedralise, np.arange(len(p)) % 15 == 0
+    whole, some = (sorted(sorted(c) for c in corners.tolist()) for corners, _, _ in (kernel(p, ids), kernel(p, ids, core)))
+    around = [c for c in whole if core[c].any()]
+    assert [c for c in some if core[c].any()] == around and len(around) < len(some) + 1 < 0.8 * len(whole)
+
+
+def test_few_nodes_stay_open_beside_dense_tiles(spark, monkeypatch):
+    """Uneven clouds: tiles beside a leaf that hold some more than a leaf may are still in its block."""
+    p, left, stored = np.random.default_rng(9).normal(size=(900, 2)), [], delaunay.stored
+    monkeypatch.setattr(delaunay, "stored", lambda df, label, **kw: (out := stored(df, label, **kw), left.append(out.count()) if label == "open-nodes" else None)[0])
+    got = delaunay.delaunay_simplices(nodes(spark, p), 24).collect()
+    corners, _, _ = triangulate(p, np.arange(len(p)))
+    assert sorted(r["corners"] for r in got) == sorted(sorted(c) for c in corners.tolist())
+    assert left[0] == 900 and left[1] < 200
+
+
 def test_delaunay_of_a_line_is_an_error(spark):
     with pytest.raises(ValueError, match="degenerate"):
         graph.delaunay_edges(nodes(spark, [(0, 0), (1, 1), (2, 2)]))
