@@ -103,6 +103,16 @@ def test_blocks_leave_out_crowded_tiles(spark):
     assert blocks.where("left_out > 0").count() > 0
 
 
+def test_blocks_hold_tiles_of_up_to_so_many_nodes(spark):
+    p = np.vstack([np.random.default_rng(4).uniform(0.5, 0.6, (150, 2)), np.random.default_rng(5).uniform(0, 1, (50, 2))])
+    df = nodes(spark, p)
+    tree = tiles.Tree.of(tiles.finest(df, tiles.boxes(df, ["x", "y"]), ["x", "y"]), ["x", "y"], 20)
+    strict, held = (tree.blocks(most).select("b_depth", "b_t_x", "b_t_y", "node_id", "core", "left_out").toPandas() for most in (0, 200))
+    assert strict["left_out"].max() > 0 and held["left_out"].max() == 0
+    assert held["core"].sum() == 200 and not held.duplicated(["b_depth", "b_t_x", "b_t_y", "node_id"]).any()
+    assert len(held) > len(strict)
+
+
 def test_tetrahedra_have_empty_spheres_and_fill_the_hull():
     p = np.random.default_rng(6).random((60, 3))
     corners, centres, radii = tetrahedralise(p, np.arange(60))
