@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from rimward import centrality
@@ -159,3 +160,33 @@ def test_triangles_of_dense_samples_are_counted_without_wedges(spark, monkeypatc
     k, twice = near.sum(axis=1), np.diag(near @ near @ near)
     got = values(centralities(*frames(spark, 72, edges), ["clustering"]), "clustering")
     assert np.allclose(got, twice / np.maximum(k * (k - 1), 1)) and not made["oriented"].count()
+
+
+def test_a_search_by_bits_touches_only_nodes_that_sources_come_to(monkeypatch):
+    side = 48
+    place = np.random.default_rng(1).permutation(side * side).reshape(side, side)
+    ahead = np.concatenate([np.stack([place[:, :-1].ravel(), place[:, 1:].ravel()], axis=1), np.stack([place[:-1].ravel(), place[1:].ravel()], axis=1)])
+    packed = centrality._pack(pd.DataFrame({"sample_id": "a", "src": np.concatenate(ahead.T), "dst": np.concatenate(ahead.T[::-1])})).iloc[0]
+    ids, begins, ends = np.frombuffer(packed["ids"], np.int64), np.frombuffer(packed["begins"], np.int64), np.frombuffer(packed["ends"], np.int32)
+    count, touched = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda bits: touched.append(bits.size) or count(bits))
+    parts = [centrality._search_by_bits(begins, ends, *ends_of) for ends_of in ((0, 700), (700, side * side))]
+    r, far, near = (sum(x) for x in zip(*parts, strict=True))
+    i, j = np.divmod(np.argsort(place.ravel())[ids], side)
+    gaps = np.abs(i[:, None] - i) + np.abs(j[:, None] - j)
+    assert (r == side * side - 1).all() and (far == gaps.sum(axis=1)).all()
+    assert np.allclose(near, (1 / np.maximum(gaps, 1)).sum(axis=1) - 1)
+    levels, words = 2 * side - 2, side * side // 64
+    assert sum(touched) < levels * words * side * side / 2
+
+
+def test_near_order_holds_every_node_once():
+    ring = np.arange(1200)
+    src = np.concatenate([ring, (ring + 1) % 1200, [1200, 1201], [1202, 1203]])
+    dst = np.concatenate([(ring + 1) % 1200, ring, [1201, 1200], [1203, 1202]])
+    packed = centrality._pack(pd.DataFrame({"sample_id": "a", "src": src, "dst": dst})).iloc[0]
+    ids = np.frombuffer(packed["ids"], np.int64)
+    assert sorted(ids) == list(range(1204))
+    begins, ends = np.frombuffer(packed["begins"], np.int64), np.frombuffer(packed["ends"], np.int32)
+    found = {(ids[v], ids[w]) for v in range(1204) for w in ends[begins[v] : begins[v + 1]]}
+    assert found == set(zip(src, dst, strict=True))
