@@ -248,3 +248,13 @@ def test_dense_mask_query_where_nodes_take_all_tiles_or_almost_all(spark, tmp_pa
         db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
         want = {(r[0], r[1]): r[2] for r in db.sql(catalog.oracle_sql()["dist_mask_dense"]).fetchall()}
     assert got == want and len(got) == (0 if kept == catalog.TILES**2 else kept)
+
+
+@pytest.mark.parametrize("most", [2, 1_024])
+def test_gaps_to_pieces_are_compiled_rows_not_lambdas_over_arrays(spark, monkeypatch, most):
+    monkeypatch.setattr(pieces, "DIRECT_PIECES", most)
+    ring = [(float(np.cos(t)), float(np.sin(t))) for t in np.linspace(0, 2 * np.pi, 9)]
+    parts = spark.createDataFrame([("a", (*p, *q)) for p, q in zip(ring[:-1], ring[1:], strict=True)], "sample_id string, edge struct<ax: double, ay: double, bx: double, by: double>")
+    got = pieces.least_gap(nodes(spark, [(0, 0), (0.5, 0.1), (0.9, 0.9)], "a"), parts, "edge", _edge_gap, _edge_corners)
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 3 and abs(got.where("node_id = 0").first()["gap"] - np.cos(np.pi / 8)) < 1e-12
