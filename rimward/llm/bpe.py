@@ -2,8 +2,8 @@
 
 Spark deals the documents out; each Arrow batch is cut into the pattern's pieces. The pieces that a worker
 hasn't met go to one recursive query: their token-position rows are joined with the merge table, and each piece's
-leftmost pair of minimum rank is contracted, until none is left. A worker remembers up to ``MEMO`` pieces, those that it met lately. Decoding joins
-ids with the vocabulary and aggregates the bytes in order.
+leftmost pair of minimum rank is contracted, until none is left. A worker remembers up to ``MEMO`` pieces, those that it met lately,
+until it gets a task of another operator. Decoding joins ids with the vocabulary and aggregates the bytes in order.
 
 In pieces from ``LONG`` bytes all pairs of the minimum rank are contracted in a round, from the left, where they don't
 overlap, up to the first whose new token makes a pair of a lower rank with a neighbour: that pair would come before the
@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import duckdb
@@ -32,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.llm.common import slices
+from rimward.llm.common import kept, slices
 
 MEMO = 400_000
 #: Characters of texts, bytes of pieces and ids that are worked on at once (a longer one alone), and rounds of contraction in one query.
@@ -178,9 +177,8 @@ def _lists(sizes: list[int], values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(values))
 
 
-@lru_cache(maxsize=2)
 def _codec(rank_file: bytes, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
+    return kept(Codec, rank_file, pattern)
 
 
 def _blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.llm.common import materialize, slices
+from rimward.llm.common import forget, materialize, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -64,6 +64,7 @@ def line_counts(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The exact table of ``docs``: (h1, h2, n_docs). Each task counts its rows by the thousand before Spark does."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in slices(batches, 2_000):
             found: dict[bytes, int] = {}
             for text in part.column(0).to_pylist():
@@ -256,6 +257,7 @@ class LineIndex:
         min_chars = self.min_chars
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             hits, spared = self_probe(blobs.value), except_for.value
             for batch in slices(batches):
                 split = [_text_bytes(t).split(b"\n") for t in batch.column(1).to_pylist()]
@@ -332,6 +334,7 @@ class LineIndex:
         gone = self._dealt(lines, SALTS, spared).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in slices(batches):
                 split = [_text_bytes(t).split(b"\n") for t in batch.column(1).to_pylist()]
                 keys = [list(map(line_key, lines)) for lines in split]

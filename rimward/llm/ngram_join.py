@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rimward.llm.common import materialize, slices
+from rimward.llm.common import forget, materialize, slices
 from rimward.components import connected_components
 
 WORDS = 5
@@ -51,8 +51,8 @@ BROADCAST_ROWS = 500_000
 #: Parts per (k + 1)/2, see above: a fifth of the parts at least must agree.
 SPARE = 1.25
 
-#: Rounds of hubs; candidates of a set up to which pairs are made; shingles and sets in a block of a cluster; columns of a matrix at once.
-HUB_ROUNDS, SPARSE, BLOCK_SHINGLES, BLOCK_SETS, CHUNK_COLUMNS = 2, 16, 400_000, 2_048, 2_048
+#: Rounds of hubs; candidates of a set up to which pairs are made; shingles and sets in a block of a cluster; columns and rows of a matrix at once.
+HUB_ROUNDS, SPARSE, BLOCK_SHINGLES, BLOCK_SETS, CHUNK_COLUMNS, CHUNK_ROWS = 2, 16, 400_000, 2_048, 2_048, 256
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +87,7 @@ def signed_documents(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             sets = [shingle_hashes(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -119,6 +120,7 @@ def foreign_counts(frame: DataFrame) -> DataFrame:
     buckets = max(1, -(-total // BUCKET_ENTRIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, 2_000):
             parts = [np.frombuffer(b, dtype=np.uint64) for b in batch.column(1).to_pylist()]
             ids = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
@@ -175,6 +177,7 @@ def _full_sets(docs: DataFrame, possible: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 sets = [shingle_hashes(t) for t in batch.column(0).slice(at, 1000).to_pylist()]
@@ -221,6 +224,7 @@ def signatures(hashes: np.ndarray) -> np.ndarray:
 
 def _signature_rows(sets: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -235,6 +239,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets with 100 * intersection >= 80 * union."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -275,17 +280,23 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
         place = np.zeros(len(sets), dtype=np.int64)
         place[left] = np.arange(len(left))
         place[right] = np.arange(len(right))
-        both = np.zeros((len(left), len(right)), dtype=np.int64)
+        both = np.zeros((len(left), len(right)), dtype=np.int32)
         for at in range(0, int(common[-1]) + 1 if len(common) else 0, CHUNK_COLUMNS):
             here = (column >= at) & (column < at + CHUNK_COLUMNS)
             x, y = np.zeros((len(left), CHUNK_COLUMNS), np.float32), np.zeros((len(right), CHUNK_COLUMNS), np.float32)
             for side, dense in ((i, x), (j, y)):
                 mine = here & (block[row] == side)
                 dense[place[row[mine]], column[mine] - at] = 1
-            both += (x @ y.T).astype(np.int64)  # at most CHUNK_COLUMNS each, so exact
-        near = 180 * both >= 80 * (sizes[left][:, None] + sizes[right][None, :])
-        near &= component[left][:, None] != component[right][None, :]
-        p, q = np.nonzero(near)
+            for at_row in range(0, len(left), CHUNK_ROWS):
+                both[at_row : at_row + CHUNK_ROWS] += (x[at_row : at_row + CHUNK_ROWS] @ y.T).astype(np.int32)  # at most CHUNK_COLUMNS each, so exact
+        found = []
+        for at_row in range(0, max(1, len(left)), CHUNK_ROWS):  # a block may be empty
+            few = left[at_row : at_row + CHUNK_ROWS]
+            near = 180 * both[at_row : at_row + CHUNK_ROWS].astype(np.int64) >= 80 * (sizes[few][:, None] + sizes[right][None, :])
+            near &= component[few][:, None] != component[right][None, :]
+            p, q = np.nonzero(near)
+            found.append((p + at_row, q))
+        p, q = (np.concatenate(x) for x in zip(*found, strict=True))
         _, first = np.unique(np.stack([component[left[p]], component[right[q]]], axis=1), axis=0, return_index=True)  # one link for two components
         return pd.DataFrame({"a": ids[left[p[first]]], "b": ids[right[q[first]]]})
 

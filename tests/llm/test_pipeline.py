@@ -1,15 +1,17 @@
 """The stages of the pipeline, each against what it should leave of its own input."""
 
 import collections
+import gc
 import os
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from rimward.llm import catalog, quality_rules
+from rimward.llm import bpe, catalog, quality_rules
 from tests.llm.test_operators import components, plain_statistics
 
 DATA = "/root/testdata/sf0.001"
@@ -119,3 +121,24 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in cp.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def alive(kind):
+    """How many objects of ``kind`` each of a worker's tasks finds in that worker."""
+
+    def count(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, kind) for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    return count
+
+
+@pytest.mark.parametrize("stage", [cp.dedup_lines, cp.dedup_documents])
+def test_a_stage_frees_what_its_workers_remember_of_another(spark, stage):
+    """The workers of one stage are those of the next, so a vocabulary and its pieces lay beside all that near-duplicates needed."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(8)
+    tasks = spark.range(0, 16, 1, 16)
+    assert cp.encode(spark, docs, DATA).count() == docs.count()
+    assert tasks.mapInArrow(alive(bpe.Codec), "n long").agg(F.sum("n")).first()[0] > 0
+    stage(spark, docs, DATA).write.format("noop").mode("overwrite").save()
+    assert tasks.mapInArrow(alive(bpe.Codec), "n long").agg(F.sum("n")).first()[0] == 0
