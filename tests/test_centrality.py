@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rimward import centrality
 from rimward.centrality import MEASURES, centralities
@@ -62,6 +63,12 @@ def test_a_measure_that_fails_is_left_out(spark, monkeypatch, problem):
     assert got.columns == ["sample_id", "node_id", "degree", "closeness"]
 
 
+def test_a_failure_of_spark_is_raised(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "clustering", lambda g: g.filled(g.nodes.select("sample_id", "node_id", F.raise_error(F.lit("disk is full")).alias("clustering")), "clustering"))
+    with pytest.raises(Exception, match="disk is full"):
+        centralities(*frames(spark, 3, [(0, 1), (1, 2)]), ["degree", "clustering"])
+
+
 def test_both_directions_are_one_edge_and_loops_count_twice(spark):
     assert scores(spark, 2, [(0, 1), (1, 0), (0, 0)], "degree") == [3, 1]
 

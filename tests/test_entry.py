@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rimward import centrality
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -23,6 +24,16 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name", ["flow_from_edgelist", "clustering"])
+def test_a_query_whose_measure_fails_has_no_result(spark, monkeypatch, name):
+    def fails(graph):
+        raise ArithmeticError("no triangles")
+
+    monkeypatch.setattr(centrality, "clustering", fails)
+    with pytest.raises(ArithmeticError, match="no triangles"):
+        entry.queries()[name](spark, DATA)
+
+
 @pytest.mark.parametrize("name", BASE)
 def test_query_equals_its_sql(spark, name):
     frame = entry.queries()[name](spark, DATA)
