@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rimward import centrality
+from rimward.storage import tables_dir
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -34,6 +35,13 @@ def test_a_query_whose_measure_fails_has_no_result(spark, monkeypatch, name):
         entry.queries()[name](spark, DATA)
 
 
+def test_the_flow_from_an_edge_list_writes_no_row_to_an_edge(spark):
+    before = set(os.listdir(tables_dir(spark)))
+    assert entry.queries()["flow_from_edgelist"](spark, DATA).count() == 20
+    made = {name.rsplit("-", 1)[0] for name in set(os.listdir(tables_dir(spark))) - before}
+    assert "edge-blocks" in made and not made & {"edges", "both-ways", "oriented"}
+
+
 @pytest.mark.parametrize("name", BASE)
 def test_query_equals_its_sql(spark, name):
     frame = entry.queries()[name](spark, DATA)
